@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import dedup, packing, urls
+from umbra.llm import dedup, ngram_join, packing, urls
 from umbra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,11 +24,16 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.result(table(spark, sf_dir, "documents"))
 
 
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.result(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_packing, op7_url_filter, op9_exact_dedup)
+    f.__name__: f for f in (op3_packing, op7_url_filter, op9_exact_dedup, op10_ngram_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": urls.RESULT_SQL,
     "op9_exact_dedup": dedup.RESULT_SQL,
+    "op10_ngram_join": ngram_join.RESULT_SQL,
 }
