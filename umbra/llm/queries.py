@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import dedup, ngram_join, packing, urls
+from umbra.llm import dedup, lm, ngram_join, packing, urls
 from umbra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -20,6 +20,10 @@ def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.result(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op8_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.scores(table(spark, sf_dir, "documents"))
+
+
 def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.result(table(spark, sf_dir, "documents"))
 
@@ -29,7 +33,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_packing, op7_url_filter, op9_exact_dedup, op10_ngram_join)
+    f.__name__: f for f in (op3_packing, op7_url_filter, op8_lm_score, op9_exact_dedup, op10_ngram_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
