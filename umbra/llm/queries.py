@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import dedup, langid, lm, ngram_join, packing, urls
+from umbra.llm import dedup, langid, lm, mixing, ngram_join, packing, quality, urls
 from umbra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,10 +16,18 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.result(table(spark, sf_dir, "documents"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.result(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
@@ -37,7 +45,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op3_packing, op5_language_id, op7_url_filter, op8_lm_score, op9_exact_dedup, op10_ngram_join)
+    f.__name__: f for f in (op3_packing, op4_quality, op5_language_id, op6_mixing, op7_url_filter, op8_lm_score, op9_exact_dedup, op10_ngram_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
