@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import ann, dedup, langid, lm, mixing, ngram_join, packing, quality, urls
+from umbra.llm import ann, dedup, langid, lm, mixing, ngram_join, packing, pii, quality, urls
 from umbra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.result(table(spark, sf_dir, "documents"))
+
+
 def op2_graph_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
@@ -49,10 +53,11 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op2_graph_ann, op3_packing, op4_quality, op5_language_id, op6_mixing, op7_url_filter, op8_lm_score, op9_exact_dedup, op10_ngram_join)
+    f.__name__: f for f in (op1_pii, op2_graph_ann, op3_packing, op4_quality, op5_language_id, op6_mixing, op7_url_filter, op8_lm_score, op9_exact_dedup, op10_ngram_join)
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_pii": pii.RESULT_SQL,
     "op7_url_filter": urls.RESULT_SQL,
     "op9_exact_dedup": dedup.RESULT_SQL,
     "op10_ngram_join": ngram_join.RESULT_SQL,
