@@ -1,6 +1,6 @@
 """Registered queries: operators applied to the given tables, with the SQL that must agree."""
 
-from umbra.plans import panel_plans, quality_plans  # noqa: F401
+from umbra.plans import panel_plans, policy_plans, quality_plans  # noqa: F401
 from umbra.plans.inputs import REGISTRY
 
 __all__ = ["REGISTRY"]
