@@ -1,6 +1,12 @@
 """Registered queries: operators applied to the given tables, with the SQL that must agree."""
 
-from umbra.plans import decision_plans, panel_plans, policy_plans, quality_plans  # noqa: F401
+from umbra.plans import (  # noqa: F401
+    decision_plans,
+    panel_plans,
+    policy_plans,
+    quality_plans,
+    shelter_plans,
+)
 from umbra.plans.inputs import REGISTRY
 
 __all__ = ["REGISTRY"]
