@@ -2,6 +2,7 @@
 
 from umbra.plans import (  # noqa: F401
     decision_plans,
+    field_plans,
     panel_plans,
     policy_plans,
     quality_plans,

@@ -107,13 +107,9 @@ def _(spark, d):
     return P.warm_nights(P.complete_nights(panel(spark, d), 5), [20, 25])
 
 
-def some_stations(spark, d):
-    return stations(spark, d).where("station < 20").select("station")
-
-
 @REGISTRY.add(
     "pan_leave_one_out",
-    """WITH p AS (SELECT * FROM hourly WHERE station < 20), rest AS (SELECT s.station AS "without", p.* FROM p, (SELECT station FROM stations WHERE station < 20) s WHERE p.station <> s.station),
+    """WITH rest AS (SELECT s.station AS "without", p.* FROM hourly p, stations s WHERE p.station <> s.station),
     ref AS (SELECT "without", date, hour, median(t) AS t_ref, quantile_cont(t, 0.9) - quantile_cont(t, 0.1) AS dispersion FROM rest GROUP BY ALL HAVING count(*) >= 2),
     m AS (SELECT "without", station, round(avg(t - t_ref), 9) AS dt FROM rest JOIN ref USING ("without", date, hour) GROUP BY ALL),
     e AS (SELECT DISTINCT "without", first_value(station) OVER (PARTITION BY "without" ORDER BY dt DESC, station) AS hottest, first_value(station) OVER (PARTITION BY "without" ORDER BY dt, station) AS coldest FROM m)
@@ -122,7 +118,7 @@ def some_stations(spark, d):
     "dispersion",
 )
 def _(spark, d):
-    return P.leave_one_out(panel(spark, d).where("station < 20"), some_stations(spark, d), 2)
+    return P.leave_one_out(panel(spark, d), stations(spark, d), 2)
 
 
 @REGISTRY.add(

@@ -301,5 +301,5 @@ def _(spark, d):
 
 @REGISTRY.add("fix_common_list")
 def _(spark, d):
-    rows = grid(spark, d).where("mode = '1-URGENT'")
-    return P.common_list(rows.select("cusec", "field", "delta", "pct"), 40, 4)
+    rows = grid(spark, d).select("cusec", F.concat_ws("/", "mode", "field").alias("field"), "delta", "pct")
+    return P.common_list(rows, 40, 4)
