@@ -113,3 +113,28 @@ def test_greedy_is_within_the_optimum_and_the_budget(spark):
     budgets = spark.createDataFrame([("m", 5.0)], "movement string, budget double")
     got = shelters.greedy(patterns, costs, budgets, 5).orderBy("round").collect()
     assert [(r.site, r.spent) for r in got] == [(2, 2.0), (3, 5.0)] and sum(r.gain for r in got) == 23.0
+
+
+def test_shadow_of_a_tall_block_under_a_sun_at_45_degrees(spark):
+    """30 m high, sun at 45 degrees, cells of 3 m: nine cells away from the sun, in four directions."""
+    from umbra.operators import shade
+
+    cells = spark.createDataFrame([(50, 50, 30.0)], "row int, col int, h double")
+    suns = spark.createDataFrame([("n", 45.0, 0.0), ("e", 45.0, 90.0), ("s", 45.0, 180.0), ("w", 45.0, 270.0)], "sun string, elevation double, azimuth double")
+    got = {}
+    for r in shade.shaded_cells(cells, suns, 3.0, 101, 101).collect():
+        got.setdefault(r.sun, set()).add((r.row, r.col))
+    away = {"n": (1, 0), "e": (0, -1), "s": (-1, 0), "w": (0, 1)}
+    for sun, (dr, dc) in away.items():
+        assert got[sun] in ({(50 + dr * n, 50 + dc * n) for n in range(1, m)} for m in (10, 11)), sun
+
+
+def test_rings(spark):
+    from umbra.operators import geometry
+
+    square = [(0.0, 0.0), (4.0, 0.0), (4.0, 4.0), (0.0, 4.0)]
+    df = spark.createDataFrame([(1, square, 7.0), (2, [(2.0, 2.0), (8.0, 2.0), (8.0, 8.0), (2.0, 8.0)], 9.0)], "feature int, ring array<struct<x:double,y:double>>, h double")
+    row = df.where("feature = 1").select(geometry.signed_area(F.col("ring")).alias("a"), geometry.centroid(F.col("ring")).alias("c"), geometry.inside(F.col("ring"), F.lit(1.0), F.lit(1.0)).alias("i"), geometry.inside(F.col("ring"), F.lit(5.0), F.lit(1.0)).alias("o")).first()
+    assert (row.a, row.c.x, row.c.y, row.i, row.o) == (16.0, 2.0, 2.0, True, False)
+    cells = {(r.row, r.col): r.h for r in geometry.cells_inside(df, 2.0).collect()}
+    assert cells[0, 0] == 7.0 and cells[1, 1] == 9.0 and len(cells) == 12
