@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
+from collections.abc import Iterable, Iterator
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.sources.staging import staged
+
+__all__ = ["WHITE_SPACE", "Cache", "crc_bucket", "join_by_group", "slices", "staged", "table", "text_of", "union_all", "without"]
+
 #: ASCII white space, the characters of ``[\x20\x09-\x0D]``.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
 
@@ -17,26 +21,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="umbra-checkpoint-"))
-    return sc.getCheckpointDir()
-
-
-def staged(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back.
-
-    Cuts the lineage, so that lost executors cost no recomputation beyond this table, fixes what
-    depends on the order of rows, and gives the planner the real size.
-    """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/staged-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def text_of(column: str = "text") -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
@@ -56,6 +40,17 @@ def join_by_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     )
 
 
+def without(rows: DataFrame, dropped: DataFrame, keys: list[str], broadcast_rows: int = 2_000_000) -> DataFrame:
+    """The rows whose keys (null-safe) are not in the staged table ``dropped``, all columns kept.
+
+    Up to ``broadcast_rows`` keys the rows stay where they are; beyond it they are shuffled.
+    """
+    small = dropped.count() <= broadcast_rows
+    gone = dropped.select(*[F.col(k).alias(f"_gone_{k}") for k in keys])
+    same = [rows[k].eqNullSafe(gone[f"_gone_{k}"]) for k in keys]
+    return rows.join(F.broadcast(gone) if small else gone, same, "left_anti")
+
+
 def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
@@ -65,15 +60,27 @@ def crc_bucket(column: str, buckets: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
 
 
+def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of few rows, so that what a task makes of one stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
 class Cache(dict):
-    """``make(key)`` remembered; emptied when it holds ``limit`` keys, so that a worker's memory stays bounded."""
+    """``make(key)`` remembered. With ``limit`` keys they become the old generation, and the one before is
+    forgotten: what is used again moves on, and a worker's memory stays bounded."""
 
-    def __init__(self, make, limit: int = 250_000):
+    def __init__(self, make, limit: int = 100_000):
         super().__init__()
-        self.make, self.limit = make, limit
+        self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        value = self[key] = self.make(key)
+        value = self.old.get(key)
+        if value is None:
+            value = self.make(key)
+        self[key] = value
         return value
