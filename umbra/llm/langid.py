@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import Cache, crc_bucket, staged, text_of
+from umbra.llm.common import Cache, crc_bucket, slices, staged, text_of
 
 #: Lengths of the n-grams, tried from the longest to the shortest.
 GRAMS = (5, 4, 3, 2, 1)
@@ -61,25 +61,27 @@ def gram_counts(words: DataFrame, flush: int = 300_000) -> DataFrame:
     """(lang, n, gram, count) of the n-grams of all words, made from the word counts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[tuple[str, int, str]] = Counter()
+        seen: dict[tuple[str, int], defaultdict[str, int]] = {}
 
-        def rows() -> pa.RecordBatch:
-            langs, sizes, grams = zip(*seen, strict=True) if seen else ((), (), ())
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(grams, pa.string()), pa.array(seen.values(), pa.int64())],
-                names=["lang", "n", "gram", "count"],
-            )
+        def rows() -> Iterator[pa.RecordBatch]:
+            for (lang, n), grams in seen.items():
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([lang] * len(grams), pa.string()), pa.array([n] * len(grams), pa.int32()), pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())],
+                    names=["lang", "n", "gram", "count"],
+                )
             seen.clear()
-            return out
 
-        for batch in batches:
+        for batch in slices(batches, 2048):
             for lang, word, times in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 for n in GRAMS:
+                    grams = seen.get((lang, n))
+                    if grams is None:
+                        grams = seen[lang, n] = defaultdict(int)
                     for gram in grams_of(word, n):
-                        seen[lang, n, gram] += times
-                if len(seen) >= flush:
-                    yield rows()
-        yield rows()
+                        grams[gram] += times
+            if sum(map(len, seen.values())) >= flush:
+                yield from rows()
+        yield from rows()
 
     counted = words.select("lang", "word", "count").mapInArrow(count, "lang string, n int, gram string, count long")
     return counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
@@ -100,28 +102,28 @@ class Scorer:
         self.langs, self.words, self.grams, self.floor = langs, words, grams, floor
         self.tokens = Cache(self.of)
 
-    def of(self, token: str) -> np.ndarray:
-        """Last place: 1 if the token has a letter."""
+    def of(self, token: str) -> bytes:
+        """As 32-bit numbers; the last one is 1 if the token has a letter."""
         word = bare(token)
-        if not word:
-            return np.zeros(len(self.langs) + 1)
-        found = self.words.get(word)
-        if found is None:
-            found = self.backed_off(word)
-        return np.append(found, 1.0)
-
-    def backed_off(self, word: str) -> np.ndarray:
+        scores = np.zeros(len(self.langs) + 1, np.float32)
+        if word:
+            found = self.words.get(word)
+            scores[:-1] = self.backed_off(word) if found is None else found
+            scores[-1] = 1
+        return scores.tobytes()
+
+    def backed_off(self, word: str) -> np.ndarray | float:
         """Mean over the n-grams of the longest length that has known ones; nothing when no length has."""
         for n in GRAMS:
             table = self.grams.get(n, {})
             hits = [table[g] for g in grams_of(word, n) if g in table]
             if hits:
-                return np.mean(hits, axis=0)
-        return np.zeros(len(self.langs))
+                return sum(hits[1:], hits[0]) / len(hits)
+        return 0.0
 
     def predict(self, text: str) -> tuple[str, float]:
-        rows = [self.tokens[t] for t in text.lower().split()]
-        total = np.sum(rows, axis=0) if rows else np.zeros(len(self.langs) + 1)
+        scores = np.frombuffer(b"".join([self.tokens[t] for t in text.lower().split()]), np.float32)
+        total = scores.reshape(-1, len(self.langs) + 1).sum(axis=0, dtype=np.float64)
         letters = total[-1]
         if not letters or not self.langs:
             return "und", 0.0
