@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import base64
 import re
-from collections.abc import Callable
+from array import array
+from collections.abc import Callable, Sequence
 
 import numpy as np
 
@@ -20,13 +21,17 @@ def vocabulary_file(name: str = "byte_bpe_50k.tiktoken") -> str:
     return public_tokenizers.path(name)
 
 
-def encoder(path: str | None = None) -> Callable[[str], list[int]]:
+def ranks_of(path: str | None = None) -> dict[bytes, int]:
+    with open(path or vocabulary_file(), "rb") as lines:
+        return {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
+
+
+def encoder(path: str | None = None, ranks: dict[bytes, int] | None = None) -> Callable[[str], list[int]]:
     """text -> ids by the ranks of ``path``. Strings of special tokens in a text are ordinary text."""
     import public_tokenizers
     import tiktoken
 
-    with open(path or vocabulary_file(), "rb") as lines:
-        ranks = {base64.b64decode(piece): int(rank) for piece, rank in (line.split() for line in lines if line.strip())}
+    ranks = ranks or ranks_of(path)
     return tiktoken.Encoding(
         "byte-bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}
     ).encode_ordinary
@@ -41,7 +46,7 @@ def packed_encoder(path: str | None = None) -> Callable[[str], bytes]:
     encode = encoder(path)
 
     def pack(text: str) -> bytes:
-        return np.array(encode(text), "<u4").tobytes()
+        return array("I", encode(text)).tobytes()
 
     pieces = Cache(pack)
 
@@ -54,3 +59,23 @@ def packed_encoder(path: str | None = None) -> Callable[[str], bytes]:
         return (pack(first) if first else b"") + b"".join([pieces[" " + x] for x in rest])
 
     return whole
+
+
+def words_encoder(path: str | None = None) -> Callable[[Sequence[bytes]], tuple[np.ndarray, np.ndarray]]:
+    """words without white space -> (ids of all, number of ids of each), each word with a space before it.
+
+    All words are encoded in one call: a space always starts a piece, so the ids that start with one show
+    where words begin.
+    """
+    ranks = ranks_of(path)
+    encode = encoder(path, ranks)
+    starts = np.zeros(max(ranks.values()) + 1, bool)
+    starts[[rank for piece, rank in ranks.items() if piece.startswith(b" ")]] = True
+
+    def each(words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        if not words:
+            return np.empty(0, np.int64), np.empty(0, np.int64)
+        ids = np.array(encode((b" " + b" ".join(words)).decode("utf-8", "replace")), np.int64)
+        return ids, np.diff(np.flatnonzero(np.append(starts[ids], True)))
+
+    return each
