@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import WHITE_SPACE, join_by_group, staged, text_of
+from umbra.llm.common import WHITE_SPACE, join_by_group, staged, text_of, without
 
 
 def normalised(text: Column) -> Column:
@@ -70,15 +70,12 @@ def drop_copies(docs: DataFrame) -> DataFrame:
 
     doc_id names a row unless rows repeat; then equal (doc_id, text) rows are made one first.
     """
-    groups = exact_groups(docs)
-    kept = staged(groups.where("kept").select("doc_id", "digest"))
-    digest = F.unhex(F.sha2(normalised(text_of()), 256))
-    keys = kept.select(F.col("doc_id").alias("_kept_id"), F.col("digest").alias("_kept_digest"))
-    out = docs.withColumn("_digest", digest)
-    out = out.join(
-        keys, out["doc_id"].eqNullSafe(keys["_kept_id"]) & (out["_digest"] == keys["_kept_digest"]), "left_semi"
-    )
-    if docs.sparkSession and groups.groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():
+    groups = staged(exact_groups(docs).select("doc_id", "digest", "kept"))
+    keys = ["doc_id", "digest"]
+    by_key = groups.groupBy(*keys).agg(F.max("kept").alias("kept"), F.count("*").alias("rows"))
+    dropped = staged(by_key.where(~F.col("kept")).select(F.col("doc_id"), F.col("digest").alias("_digest")))
+    out = without(docs.withColumn("_digest", F.unhex(F.sha2(normalised(text_of()), 256))), dropped, ["doc_id", "_digest"])
+    if by_key.where("kept and rows > 1").limit(1).count():
         out = out.dropDuplicates(["doc_id", "_digest"])
     return out.drop("_digest")
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,20 +36,20 @@ def shape(token: bytes) -> bytes:
 
 def token_features(token: bytes) -> bytes:
     """Three places in the text view: the token's shape, its ending and its word, each hashed."""
-    return np.array(
-        [
+    return array(
+        "H",
+        (
             zlib.crc32(shape(token)) % SHAPES,
             SHAPES + zlib.crc32(token[-2:]) % ENDINGS,
             SHAPES + ENDINGS + zlib.crc32(token.lower()) % WORDS,
-        ],
-        "<u2",
+        ),
     ).tobytes()
 
 
 def text_features(text: bytes, tokens: Cache) -> np.ndarray:
     words, size = text.split(), max(len(text), 1)
     out = np.zeros(TEXT_WIDTH, np.float32)
-    counts = np.bincount(np.frombuffer(b"".join([tokens[w] for w in words]), "<u2"), minlength=TEXT_WIDTH - DENSE)
+    counts = np.bincount(np.frombuffer(b"".join([tokens[w] for w in words]), np.uint16), minlength=TEXT_WIDTH - DENSE)
     n = max(len(words), 1)
     out[:-DENSE] = np.sqrt(counts / n)
     lines = text.split(b"\n")
@@ -198,7 +199,7 @@ def _views(docs: DataFrame) -> DataFrame:
     )
 
 
-def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_pool: int = 8000) -> Model:
+def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_pool: int = 4000) -> Model:
     """The co-trained model from at most ``most_labelled`` labels and ``most_pool`` other documents, taken by a hash of the id."""
     some = (
         labels.where("doc_id is not null and quality is not null")
