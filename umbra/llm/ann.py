@@ -136,15 +136,3 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_
         "query_id", (F.col("pos") + 1).cast("int").alias("rank"), F.col("near.vec_id").alias("vec_id"), (-F.col("near.far")).alias("score")
     )
 
-
-RESULT_SQL = r"""
-WITH v AS (
-    SELECT DISTINCT vec_id, embedding::DOUBLE[] AS e FROM embeddings
-    WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
-      AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
-s AS (
-    SELECT q.vec_id AS query_id, c.vec_id, list_dot_product(q.e, c.e) / sqrt(list_dot_product(q.e, q.e) * list_dot_product(c.e, c.e)) AS score
-    FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.e) = len(c.e))
-SELECT query_id, (row_number() OVER w)::INTEGER AS rank, vec_id, score FROM s
-WINDOW w AS (PARTITION BY query_id ORDER BY score DESC, vec_id) QUALIFY rank <= 5
-"""
