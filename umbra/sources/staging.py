@@ -9,7 +9,11 @@ from pyspark.sql import DataFrame
 
 
 def staged(df: DataFrame) -> DataFrame:
-    """Writes ``df`` below spark.checkpoint.dir (a folder of our own where that is unset) and reads it back."""
+    """Writes ``df`` below spark.checkpoint.dir (a folder of our own where that is unset) and reads it back.
+
+    Cuts the lineage, so that lost executors cost no recomputation beyond this table, fixes what depends on
+    the order of rows, and gives the planner the real size.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="umbra-checkpoint-"))
