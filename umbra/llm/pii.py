@@ -141,7 +141,7 @@ def term_hits(texts: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFr
     few = terms.count() <= broadcast_rows
     here = texts.select("row", F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
     met = staged(here.join(F.broadcast(terms) if few else terms, "term").groupBy("row").agg(F.collect_set("term").alias("terms")))
-    matched = texts.join(F.broadcast(met) if met.count() <= broadcast_rows // 10 else met, "row")
+    matched = texts.join(met.hint("merge"), "row")  # grows with the corpus, so it is shuffled at every size
     pattern = F.concat(F.lit(f"(?iu)(?<!{_EDGE})(?:"), F.array_join(F.array_sort("terms"), "|"), F.lit(f")(?!{_EDGE})"))
     patterned = matched.select("row", "text", F.lit("term").alias("kind"), pattern.alias("pattern"))
     hits = located(patterned.withColumn("hits", F.regexp_extract_all("text", F.col("pattern"), F.lit(0))), 0)
