@@ -132,7 +132,8 @@ def meet(postings: DataFrame, num: int, den: int, dense: int | None) -> DataFram
 
     Gives pairs (row, other) of different components to verify: all that pass the filters in lists of at
     most ``dense`` pairs (None: in all), else those of the list's most central row with the others. The
-    postings of such lists come back as well (other is null), as they are not settled by it.
+    postings of such lists come back as well (other is null), as they are not settled by it, and so
+    does one that is alone in a part of a list that ``spread`` has split: it met none of the other parts.
     """
 
     def linkable(n_a, pos_a, n_b, pos_b):
@@ -170,10 +171,13 @@ def meet(postings: DataFrame, num: int, den: int, dense: int | None) -> DataFram
             pairs += found
             if not settled:
                 open_lists.append(run)
+        if dense == 0 and table.shape[1] > _SALT:
+            alone = starts[ends - starts == 1]
+            open_lists.append(table[alone[table[alone, _SALT] >= 0]])
         pairs = np.concatenate(pairs) if dense == 0 else fresh(np.sort(np.concatenate(pairs), axis=1))
         none = np.zeros(len(pairs), np.int64)
         yield batch_of(none, pairs[:, 0], none, pa.array(pairs[:, 1]))
-        if open_lists:
+        if sum(map(len, open_lists)):
             runs = np.concatenate(open_lists)
             yield batch_of(runs[:, _TOKEN], runs[:, _ROW], runs[:, _PLACE], pa.nulls(len(runs), pa.int64()))
 
@@ -288,13 +292,13 @@ def best_centre(found: DataFrame) -> DataFrame:
 
 
 def spread(postings: DataFrame, sketch: np.ndarray, part_rows: int) -> DataFrame:
-    """Adds salt: lists that the sketch knows to be longer than ``part_rows`` are met in parts."""
+    """Adds salt: lists that the sketch knows to be longer than ``part_rows`` are met in parts, all others have -1."""
     bits = int(sketch.size).bit_length() - 1
     long = np.flatnonzero(sketch > part_rows)
     if not len(long):
         return postings
     parts = postings.sparkSession.createDataFrame([(int(b), int(-(-sketch[b] // part_rows))) for b in long], "bucket int, parts int")
-    salt = F.pmod(F.xxhash64("row"), F.coalesce(F.col("parts"), F.lit(1))).cast("int")
+    salt = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.lit(-1))
     keyed = postings.withColumn("bucket", F.shiftrightunsigned("token", 64 - bits).cast("int"))
     return keyed.join(F.broadcast(parts), "bucket", "left").withColumn("salt", salt).drop("bucket", "parts")
 
