@@ -31,3 +31,18 @@ def test_parts_of_frequent_lists_lose_no_link(spark, part_rows):
     want = brute_roots({row: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} for row, w in words.items()})
     assert {row: got.get(row, row) for row in want} == want
     assert len(set(want.values())) == 25
+
+
+def test_stage_keeps_every_group_when_ids_are_null_or_repeat(spark):
+    text = lambda g, end="": " ".join(f"w{g}x{i}" for i in range(40)) + end
+    rows = [
+        (None, text("a")), (None, text("a", " z")), (None, text("b")), (None, text("c")),  # three groups without ids
+        (7, text("d")), (7, text("e")),  # two texts of one id
+        (3, text("f")), (8, text("f", " z")), (8, text("g")),  # 8 goes once and stays once
+        (9, text("h")), (9, text("h")),  # equal rows
+        (None, ""), (None, None), (4, " "), (4, " "),  # without words
+    ]
+    got = ngram_join.drop_similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    full = sorted((r.doc_id or 0, r.text.split()[0]) for r in got if r.text and r.text.strip())
+    assert full == [(0, "wax0"), (0, "wbx0"), (0, "wcx0"), (3, "wfx0"), (7, "wdx0"), (7, "wex0"), (8, "wgx0"), (9, "whx0")]
+    assert len(got) - len(full) == 4

@@ -18,7 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.common import Cache, join_by_group, slices, staged, text_of, without
@@ -55,11 +55,16 @@ def shingle_hasher(width: int = 5):
     return hashes
 
 
-SETS = "row long, doc_id long, n long, sig_a long, sig_b long, hashes binary"
+SETS = "row long, doc_id long, n long, sig_a long, sig_b long, hashes binary, digest binary"
+
+
+def digest_of() -> Column:
+    """SHA-256 of the text; with the doc_id it tells rows apart that are not equal."""
+    return F.unhex(F.sha2(text_of(), 256))
 
 
 def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
-    """A row per document: its number, set size, signature of the set, and the sorted hashes as bytes."""
+    """A row per document: its number, set size, signature of the set, the sorted hashes as bytes, and the digest of the text."""
     schema = pa.schema([(c.split()[0], pa.binary() if c.endswith("binary") else pa.int64()) for c in SETS.split(", ")])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -71,11 +76,13 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
             packed = [s.tobytes() for s in sets]
             signs = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in packed]), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.array(packed, pa.binary())],
+                [batch.column(0), batch.column(1), pa.array([len(s) for s in sets], pa.int64()), pa.array(signs[:, 0]), pa.array(signs[:, 1]), pa.array(packed, pa.binary()), batch.column(3)],
                 schema=schema,
             )
 
-    source = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"))
+    source = docs.select(
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text"), digest_of().alias("digest")
+    )
     return source.mapInArrow(rows, SETS)
 
 
@@ -347,46 +354,66 @@ def components_of(sets: DataFrame, num: int = 4, den: int = 5, part_rows: int =
         first, dense = left, (DENSE_PAIRS if dense == 0 else None)
 
 
-def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
-    """One row per document: row, doc_id, n (size of its set) and component_id, the least doc_id reached by links.
+def marked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """The rows of ``similar_groups`` with digest and stays: whether the row is the least (doc_id, digest) of its component.
 
-    Two documents link when den * intersection >= num * union of their sets. A document with fewer than
-    ``width`` words is one shingle; without words it links with nothing and is its own component. A
-    null text is empty. Documents of equal sets link; repeated rows do as well. A component whose ids are
-    all null has a null id. Other columns are ignored; an empty table gives an empty result.
+    A null doc_id comes last. Rows of equal (doc_id, digest) stay or go together; rows without words all stay.
     """
     sets = staged(shingle_sets(docs, width))
     signature = ["sig_a", "sig_b", "n"]
-    classes = staged(sets.where("n > 0").groupBy(*signature).agg(F.min("row").alias("row"), F.min("doc_id").alias("least_id"), F.count("*").alias("size")))
+    name = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
+    classes = staged(sets.where("n > 0").groupBy(*signature).agg(F.min("row").alias("row"), F.min(name).alias("least"), F.count("*").alias("size")))
     repeated = classes.where("size > 1").select(*signature, F.col("row").alias("first"), "size")
     total = sets.count()
-    rows = sets.select("row", "doc_id", *signature)
+    rows = sets.select("row", "doc_id", "digest", *signature)
     copies = staged(
-        join_by_group(rows.withColumn("sig", F.struct(*signature)).drop("sig_a", "sig_b"), repeated.select(F.struct(*signature).alias("sig"), "first", "size"), "sig", "size", total)
+        join_by_group(rows.drop("digest").withColumn("sig", F.struct(*signature)).drop("sig_a", "sig_b"), repeated.select(F.struct(*signature).alias("sig"), "first", "size"), "sig", "size", total)
         .where("row <> first").select("row")
     )
     roots = components_of(among(sets.where("n > 0"), copies, "left_anti"), num, den)
     class_root = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     class_root = staged(class_root)
-    least = class_root.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    named = staged(class_root.join(least, "root").select(F.struct(*signature).alias("sig"), "component_id", "size"))
+    keeper = class_root.groupBy("root").agg(F.min("least").alias("keeper"))
+    named = staged(class_root.join(keeper, "root").select(F.struct(*signature).alias("sig"), "keeper", "size"))
     full = join_by_group(rows.where("n > 0").withColumn("sig", F.struct(*signature)), named, "sig", "size", total)
-    empty = rows.where("n = 0").withColumn("component_id", F.col("doc_id"))
-    return full.select("row", "doc_id", "n", "component_id").unionByName(empty.select("row", "doc_id", "n", "component_id"))
+    full = full.withColumn("component_id", F.col("keeper.doc_id")).withColumn("stays", name.eqNullSafe(F.col("keeper")))
+    empty = rows.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("stays", F.lit(True))
+    columns = ["row", "doc_id", "n", "component_id", "digest", "stays"]
+    return full.select(*columns).unionByName(empty.select(*columns))
+
+
+def similar_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -> DataFrame:
+    """One row per document: row, doc_id, n (size of its set) and component_id, the least doc_id reached by links.
+
+    Two documents link when den * intersection >= num * union of their sets. A document with fewer than
+    ``width`` words is one shingle; without words it links with nothing and is its own component. A
+    null text is empty. Documents of equal sets link; repeated rows do as well. A component whose ids are
+    all null has a null id. Other columns are ignored; an empty table gives an empty result.
+    """
+    return marked_groups(docs, width, num, den).select("row", "doc_id", "n", "component_id")
 
 
 def drop_similar(docs: DataFrame) -> DataFrame:
-    """One document of each group of similar ones stays: the one with the least doc_id; all columns kept.
+    """One document of each group of similar ones stays: the one with the least doc_id (null last), of equal ids that
+    with the least digest of the text; all columns kept.
 
-    Rows that repeat a doc_id stay or go together, but equal ids within a group are made one.
+    doc_id names a row unless rows repeat; then equal (doc_id, text) rows of a group are made one. Documents
+    without words are no group and all stay.
     """
-    groups = staged(similar_groups(docs))
-    stays = F.coalesce((F.col("n") == 0) | F.col("doc_id").eqNullSafe(F.col("component_id")), F.lit(False))
-    by_id = groups.groupBy("doc_id").agg(F.max(stays).alias("stays"), F.count("*").alias("rows"))
-    kept = without(docs, staged(by_id.where(~F.col("stays")).select("doc_id")), ["doc_id"])
-    if by_id.where("stays and rows > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id"])
-    return kept
+    groups = staged(marked_groups(docs).select("doc_id", "n", "digest", "stays"))
+    keys = ["doc_id", "digest"]
+    by_key = groups.groupBy(*keys).agg(F.max("stays").alias("stays"), F.max("n").alias("n"), F.count("*").alias("rows"))
+    dropped = staged(by_key.where(~F.col("stays")).select("doc_id", F.col("digest").alias("_digest")))
+    keys = ["doc_id", "_digest"]
+    marked = docs.withColumn("_digest", digest_of())
+    kept = without(marked, dropped, keys)
+    repeated = staged(by_key.where("stays and n > 0 and rows > 1").select("doc_id", F.col("digest").alias("_digest")))
+    if repeated.limit(1).count():
+        single = without(kept, repeated, keys)
+        again = repeated.select(*[F.col(k).alias(f"_again_{k}") for k in keys])
+        same = [kept[k].eqNullSafe(again[f"_again_{k}"]) for k in keys]
+        kept = single.unionByName(kept.join(again, same, "left_semi").dropDuplicates(keys))
+    return kept.drop("_digest")
 
 
 def result(docs: DataFrame) -> DataFrame:
