@@ -10,11 +10,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import Cache, crc_bucket, slices, staged, text_of
+from umbra.llm.common import Cache, crc_bucket, join_by_group, slices, staged, text_of, union_all
 
 #: Lengths of the n-grams, tried from the longest to the shortest.
 GRAMS = (5, 4, 3, 2, 1)
-#: Share of a language's words or n-grams that makes one known; so there are at most 1/share of each.
+#: Share of a language's words from which one is frequent and goes to the tasks; so there are at most 1/share of each language.
 LEAST_SHARE = 2e-6
 
 
@@ -87,90 +87,141 @@ def gram_counts(words: DataFrame, flush: int = 300_000) -> DataFrame:
     return counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
 
 
-def known(counts: DataFrame, keys: list[str], least_share: float) -> DataFrame:
-    """The words or n-grams that make up ``least_share`` of some language's or more, with their log10 share of each language."""
+def lifts(counts: DataFrame, keys: list[str], place: DataFrame, floor: float) -> DataFrame:
+    """(keys, lifts, most): by how much its log10 share of each language that shows it is above ``floor``, and its greatest share."""
     totals = counts.groupBy("lang", *keys[:-1]).agg(F.sum("count").alias("total"))
-    shares = counts.join(F.broadcast(totals), ["lang", *keys[:-1]])  # a row per language and length
-    kept = shares.where(F.col("count") >= F.lit(least_share) * F.col("total"))
-    return kept.select("lang", *keys, F.log10(F.col("count") / F.col("total")).alias("log"))
-
-
-class Scorer:
-    """Scores of a token for every language, in log10; ``floor`` stands for what a language never showed."""
-
-    def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[int, dict[str, np.ndarray]], floor: float):
-        self.langs, self.words, self.grams, self.floor = langs, words, grams, floor
-        self.tokens = Cache(self.of)
-
-    def of(self, token: str) -> bytes:
-        """As 32-bit numbers; the last one is 1 if the token has a letter."""
-        word = bare(token)
-        scores = np.zeros(len(self.langs) + 1, np.float32)
-        if word:
-            found = self.words.get(word)
-            scores[:-1] = self.backed_off(word) if found is None else found
-            scores[-1] = 1
-        return scores.tobytes()
-
-    def backed_off(self, word: str) -> np.ndarray | float:
-        """Mean over the n-grams of the longest length that has known ones; nothing when no length has."""
-        for n in GRAMS:
-            table = self.grams.get(n, {})
-            hits = [table[g] for g in grams_of(word, n) if g in table]
-            if hits:
-                return sum(hits[1:], hits[0]) / len(hits)
-        return 0.0
-
-    def predict(self, text: str) -> tuple[str, float]:
-        scores = np.frombuffer(b"".join([self.tokens[t] for t in text.lower().split()]), np.float32)
-        total = scores.reshape(-1, len(self.langs) + 1).sum(axis=0, dtype=np.float64)
-        letters = total[-1]
-        if not letters or not self.langs:
-            return "und", 0.0
-        # the posterior of a token of the text on average, sharpened by the root of their number
-        scaled = total[:-1] / letters * np.sqrt(letters) * np.log(10)
-        odds = np.exp(scaled - scaled.max())
-        best = int(np.argmax(odds))
-        return self.langs[best], float(odds[best] / odds.sum())
+    shares = counts.join(F.broadcast(totals.join(place, "lang")), ["lang", *keys[:-1]])  # a row per language and length
+    share = F.col("count") / F.col("total")
+    return shares.groupBy(*keys).agg(F.collect_list(F.struct("at", (F.log10(share) - floor).alias("lift"))).alias("lifts"), F.max(share).alias("most"))
+
+
+_LIFTS = "array<struct<at:int,lift:double>>"
+
+
+def backed_off(words: DataFrame, grams: DataFrame, floor: float) -> DataFrame:
+    """(word, lifts): means over the n-grams of the longest length that has known ones; no row when no length has."""
+    out, left = [], words
+    for n in GRAMS:
+
+        def spell(batches: Iterator[pa.RecordBatch], n=n) -> Iterator[pa.RecordBatch]:
+            for batch in slices(batches, 2048):
+                pairs = [(word, gram) for word in batch.column(0).to_pylist() for gram in grams_of(word, n)]
+                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1)], names=["word", "gram"])
+
+        spelled = staged(left.select("word").mapInArrow(spell, "word string, gram string"))
+        sizes = spelled.groupBy("gram").agg(F.count("*").alias("size"))
+        known = staged(grams.where(F.col("n") == n).select("gram", "lifts").join(sizes, "gram"))
+        hits = join_by_group(spelled, known, "gram", "size", spelled.count())
+        # the lift at -1 counts the hits
+        each = hits.select("word", F.explode(F.concat("lifts", F.array(F.struct(F.lit(-1).alias("at"), F.lit(1.0).alias("lift"))))).alias("x"))
+        sums = each.groupBy("word", "x.at").agg(F.sum("x.lift").alias("lift")).groupBy("word").agg(F.collect_list(F.struct("at", "lift")).alias("x"))
+        number = F.filter("x", lambda y: y["at"] < 0)[0]["lift"]
+        mean = F.transform(F.filter("x", lambda y: y["at"] >= 0), lambda y: F.struct(y["at"].alias("at"), (y["lift"] / number).alias("lift")))
+        out.append(staged(sums.select("word", mean.alias("lifts"))))
+        left = staged(left.join(out[-1], "word", "left_anti"))
+        if left.limit(1).count() == 0:
+            break
+    return union_all(out)
+
+
+_SCORED = "row long, doc_id long, held_out boolean, letters long, total array<double>, words array<string>, times array<long>"
 
 
 def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, least_share: float = LEAST_SHARE, floor: float = -7.0) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of every document.
 
     Learns from text and lang of the documents whose crc32 of the id is not ``held_out`` mod ``folds``
-    and whose lang is known; predictions see the text alone. Null texts and texts without letters are
+    and whose lang is known; predictions see the text alone. Words that make up ``least_share`` of some
+    language's or more go to the tasks; all other words and the n-grams of unseen ones are looked up by
+    joins, so every training word and n-gram counts. Null texts and texts without letters are
     ``und`` with score 0, as are all if nothing was learned. Ties go to the first language in order.
     """
     spark = docs.sparkSession
     rows = docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"), (crc_bucket("doc_id", folds) == held_out).alias("held_out"),
-        text_of().alias("text"), F.col("lang").cast("string").alias("lang"),
+        F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
+        (crc_bucket("doc_id", folds) == held_out).alias("held_out"), text_of().alias("text"), F.col("lang").cast("string").alias("lang"),
     )
     counts = staged(word_counts(rows.where("not held_out and lang is not null")))
-    grams = staged(gram_counts(counts))
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    place = {lang: i for i, lang in enumerate(langs)}
-
-    def vectors(table: pa.Table, keys: list[str]) -> dict:
-        out: dict = {}
-        for lang, *key, log in zip(*[table.column(c).to_pylist() for c in ["lang", *keys, "log"]], strict=True):
-            at = out.setdefault(key[0] if len(key) == 1 else tuple(key), np.full(len(langs), floor))
-            at[place[lang]] = log
-        return out
-
-    words = vectors(known(counts, ["word"], least_share).toArrow(), ["word"])
-    by_size: dict[int, dict[str, np.ndarray]] = {}
-    for (n, gram), vector in vectors(known(grams, ["n", "gram"], least_share).toArrow(), ["n", "gram"]).items():
-        by_size.setdefault(n, {})[gram] = vector
-    shared = spark.sparkContext.broadcast((langs, words, by_size))
+    place = spark.createDataFrame([(lang, i) for i, lang in enumerate(langs)], "lang string, at int")
+    words = staged(lifts(counts, ["word"], place, floor))
+    frequent = words.where(F.col("most") >= least_share).select("word", "lifts").toArrow()
+
+    vectors = np.full((frequent.num_rows, len(langs)), floor, np.float32)
+    for vector, found in zip(vectors, frequent.column("lifts").to_pylist(), strict=True):
+        for x in found:
+            vector[x["at"]] += x["lift"]
+    shared = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), vectors))
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, vectors = shared.value
+        at, size = {w: i for i, w in enumerate(names)}, len(langs) + 2
+
+        def of(token: str) -> bytes:
+            """As 32-bit numbers; the last two are 1 if the token has a letter, and if its word is not frequent."""
+            word = bare(token)
+            out = np.zeros(size, np.float32)
+            if word:
+                i = at.get(word)
+                out[-2:] = 1, i is None
+                if i is not None:
+                    out[:-2] = vectors[i]
+            return out.tobytes()
+
+        tokens = Cache(of)
+        for batch in slices(batches, 256):
+            totals, letters, rare = [], [], []
+            for text in batch.column(3).to_pylist():
+                split = text.lower().split()
+                table = np.frombuffer(b"".join([tokens[t] for t in split]), np.float32).reshape(-1, size)
+                total = table.sum(axis=0, dtype=np.float64)
+                totals.append(total[:-2])
+                letters.append(int(total[-2]))
+                rare.append(Counter(bare(split[i]) for i in np.flatnonzero(table[:, -1]).tolist()))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *batch.columns[:3], pa.array(letters, pa.int64()), pa.array(totals, pa.list_(pa.float64())),
+                    pa.array([list(r) for r in rare], pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
+                ],
+                names=[c.split()[0] for c in _SCORED.split(", ")],
+            )
+
+    scored = staged(rows.select("row", "doc_id", "held_out", "text").mapInArrow(score, _SCORED))
+    rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.*").toDF("row", "word", "times")
+    wanted = staged(rare.groupBy("word").agg(F.count("*").alias("size")))
+    unseen = staged(wanted.join(words, "word", "left_anti").select("word"))
+    seen = words.where(F.col("most") < least_share).join(wanted.select("word"), "word", "left_semi").select("word", "lifts")
+    if langs and unseen.limit(1).count():
+        grams = staged(lifts(gram_counts(counts), ["n", "gram"], place, floor))
+        seen = seen.withColumn("lifts", F.col("lifts").cast(_LIFTS)).unionByName(backed_off(unseen, grams, floor).withColumn("lifts", F.col("lifts").cast(_LIFTS)))
+    # the lift at -1 is for all languages
+    both = F.concat(F.col("lifts").cast(_LIFTS), F.array(F.struct(F.lit(-1).alias("at"), F.lit(floor).alias("lift"))).cast(_LIFTS))
+    found = staged(seen.select("word", both.alias("lifts")).join(wanted, "word"))
+    each = join_by_group(rare, found, "word", "size", rare.count()).select("row", "times", F.explode("lifts").alias("x"))
+    sums = each.groupBy("row", "x.at").agg(F.sum(F.col("times") * F.col("x.lift")).alias("sum"))
+    sums = sums.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("sum").alias("sum"))
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(*shared.value, floor)
         for batch in batches:
-            found = [scorer.predict(text) for text in batch.column(2).to_pylist()]
+            out = [chosen(langs, *x) for x in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())],
+                [*batch.columns[:2], pa.array([f[0] for f in out], pa.string()), pa.array([f[1] for f in out], pa.float64())],
                 names=["doc_id", "held_out", "lang_pred", "score"],
             )
 
-    return rows.select("doc_id", "held_out", "text").mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+    joined = scored.drop("words", "times").join(sums, "row", "left").select("doc_id", "held_out", "letters", "total", "at", "sum")
+    return joined.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def chosen(langs: list[str], letters: int, total: list[float], at: list[int] | None, sums: list[float] | None) -> tuple[str, float]:
+    """The likeliest language and its probability, from the sums of the frequent words and those (at, sums) of all others."""
+    if not letters or not langs:
+        return "und", 0.0
+    scores = np.array(total)
+    for i, x in zip(at or [], sums or [], strict=True):
+        scores[slice(None) if i < 0 else i] += x
+    # the posterior of a token of the text on average, sharpened by the root of their number
+    scaled = scores / letters * np.sqrt(letters) * np.log(10)
+    odds = np.exp(scaled - scaled.max())
+    best = int(np.argmax(odds))
+    return langs[best], float(odds[best] / odds.sum())
