@@ -8,6 +8,9 @@ from umbra.operators import shelters as S
 from umbra.plans.inputs import REGISTRY, sections, stations, view
 
 MOVEMENTS = [("m1", 2000.0), ("m2", 3500.0)]
+#: The greedy lists also have a case for each of three speeds (m/s) and three durations (minutes).
+WALKS = [(f"{speed}_{minutes}", speed * 60 * minutes + 1e-9) for speed in (0.6, 0.9, 1.2) for minutes in (10, 15, 20)]
+FRACTIONS = [0.25, 0.5, 1.0]
 HOURS = [9.0, 14.0, 16.0, 18.0, 20.0]
 
 
@@ -136,8 +139,9 @@ _PATTERNS = """SELECT movement, pattern, sum(pop) AS weight FROM (
     WHERE NOT covered AND len(pattern) > 0 GROUP BY movement, pattern"""
 
 
-def patterns(spark, d):
-    return S.demand_patterns(reach(spark, d), sites(spark, d).drop("x", "y"), movements(spark), times(spark, [16, 17, 18, 19, 20]))
+def patterns(spark, d, cases=None):
+    cases = movements(spark) if cases is None else cases
+    return S.demand_patterns(reach(spark, d), sites(spark, d).drop("x", "y"), cases, times(spark, [16, 17, 18, 19, 20]))
 
 
 @REGISTRY.add("she_demand_patterns", f"SELECT movement, array_to_string(pattern, ',') AS pattern, weight FROM ({_PATTERNS})", "reach", "weight")
@@ -156,20 +160,25 @@ def _(spark, d):
     return S.gain(patterns(spark, d), chosen)
 
 
-def greedy_lists(spark, d, adaptive=True):
-    rows = sites(spark, d)
-    budgets = movements(spark).select("movement", F.lit(12.0).alias("budget"))
-    return S.greedy(patterns(spark, d).cache(), S.extension_cost(rows), budgets, 6, adaptive)
+def greedy_cases(spark, d):
+    """The patterns of all movement cases; budgets are fractions of what the announced extensions cost."""
+    cases = spark.createDataFrame([*MOVEMENTS, *WALKS], "movement string, metres double")
+    costs = S.extension_cost(rows := sites(spark, d))
+    whole = costs.join(rows.where("announced").select("site"), "site").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("whole"))
+    fractions = spark.createDataFrame([(f,) for f in FRACTIONS], "fraction double")
+    budgets = cases.select("movement").crossJoin(fractions).crossJoin(whole)
+    return patterns(spark, d, cases).cache(), costs, budgets.select("movement", "fraction", (F.col("fraction") * F.col("whole")).alias("budget"))
 
 
 @REGISTRY.add("she_greedy")
 def _(spark, d):
-    return greedy_lists(spark, d)
+    return S.greedy(*greedy_cases(spark, d))
 
 
 @REGISTRY.add("she_transfer")
 def _(spark, d):
-    return S.transfer(patterns(spark, d), greedy_lists(spark, d), "m1")
+    found, costs, budgets = greedy_cases(spark, d)
+    return S.transfer(found, S.greedy(found, costs, budgets.where("fraction = 1").drop("fraction")), "m1")
 
 
 @REGISTRY.add(
