@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from contextlib import contextmanager
 from functools import reduce
 
 import pyarrow as pa
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from umbra.sources.staging import staged
 
-__all__ = ["WHITE_SPACE", "Cache", "crc_bucket", "join_by_group", "slices", "staged", "table", "text_of", "union_all", "without"]
+__all__ = ["WHITE_SPACE", "Cache", "arrow_batches", "crc_bucket", "join_by_group", "slices", "staged", "table", "text_of", "union_all", "without"]
 
 #: ASCII white space, the characters of ``[\x20\x09-\x0D]``.
 WHITE_SPACE = " \t\n\x0b\x0c\r"
@@ -60,6 +61,27 @@ def crc_bucket(column: str, buckets: int) -> Column:
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary")) % buckets
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, rows: int, size: int) -> Iterator[None]:
+    """Tables staged inside go to Python in batches of at most ``rows`` rows and about ``size`` bytes; long texts then take no more memory than short ones.
+
+    Parquet is read 512 rows at a time, as a reader's arrays have room for that many long values.
+    """
+    wanted = {
+        "spark.sql.execution.arrow.maxRecordsPerBatch": str(rows),
+        "spark.sql.execution.arrow.maxBytesPerBatch": f"{size}b",
+        "spark.sql.parquet.columnarReaderBatchSize": "512",
+    }
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
 def slices(batches: Iterable[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches in parts of few rows, so that what a task makes of one stays small."""
     for batch in batches:

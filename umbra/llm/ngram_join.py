@@ -2,57 +2,67 @@
 
 Rare-first prefix filtering: shingles are ordered by their frequency in the corpus, rarest first.
 Two sets that overlap enough share a shingle within short prefixes of that order, so only prefixes are
-shuffled. The frequencies come from a sketch of a fixed number of counters over all shingles: any
-order common to all documents finds every pair, and shingles that many documents share stand out.
+shuffled. The frequencies come from a table of counters that grows with the input: any order
+common to all documents finds every pair, and shingles that many documents share come last.
 
 Documents with equal sets form one class and only its first row takes part. The postings of one
 shingle are not expanded into all pairs: first each is compared with the most central one of the list
 (the one with the fewest rarer shingles before), linked documents are merged into components, and
 then only pairs of different components are compared. Such pairs pass the length and the
 positional filter, are made distinct, pass the suffix filter on the partitioned sets and are verified once.
+The suffix filter bounds the overlap by 256 ranges of the hashes at once instead of halving by halves.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
+from math import ceil, log2
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import Cache, join_by_group, slices, staged, text_of, without
+from umbra.llm.common import arrow_batches, join_by_group, slices, staged, text_of, without
 from umbra.llm.components import components
-
-SKETCH_BITS = 18
+from umbra.llm.hashing import mixed, word_codes
+
+#: Shingles for each counter of the frequency table, and the table's size in bits at least and at most.
+COUNTER_SHINGLES, TABLE_BITS = 64, (10, 21)
+#: Counters are compared by levels, this many for each doubling, so the table is one byte a counter.
+LEVELS = 5
+#: Counters that travel together when Spark sums the table.
+CHUNK = 1 << 10
 #: A list of postings with more pairs of different components than this meets its centre first.
 DENSE_PAIRS = 512
+#: Lists of more postings are met in parts; so are, from the second round on, the lists of a component, in parts of about so many rows.
+PART_ROWS, MAIN_ROWS = 50_000, 2_048
 _MULTIPLIERS = np.array(
     [0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], np.uint64
 )
 
 
-def shingle_hasher(width: int = 5):
-    """bytes of a text -> its distinct shingles as sorted 64-bit hashes; fewer words are one shingle."""
-    import xxhash
-
-    word = Cache(xxhash.xxh3_64_intdigest)
-
-    def hashes(text: bytes) -> np.ndarray:
-        words = text.lower().split()
-        if len(words) < width:
-            return np.array([xxhash.xxh3_64_intdigest(b"\n".join(words))] if words else [], np.uint64)
-        codes = np.fromiter(map(word.__getitem__, words), np.uint64, len(words))
-        count = len(words) - width + 1
-        mixed = np.zeros(count, np.uint64)
-        for i in range(width):
-            mixed += codes[i : i + count] * _MULTIPLIERS[i % 5] + np.uint64(i)
-        mixed ^= mixed >> np.uint64(32)
-        mixed *= _MULTIPLIERS[3]
-        mixed ^= mixed >> np.uint64(29)
-        return np.unique(mixed)
-
-    return hashes
+def shingle_hashes(texts: pa.Array, width: int = 5) -> list[np.ndarray]:
+    """The distinct shingles of each text as sorted 64-bit hashes; fewer words than ``width`` are one shingle."""
+    codes, counts = word_codes(texts)
+    places = np.array([pow(int(_MULTIPLIERS[i % 5]), i // 5 + 1, 1 << 64) for i in range(width)], np.uint64)
+    full = np.zeros(max(len(codes) - width + 1, 0), np.uint64)
+    for i in range(width):
+        full += codes[i : i + len(full)] * places[i]
+    mixed(full)
+    out, at = [], 0
+    for n in counts.tolist():
+        if n >= width:
+            hashes = np.sort(full[at : at + n - width + 1])
+            out.append(hashes[np.append(True, hashes[1:] != hashes[:-1])])
+        elif n:
+            short = (codes[at : at + n] * places[:n]).sum(dtype=np.uint64, keepdims=True) + np.uint64(n)
+            out.append(mixed(short))
+        else:
+            out.append(np.empty(0, np.uint64))
+        at += n
+    return out
 
 
 SETS = "row long, doc_id long, n long, sig_a long, sig_b long, hashes binary, digest binary"
@@ -70,9 +80,8 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
-        hashes = shingle_hasher(width)
-        for batch in slices(batches):
-            sets = [hashes(text) for text in batch.column(2).cast(pa.binary()).to_pylist()]
+        for batch in slices(batches, 256):
+            sets = shingle_hashes(batch.column(2), width)
             packed = [s.tobytes() for s in sets]
             signs = np.frombuffer(b"".join([xxhash.xxh3_128_digest(p) for p in packed]), "<i8").reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
@@ -86,48 +95,97 @@ def shingle_sets(docs: DataFrame, width: int = 5) -> DataFrame:
     return source.mapInArrow(rows, SETS)
 
 
-def frequency_sketch(sets: DataFrame, bits: int = SKETCH_BITS) -> np.ndarray:
-    """2**bits counters of all shingles of all sets, summed by Spark; the driver gets no more than that."""
+def bucket_of(hashes: np.ndarray, bits: int) -> np.ndarray:
+    return (hashes >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def level_of(counts: np.ndarray) -> np.ndarray:
+    """Counters as levels of one byte, ``LEVELS`` for each doubling, rounded up."""
+    return np.ceil(LEVELS * np.log2(counts.astype(np.float64) + 1)).astype(np.uint8)
+
+
+def frequency_table(sets: DataFrame, total: int) -> np.ndarray:
+    """The levels of 2**bits counters of all ``total`` shingles of all sets, summed by Spark; a counter has ``COUNTER_SHINGLES`` on average.
+
+    Beyond 2**``TABLE_BITS[1]`` counters each has more of them. A counter is never less than the frequency of a shingle that it counts.
+    """
+    bits = min(max(ceil(log2(max(total / COUNTER_SHINGLES, 1))), TABLE_BITS[0]), TABLE_BITS[1])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.int64)
+        counts, waiting = np.zeros(1 << bits, np.uint32), []
+
+        def add() -> None:
+            if waiting:
+                np.add(counts, np.bincount(np.concatenate(waiting), minlength=1 << bits), out=counts, casting="unsafe")
+                waiting.clear()
+
         for batch in slices(batches):
-            hashes = np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64)
-            counts += np.bincount((hashes >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
-        at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], names=["bucket", "count"])
-
-    summed = sets.select("hashes").mapInArrow(count, "bucket long, count long").groupBy("bucket").agg(F.sum("count").alias("count"))
-    out = np.zeros(1 << bits, np.int64)
-    found = summed.toArrow()
-    out[found.column("bucket").to_numpy()] = found.column("count").to_numpy()
-    return out
+            waiting.append(bucket_of(np.frombuffer(b"".join(batch.column(0).to_pylist()), np.uint64), bits))
+            if sum(map(len, waiting)) >= 1 << bits:
+                add()
+        add()
+        parts = counts.reshape(-1, CHUNK)
+        there = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array([zlib.compress(parts[i].tobytes(), 1) for i in there], pa.binary())], names=["chunk", "counts"])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for chunk, packed in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                sums[chunk] = sums.get(chunk, 0) + np.frombuffer(zlib.decompress(packed), np.uint32).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(sums.keys(), pa.int64()), pa.array([level_of(x).tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    counted = sets.select("hashes").mapInArrow(count, "chunk long, counts binary")
+    out = np.zeros(((1 << bits) // CHUNK, CHUNK), np.uint8)
+    for row in counted.repartition("chunk").mapInArrow(add_up, "chunk long, counts binary").toArrow().to_pylist():
+        out[row["chunk"]] = np.frombuffer(row["counts"], np.uint8)
+    return out.ravel()
 
 
-def prefix_postings(classes: DataFrame, sketch: np.ndarray, num: int, den: int) -> DataFrame:
-    """(token, row, place) for the first shingles, rarest first, of every class; place is n * 2**32 + position."""
-    bits = int(sketch.size).bit_length() - 1
-    shared = classes.sparkSession.sparkContext.broadcast(sketch)
+def prefix_postings(classes: DataFrame, table: np.ndarray, num: int, den: int, part_rows: int) -> DataFrame:
+    """(row, n, tokens, long): the first shingles, rarest first, of every class, and those among them that more than ``part_rows`` may hold."""
+    bits = table.size.bit_length() - 1
+    shared = classes.sparkSession.sparkContext.broadcast(table)
+    most = int(level_of(np.array([part_rows]))[0])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = shared.value
+        levels = shared.value
+
+        def listed(parts: list[np.ndarray]) -> pa.ListArray:
+            ends = np.cumsum([0, *map(len, parts)])
+            return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *parts])))
+
         for batch in slices(batches):
-            tokens = []
+            tokens, long = [], []
             for packed in batch.column(2).to_pylist():
                 hashes = np.frombuffer(packed, np.uint64)
                 n = len(hashes)
-                # hashes are sorted, so a stable sort orders by (count, hash)
-                order = np.argsort(counts[(hashes >> np.uint64(64 - bits)).astype(np.int64)], kind="stable")
-                tokens.append(hashes[order[: n - -(-num * n // den) + 1]].view(np.int64))
-            ends = np.cumsum([0, *map(len, tokens)])
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(tokens) if tokens else np.array([], np.int64)))],
-                names=["row", "n", "tokens"],
-            )
+                # hashes are sorted, so a stable sort orders by (level, hash)
+                level = levels[bucket_of(hashes, bits)]
+                order = np.argsort(level, kind="stable")[: n - -(-num * n // den) + 1]
+                tokens.append(hashes[order].view(np.int64))
+                long.append(tokens[-1][level[order] > most])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), listed(tokens), listed(long)], names=["row", "n", "tokens", "long"])
+
+    return classes.select("row", "n", "hashes").mapInArrow(cut, "row long, n long, tokens array<long>, long array<long>")
+
+
+def long_lists(cut: DataFrame, part_rows: int) -> DataFrame:
+    """(token, parts) of the lists of more than ``part_rows`` postings, by their exact lengths."""
+    counts = cut.select(F.explode("long").alias("token")).groupBy("token").agg(F.count("*").alias("m"))
+    return counts.where(F.col("m") > part_rows).select("token", F.ceil(F.col("m") / part_rows).cast("int").alias("parts"))
 
-    cutted = classes.select("row", "n", "hashes").mapInArrow(cut, "row long, n long, tokens array<long>")
+
+def spread(cut: DataFrame, table: np.ndarray, part_rows: int, broadcast_rows: int = 500_000) -> DataFrame:
+    """(token, row, place, salt) of all postings; place is n * 2**32 + position. Lists of more than ``part_rows`` are dealt to salts, all others have -1."""
     place = F.shiftleft("n", 32) + F.col("pos")
-    return cutted.select("row", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "row", place.alias("place"))
+    postings = cut.select("row", "n", F.posexplode("tokens").alias("pos", "token")).select("token", "row", place.alias("place"))
+    if int(table.max(initial=0)) <= int(level_of(np.array([part_rows]))[0]):  # no counter, so no list, is that long
+        return postings
+    parts = staged(long_lists(cut, part_rows))
+    small = parts.count() <= broadcast_rows
+    salt = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.lit(-1))
+    return postings.join(F.broadcast(parts) if small else parts, "token", "left").withColumn("salt", salt).drop("parts")
 
 
 _FOUND = "token long, row long, place long, other long"
@@ -151,41 +209,59 @@ def meet(postings: DataFrame, num: int, den: int, dense: int | None) -> DataFram
 
     def parts(run: np.ndarray):
         """Row, component (at first the row itself), set size and position of postings."""
-        return run[:, _ROW], run[:, _COMP] if run.shape[1] > _COMP else run[:, _ROW], run[:, _PLACE] >> 32, run[:, _PLACE] & 0xFFFFFFFF
+        row, place = run[..., _ROW], run[..., _PLACE]
+        return row, run[..., _COMP] if run.shape[-1] > _COMP else row, place >> 32, place & 0xFFFFFFFF
+
+    def meeting(row, comp, n, pos) -> np.ndarray:
+        """The pairs of [list, member] arrays, sorted by size, that pass the filters."""
+        i, j = np.triu_indices(row.shape[1], 1)
+        fits = linkable(n[:, i], pos[:, i], n[:, j], pos[:, j]) & (comp[:, i] != comp[:, j])
+        return np.column_stack([row[:, i][fits], row[:, j][fits]])
 
-    def one_list(run: np.ndarray) -> tuple[list[np.ndarray], bool]:
+    def all_pairs(run: np.ndarray) -> Iterator[np.ndarray]:
+        """The same of one list, however long, a member at a time."""
         row, comp, n, pos = parts(run)
-        if (comp == comp[0]).all():
-            return [], True
-        if dense is not None and len(run) * (len(run) - 1) // 2 > dense:
-            centre = np.lexsort((row, n, pos))[0]
-            fits = (den * np.minimum(n, n[centre]) >= num * np.maximum(n, n[centre])) & (comp != comp[centre])
-            return [np.column_stack([np.full(int(fits.sum()), row[centre]), row[fits]])], False
-        found = []
         for j in range(1, len(run)):
             least = np.searchsorted(n[:j], -(-num * n[j] // den))
             fits = linkable(n[least:j], pos[least:j], n[j], pos[j]) & (comp[least:j] != comp[j])
             other = row[least:j][fits]
-            found.append(np.column_stack([other, np.full(len(other), row[j])]))
-        return found, True
+            yield np.column_stack([other, np.full(len(other), row[j])])
+
+    def stars(starts: np.ndarray, lengths: np.ndarray, table: np.ndarray) -> np.ndarray:
+        """The pairs (centre, member) of the given lists that may link by their lengths; the centre has the least position, then size and row."""
+        number = np.repeat(np.arange(len(starts)), lengths)
+        at = np.arange(len(number)) + np.repeat(starts - np.cumsum(lengths) + lengths, lengths)
+        row, comp, n, pos = parts(table[at])
+        centre = np.lexsort((row, n, pos, number))[np.cumsum(lengths) - lengths][number]
+        fits = (den * np.minimum(n, n[centre]) >= num * np.maximum(n, n[centre])) & (comp != comp[centre])
+        return np.column_stack([row[centre][fits], row[fits]])
 
     def lists(table: np.ndarray) -> Iterator[pa.RecordBatch]:
         ends = np.concatenate([np.flatnonzero(changed(table[1:], table[:-1])) + 1, [len(table)]])
         starts = np.concatenate([[0], ends[:-1]])
-        pairs, open_lists = [np.empty((0, 2), np.int64)], []
-        for i in np.flatnonzero(ends - starts > 1):
-            found, settled = one_list(run := table[starts[i] : ends[i]])
-            pairs += found
-            if not settled:
-                open_lists.append(run)
-        if dense == 0 and table.shape[1] > _SALT:
-            alone = starts[ends - starts == 1]
-            open_lists.append(table[alone[table[alone, _SALT] >= 0]])
+        lengths = ends - starts
+        comp = parts(table)[1]
+        several = np.maximum.reduceat(comp, starts) != np.minimum.reduceat(comp, starts)
+        dense_ones = several & (lengths * (lengths - 1) // 2 > (np.inf if dense is None else dense))
+        short, long = several & ~dense_ones & (lengths <= 64), several & ~dense_ones & (lengths > 64)
+        pairs = [np.empty((0, 2), np.int64)]
+        if dense_ones.any():
+            pairs.append(stars(starts[dense_ones], lengths[dense_ones], table))
+        for m in np.unique(lengths[short]).tolist():
+            some = starts[short & (lengths == m)]
+            step = max(1, 500_000 // (m * m))
+            for k in range(0, len(some), step):
+                pairs.append(meeting(*parts(table[some[k : k + step, None] + np.arange(m)])))
+        for i in np.flatnonzero(long):
+            pairs += all_pairs(table[starts[i] : ends[i]])
         pairs = np.concatenate(pairs) if dense == 0 else fresh(np.sort(np.concatenate(pairs), axis=1))
         none = np.zeros(len(pairs), np.int64)
         yield batch_of(none, pairs[:, 0], none, pa.array(pairs[:, 1]))
-        if sum(map(len, open_lists)):
-            runs = np.concatenate(open_lists)
+        open_lists = dense_ones
+        if dense == 0 and table.shape[1] > _SALT:
+            open_lists = open_lists | ((lengths == 1) & (table[starts, _SALT] >= 0))
+        if open_lists.any():
+            runs = table[np.repeat(open_lists, lengths)]
             yield batch_of(runs[:, _TOKEN], runs[:, _ROW], runs[:, _PLACE], pa.nulls(len(runs), pa.int64()))
 
     met: list[np.ndarray] = []  # pairs that this task has given, as lists of one component share many
@@ -229,7 +305,8 @@ def meet(postings: DataFrame, num: int, den: int, dense: int | None) -> DataFram
     dealt = postings.select("token", "row", "place", *(c for c in ("salt", "comp", "main") if c in postings.columns))
     # later on, all lists of one main component meet in one task (or its parts), which gives their pairs once
     keys = ["main", "salt"] if "main" in dealt.columns else ["token", *(["salt"] if "salt" in dealt.columns else [])]
-    return dealt.repartition(*keys).sortWithinPartitions(*keys, "token", "place", "row").mapInArrow(scan, _FOUND)
+    tasks = int(postings.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # fixed, as these rows cost more than their bytes tell
+    return dealt.repartition(tasks, *keys).sortWithinPartitions(*keys, "token", "place", "row").mapInArrow(scan, _FOUND)
 
 
 def among(rows: DataFrame, ids: DataFrame, how: str, broadcast_rows: int = 2_000_000) -> DataFrame:
@@ -298,23 +375,11 @@ def best_centre(found: DataFrame) -> DataFrame:
     return best.select(F.col("row").alias("a"), F.col("other").alias("b"))
 
 
-def spread(postings: DataFrame, sketch: np.ndarray, part_rows: int) -> DataFrame:
-    """Adds salt: lists that the sketch knows to be longer than ``part_rows`` are met in parts, all others have -1."""
-    bits = int(sketch.size).bit_length() - 1
-    long = np.flatnonzero(sketch > part_rows)
-    if not len(long):
-        return postings
-    parts = postings.sparkSession.createDataFrame([(int(b), int(-(-sketch[b] // part_rows))) for b in long], "bucket int, parts int")
-    salt = F.coalesce(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"), F.lit(-1))
-    keyed = postings.withColumn("bucket", F.shiftrightunsigned("token", 64 - bits).cast("int"))
-    return keyed.join(F.broadcast(parts), "bucket", "left").withColumn("salt", salt).drop("bucket", "parts")
-
-
-def unsettled(postings: DataFrame, roots: DataFrame, part_rows: int) -> DataFrame:
+def unsettled(postings: DataFrame, roots: DataFrame, main_rows: int) -> DataFrame:
     """The postings of lists with rows of several components, with comp and salt.
 
     Lists of one main component (that of their most central row) are met together, in parts of about
-    ``part_rows``: the rows of the main component are dealt out, all others go to every part, so each
+    ``main_rows``: the rows of the main component are dealt out, all others go to every part, so each
     pair of different components meets.
     """
     comp = F.coalesce(F.col("root"), F.col("row"))
@@ -323,18 +388,17 @@ def unsettled(postings: DataFrame, roots: DataFrame, part_rows: int) -> DataFram
         F.min("comp").alias("first"), F.max("comp").alias("last"), F.min_by("comp", F.struct(F.col("place").bitwiseAND((1 << 32) - 1), "place", "row")).alias("main"), F.count("*").alias("m")
     )
     lists = lists.where("first <> last")
-    sizes = lists.groupBy("main").agg(F.ceil(F.sum("m") / part_rows).cast("int").alias("parts"))
+    sizes = lists.groupBy("main").agg(F.ceil(F.sum("m") / main_rows).cast("int").alias("parts"))
     lists = lists.join(sizes, "main").select("token", "main", "parts")
     own = F.array(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
     salts = F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
     return known.join(lists, "token").withColumn("salt", F.explode(salts))
 
 
-def components_of(sets: DataFrame, num: int = 4, den: int = 5, part_rows: int = 50_000) -> DataFrame:
-    """(node, root) of the rows of ``sets`` that are linked with others; sets must be distinct and not empty."""
-    sketch = frequency_sketch(sets)
-    postings = prefix_postings(sets, sketch, num, den)
-    first = spread(postings, sketch, part_rows)
+def components_of(sets: DataFrame, first: DataFrame, shingles: int, num: int = 4, den: int = 5, part_rows: int = PART_ROWS, main_rows: int = MAIN_ROWS) -> DataFrame:
+    """(node, root) of the rows that are linked with others; ``first`` has the rows of ``sets`` with distinct sets that are not empty, of so many ``shingles``."""
+    table = frequency_table(first, shingles)
+    first = spread(prefix_postings(first, table, num, den, part_rows), table, part_rows)
     roots, dense = None, 0
     while True:
         found = staged(meet(first, num, den, dense))
@@ -348,7 +412,9 @@ def components_of(sets: DataFrame, num: int = 4, den: int = 5, part_rows: int =
             roots = staged(components(known.unionByName(links)))
         if dense is None:
             return roots
-        left = staged(unsettled(found.where("other is null").drop("other"), roots, part_rows))
+        left = found.where("other is null").drop("other")
+        # from the second round on a row may be in several parts of a list
+        left = staged(unsettled(left if dense == 0 else left.distinct(), roots, main_rows))
         if left.limit(1).count() == 0:
             return roots
         first, dense = left, (DENSE_PAIRS if dense == 0 else None)
@@ -359,6 +425,12 @@ def marked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -
 
     A null doc_id comes last. Rows of equal (doc_id, digest) stay or go together; rows without words all stay.
     """
+    # sets may be long, so batches are bound by their bytes; postings are short
+    with arrow_batches(docs.sparkSession, rows=50_000, size=4 << 20):
+        return _marked_groups(docs, width, num, den)
+
+
+def _marked_groups(docs: DataFrame, width: int, num: int, den: int) -> DataFrame:
     sets = staged(shingle_sets(docs, width))
     signature = ["sig_a", "sig_b", "n"]
     name = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "digest")
@@ -370,7 +442,8 @@ def marked_groups(docs: DataFrame, width: int = 5, num: int = 4, den: int = 5) -
         join_by_group(rows.drop("digest").withColumn("sig", F.struct(*signature)).drop("sig_a", "sig_b"), repeated.select(F.struct(*signature).alias("sig"), "first", "size"), "sig", "size", total)
         .where("row <> first").select("row")
     )
-    roots = components_of(among(sets.where("n > 0"), copies, "left_anti"), num, den)
+    shingles = classes.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    roots = components_of(sets, among(sets.where("n > 0"), copies, "left_anti"), shingles, num, den)
     class_root = classes.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("root", F.coalesce("root", "row"))
     class_root = staged(class_root)
     keeper = class_root.groupBy("root").agg(F.min("least").alias("keeper"))
