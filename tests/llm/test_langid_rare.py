@@ -10,7 +10,7 @@ def test_rare_words_stay_known(spark):
     rows += [(1000 + i, f"same words here {r[1].split()[-1]}", None) for i, r in enumerate(rows)]  # not learned from
     rows += [(2000, "same orbel999q", None), (2001, "zanti999q", None), (2002, "ÿÿÿ", None)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
-    few, all_ = ({r.doc_id: (r.lang_pred, round(r.score, 4)) for r in langid.identify(docs, least_share=x).collect()} for x in (0.2, 0.0))
+    few, all_ = ({r.doc_id: (r.lang_pred, round(r.score, 4)) for r in langid.identify(docs, most_words=x).collect()} for x in (3, 10**6))
     assert few == all_ and len(few) == len(rows)
     assert few[2000][0] == "en" and few[2001][0] == "de"
     assert all(few[1000 + i][0] == r[2] for i, r in enumerate(rows[:60]))

@@ -129,13 +129,12 @@ def test_packing_pads_little_and_takes_nothing(docs, nothing):
     assert packing.pack(nothing).count() == 0
 
 
-@pytest.mark.parametrize("text", ["", " ", "a  b", "a \n b", "x \n", " lead", "tail ", "tab\t x", "a b", "日本 語 text", "don't  stop <|endoftext|> 12 345", "\n\n a", "a\r\n b  ", "😀 😀"])
+@pytest.mark.parametrize("text", ["", " ", "a  b", "a \n b", "x \n", " lead", "tail ", "tab\t x", "a b", "日本 語 text", "don't  stop <|endoftext|> 12 345", "<|endoftext|><|endoftext|>x  <|endoftext", " <|endoftext|> ", "\n\n a", "a\r\n b  ", "😀 😀"])
 def test_packed_encoder_equals_the_tokenizer(text):
     import public_tokenizers
     from tokenizers import Tokenizer
 
     reference = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    reference.encode_special_tokens = True
     assert np.frombuffer(packed_encoder()(text), "<u4").tolist() == reference.encode(text, add_special_tokens=False).ids
 
 
@@ -255,7 +254,7 @@ def test_lm_base_score_against_brute_force(docs, nothing):
     n, v = sum(counts.values()), len(counts)
     want = Counter((d, held(d), len(ws), sum(w in counts for w in ws), n, round(sum(math.log10((counts[w] + 1) / (n + v + 1)) for w in ws), 6)) for d, ws in texts)
     for frequent in (1e-6, 0.01):  # all words known to the tasks, or most looked up by the join
-        got = lm.scores(docs, frequent=frequent, share=1, learners=2, rounds=1).collect()
+        got = lm.scores(docs, frequent=frequent, learners=2, rounds=1).collect()
         assert Counter((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in got) == want
         assert all(r.score < 0 and math.isfinite(r.score) for r in got)
     assert lm.scores(nothing).count() == 0
