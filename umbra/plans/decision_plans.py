@@ -129,7 +129,7 @@ def _(spark, d):
 @REGISTRY.add(
     "dec_list_change",
     """WITH w AS (SELECT cusec, max(pop) AS pop, coalesce(bool_or(first) FILTER (rep = 'uniform'), false) AS a, coalesce(bool_or(first) FILTER (rep = 'local'), false) AS b FROM priority GROUP BY cusec)
-    SELECT count_if(a AND b) / count_if(a OR b) AS jaccard, count_if(NOT a AND b)::BIGINT AS entering, count_if(a AND NOT b)::BIGINT AS leaving, sum(CASE WHEN NOT a AND b THEN pop ELSE 0 END) AS entering_pop FROM w""",
+    SELECT count_if(a AND b) / count_if(a OR b) AS jaccard, coalesce(count_if(NOT a AND b), 0)::BIGINT AS entering, coalesce(count_if(a AND NOT b), 0)::BIGINT AS leaving, sum(CASE WHEN NOT a AND b THEN pop ELSE 0 END) AS entering_pop FROM w""",
     "priority",
     "jaccard entering_pop",
 )
@@ -142,7 +142,7 @@ def _(spark, d):
     """WITH l AS (SELECT district, round(sum(load) FILTER (rep = 'local'), 6) AS la, round(sum(load) FILTER (rep = 'regional'), 6) AS lb FROM priority GROUP BY district),
     r AS (SELECT rank() OVER (ORDER BY la) + (count(*) OVER (PARTITION BY la) - 1) / 2 AS ra, rank() OVER (ORDER BY lb) + (count(*) OVER (PARTITION BY lb) - 1) / 2 AS rb,
           row_number() OVER (ORDER BY la DESC, district) <= 5 AS ta, row_number() OVER (ORDER BY lb DESC, district) <= 5 AS tb FROM l)
-    SELECT corr(ra, rb) AS rho, count_if(ta AND tb)::BIGINT AS overlap, count(*) AS districts FROM r""",
+    SELECT corr(ra, rb) AS rho, coalesce(count_if(ta AND tb), 0)::BIGINT AS overlap, count(*) AS districts FROM r""",
     "priority",
     "rho",
 )

@@ -196,7 +196,7 @@ def _(spark, d):
     "pan_rank_reversal",
     f"""WITH s AS ({_STATION}), r AS (SELECT *, rank() OVER (ORDER BY dt_night DESC) + (count(*) OVER (PARTITION BY dt_night) - 1) / 2 AS rn,
         rank() OVER (ORDER BY dt_afternoon DESC) + (count(*) OVER (PARTITION BY dt_afternoon) - 1) / 2 AS rd FROM s WHERE dt_night IS NOT NULL AND dt_afternoon IS NOT NULL)
-    SELECT corr(rn, rd) AS rho, max(abs(rn - rd)) AS largest_move, count_if(sign(dt_night) <> sign(dt_afternoon))::BIGINT AS sign_changes, count(*) AS stations FROM r""",
+    SELECT corr(rn, rd) AS rho, max(abs(rn - rd)) AS largest_move, coalesce(count_if(sign(dt_night) <> sign(dt_afternoon)), 0)::BIGINT AS sign_changes, count(*) AS stations FROM r""",
     "anomaly",
     "rho largest_move",
 )

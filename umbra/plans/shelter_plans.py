@@ -76,7 +76,7 @@ def _(spark, d):
 
 @REGISTRY.add(
     "she_extension_cost",
-    """SELECT site, 0.25 * count_if(len(list_filter(ext, lambda h: h.a <= moment AND moment < h.b)) > 0 AND len(list_filter(iv, lambda h: h.a <= moment AND moment < h.b)) = 0) AS cost FROM (
+    """SELECT site, 0.25::DOUBLE * count_if(len(list_filter(ext, lambda h: h.a <= moment AND moment < h.b)) > 0 AND len(list_filter(iv, lambda h: h.a <= moment AND moment < h.b)) = 0) AS cost FROM (
         SELECT site, iv, list_concat(iv[:-2], [{'a': iv[-1].a, 'b': greatest(iv[-1].b, 21.0::DOUBLE)}]) AS ext FROM sites), (SELECT 8 + unnest(range(52)) / 4 AS moment) GROUP BY site""",
     "sites",
     "cost",
