@@ -187,9 +187,14 @@ def transitions(regimes: DataFrame, by: Sequence[str]) -> DataFrame:
     return regimes.groupBy(*by).pivot("regime", ["sun", "mixed", "heat"]).agg(F.min("fraction"))
 
 
-def paired_difference(replicates: DataFrame, a: str, b: str) -> DataFrame:
-    """Interval of the difference of two representations over the replicates that both have, and whether it holds zero."""
-    wide = replicates.where(F.col("rep") == a).select("b", F.col("value").alias("va")).join(replicates.where(F.col("rep") == b).select("b", F.col("value").alias("vb")), "b")
-    ends = wide.agg(F.percentile(F.col("va") - F.col("vb"), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
+def paired_differences(replicates: DataFrame) -> DataFrame:
+    """For every two representations a < other: the interval of their difference over the replicates that both have, and whether it holds zero.
+
+    ``replicates`` has rep, b and value; representations are few.
+    """
+    one = replicates.select("b", F.col("rep").alias("a"), F.col("value").alias("va"))
+    two = replicates.select("b", F.col("rep").alias("other"), F.col("value").alias("vb"))
+    both = one.join(two, "b").where(F.col("a") < F.col("other"))
+    ends = both.groupBy("a", "other").agg(F.percentile(F.col("va") - F.col("vb"), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
     q = lambda i: F.get("q", F.lit(i))
-    return ends.select(q(0).alias("low"), q(1).alias("middle"), q(2).alias("high"), ((q(0) <= 0) & (q(2) >= 0)).alias("holds_zero"))
+    return ends.select("a", "other", q(0).alias("low"), q(1).alias("middle"), q(2).alias("high"), ((q(0) <= 0) & (q(2) >= 0)).alias("holds_zero"))

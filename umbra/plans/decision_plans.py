@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from umbra.functions.stats import spearman
 from umbra.operators import decisions as D
 from umbra.operators import resample as B
-from umbra.plans.inputs import REGISTRY, read, sections, view
+from umbra.plans.inputs import REGISTRY, read, sections, stations, view
 from umbra.plans.panel_plans import anomaly
 
 REPS = ("local", "regional", "uniform")
@@ -327,7 +327,7 @@ def _(spark, d):
 
 # bootstraps
 
-REPLICATES = 40
+REPLICATES, METRIC_REPLICATES = 1000, 400
 _DRAW = "((({b} * 7919 + {i} * 104729 + 17) % 1000003) * 48271 + {b} * {i}) % {n}"
 
 
@@ -358,13 +358,13 @@ def _(spark, d):
 
 @REGISTRY.add(
     "boo_decision_metric",
-    f"""WITH m AS (SELECT b, stddev_pop(value) AS value FROM boot_means GROUP BY b), k AS (SELECT 'spread' AS metric, value FROM m) {_INTERVAL.format(unit="metric", means="k")}""",
+    f"""WITH m AS (SELECT b, stddev_pop(value) AS value FROM boot_means WHERE b < {METRIC_REPLICATES} GROUP BY b), k AS (SELECT 'spread' AS metric, value FROM m) {_INTERVAL.format(unit="metric", means="k")}""",
     "boot_means",
     "low middle high",
 )
 def _(spark, d):
     rows = days(spark, d)
-    means = B.replicated_means(B.day_sums(rows, ["station"], "dt"), B.day_replicates(rows, REPLICATES), ["station"])
+    means = B.replicated_means(B.day_sums(rows, ["station"], "dt"), B.day_replicates(rows, METRIC_REPLICATES), ["station"])
     return B.intervals(means.groupBy("b").agg(F.stddev_pop("value").alias("value")).withColumn("metric", F.lit("spread")), ["metric"])
 
 
@@ -420,14 +420,17 @@ def _(spark, d):
     return B.intervals(B.replicated_means(sums, B.circular_replicates(rows, REPLICATES), ["station"], ["place"]), ["station"])
 
 
+view("scope_means", "SELECT scope AS rep, b, sum(total * times) / sum(n * times) AS value FROM boot_sums JOIN stations USING (station) JOIN reps USING (date) GROUP BY ALL", ["boot_sums", "stations", "reps"])
+
+
 @REGISTRY.add(
     "reg_paired_difference",
-    """WITH m AS (SELECT b, max(value) FILTER (station = 1) AS va, max(value) FILTER (station = 2) AS vb FROM boot_means WHERE station IN (1, 2) GROUP BY b HAVING count(*) = 2),
-    q AS (SELECT quantile_cont(va - vb, 0.025) AS low, quantile_cont(va - vb, 0.5) AS middle, quantile_cont(va - vb, 0.975) AS high FROM m) SELECT *, low <= 0 AND high >= 0 AS holds_zero FROM q""",
-    "boot_means",
+    """WITH m AS (SELECT x.rep AS a, y.rep AS other, x.value - y.value AS d FROM scope_means x JOIN scope_means y ON x.b = y.b AND x.rep < y.rep),
+    q AS (SELECT a, other, quantile_cont(d, 0.025) AS low, quantile_cont(d, 0.5) AS middle, quantile_cont(d, 0.975) AS high FROM m GROUP BY a, other) SELECT *, low <= 0 AND high >= 0 AS holds_zero FROM q""",
+    "scope_means",
     "low middle high",
 )
 def _(spark, d):
-    rows = days(spark, d)
-    means = B.replicated_means(B.day_sums(rows, ["station"], "dt"), B.day_replicates(rows, REPLICATES), ["station"])
-    return D.paired_difference(means.withColumn("rep", F.col("station").cast("string")), "1", "2")
+    rows = days(spark, d).join(stations(spark, d).select("station", "scope"), "station")
+    means = B.replicated_means(B.day_sums(rows, ["scope"], "dt"), B.day_replicates(rows, REPLICATES), ["scope"])
+    return D.paired_differences(means.withColumnRenamed("scope", "rep"))
