@@ -24,28 +24,32 @@ def with_shade(edges: DataFrame, shade: DataFrame) -> DataFrame:
     return edges.join(shade, ["u", "v"], "left").withColumn("frac", F.coalesce("frac", F.lit(0.0)))
 
 
-def relax(edges: DataFrame, sources: DataFrame, by: Sequence[str] = (), most_rounds: int = 1000) -> DataFrame:
+def relax(edges: DataFrame, sources: DataFrame, by: Sequence[str] = (), most_rounds: int = 1000, most_cost: float | None = None) -> DataFrame:
     """(by, node, cost, t, sun, run, worst): the least-cost path from the nearest source of each key to every node reached.
 
-    ``edges`` has by, u, v, cost >= 0, t and sun; ``sources`` by and node. Along the path minutes and sun minutes add
+    ``edges`` has u, v, cost >= 0, t, sun and those of the keys ``by`` that they depend on; ``sources`` by and node. Nodes
+    that cost more than ``most_cost``, if given, are not reached. Along the path minutes and sun minutes add
     up, and worst is the longest stretch of edges that are sunny for more than half their time. Only nodes that
     improved in a round pass on; every round is written to the shared folder. Equal costs go to the smaller struct,
     that is less time, then less sun.
     """
     keys = [*by, "node"]
+    edges = staged(edges.withColumnRenamed("u", "node"))
+    on = [k for k in keys if k in edges.columns]
     state = [F.lit(0.0).alias(c) for c in ("cost", "t", "sun", "run", "worst")]
     best = staged(sources.select(*keys).distinct().select(*keys, F.struct(*state).alias("s")))
     front = best
     for _ in range(most_rounds):
         sunny = F.col("sun") > 0.5 * F.col("t")
         run = F.when(sunny, F.col("s.run") + F.col("t")).otherwise(0.0)
-        step = front.join(edges.withColumnRenamed("u", "node"), keys).select(
+        step = front.join(edges, on).select(
             *by, F.col("v").alias("node"),
             F.struct(
                 (F.col("s.cost") + F.col("cost")).alias("cost"), (F.col("s.t") + F.col("t")).alias("t"), (F.col("s.sun") + F.col("sun")).alias("sun"),
                 run.alias("run"), F.greatest(F.col("s.worst"), run).alias("worst"),
             ).alias("s"),
         )
+        step = step if most_cost is None else step.where(F.col("s.cost") <= most_cost)
         offered = step.groupBy(*keys).agg(F.min("s").alias("offer"))
         merged = staged(best.join(offered, keys, "full_outer").select(*keys, F.least("s", "offer").alias("s"), F.coalesce(F.col("offer") < F.col("s"), F.col("s").isNull()).alias("better")))
         best, front = merged.drop("better"), merged.where("better").drop("better")
@@ -61,21 +65,21 @@ def weighted_edges(edges: DataFrame, weights: DataFrame, speed: float) -> DataFr
     return rows.withColumn("cost", (1 - F.col("weight")) * F.col("t") + F.col("weight") * F.col("sun"))
 
 
-def constrained(routes: DataFrame, budget: Column | float) -> DataFrame:
-    """Of the routes of a node, the one with least sun that keeps the time budget, the smaller weight on ties; and the fast one."""
+def constrained(routes: DataFrame, budget: Column | float, by: Sequence[str] = ()) -> DataFrame:
+    """Of the routes of a node (and of the keys ``by``), the one with least sun that keeps the time budget, the smaller weight on ties; and the fast one."""
     budget = F.lit(budget) if isinstance(budget, (int, float)) else budget
     order = F.struct(F.round("sun", 9), F.col("weight"))
     keeps = F.col("t") <= budget
-    return routes.groupBy("node").agg(
+    return routes.groupBy(*by, "node").agg(
         F.min_by("t", F.when(keeps, order)).alias("t"), F.min_by("sun", F.when(keeps, order)).alias("sun"), F.min_by("worst", F.when(keeps, order)).alias("worst"),
         F.min_by("t", "weight").alias("t_fast"), F.min_by("sun", "weight").alias("sun_fast"), F.max(keeps).alias("reachable"),
     )
 
 
-def frontier_summary(chosen: DataFrame) -> DataFrame:
-    """Sun saved and time paid by the shaded routes, over the reachable nodes."""
+def frontier_summary(chosen: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Sun saved and time paid by the shaded routes, over the reachable nodes of each of the keys ``by``."""
     there = chosen.where("reachable")
-    return there.agg(
+    return there.groupBy(*by).agg(
         F.count("*").alias("nodes"), median("t_fast").alias("t_fast"), median("t").alias("t_shaded"), median("sun_fast").alias("sun_fast"), median("sun").alias("sun_shaded"),
         (100 * (1 - ratio(F.sum("sun"), F.sum("sun_fast")))).alias("sun_saved_pct"), (100 * (ratio(F.sum("t"), F.sum("t_fast")) - 1)).alias("time_paid_pct"),
     )
@@ -84,3 +88,62 @@ def frontier_summary(chosen: DataFrame) -> DataFrame:
 def exposed_fraction(routes: DataFrame, by: Sequence[str]) -> DataFrame:
     """Mean sun over mean time; null when there is no walk."""
     return routes.groupBy(*by).agg(ratio(F.avg("sun"), F.when(F.avg("t") > 0, F.avg("t"))).alias("exposed"))
+
+
+def grid_convergence(coarse: DataFrame, fine: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """How far the constrained routes of a coarse grid of weights are from those of a finer one, over the nodes that both reach."""
+    was = coarse.where("reachable").select(*by, "node", F.col("sun").alias("sun_coarse"), F.col("t").alias("t_coarse"))
+    rows = was.join(fine.where("reachable"), [*by, "node"])
+    off = F.col("sun_coarse") - F.col("sun")
+    return rows.groupBy(*by).agg(
+        F.count("*").alias("nodes"), F.avg(off).alias("mean_sun"), F.max(off).alias("max_sun"), (100 * ratio(F.count_if(off > 1e-9), F.count("*"))).alias("improved_pct"),
+        F.max(F.abs(F.col("t_coarse") - F.col("t"))).alias("max_t"),
+    )
+
+
+def budget_grid(routes: DataFrame, speeds: DataFrame, people: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Reached nodes and people for every case (speed, budget, factor): ``factor`` turns minutes at the speed of the routes into those at ``speed``."""
+    rows = routes.crossJoin(F.broadcast(speeds))
+    keeps = F.col("t") * F.col("factor") <= F.col("budget")
+    each = rows.groupBy(*by, "speed", "budget", "node").agg(F.min(F.when(keeps, F.col("sun") * F.col("factor"))).alias("sun"), F.max(keeps).alias("reached"))
+    named = each.join(people, "node", "left").withColumn("pop", F.coalesce("pop", F.lit(0.0)))
+    there = lambda c: F.when(F.col("reached"), c)
+    return named.groupBy(*by, "speed", "budget").agg(
+        F.count_if("reached").alias("nodes"), F.coalesce(F.sum(there(F.col("pop"))), F.lit(0.0)).alias("people"), (100 * ratio(F.sum(there(F.col("pop"))), F.sum("pop"))).alias("people_pct"),
+        median(there(F.col("sun"))).alias("sun"),
+    )
+
+
+def snap(points: DataFrame, nodes: DataFrame, size: float) -> DataFrame:
+    """(point, node, connector): the nearest node of every point (point, x, y) among nodes (node, x, y), found in rings of cells of ``size``.
+
+    Points without a node in the cells around look in cells of twice the size, and so on; ties go to the least node.
+    """
+    cell = lambda c, s: F.floor(F.col(c) / s)
+    near = F.sequence(F.lit(-1), F.lit(1))
+    spots = nodes.select("node", F.col("x").alias("nx"), F.col("y").alias("ny"))
+    left, found = points.select("point", "x", "y"), []
+    while True:
+        around = left.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("cx", cell("x", size) + F.col("dx")).withColumn("cy", cell("y", size) + F.col("dy"))
+        placed = spots.withColumn("cx", cell("nx", size)).withColumn("cy", cell("ny", size))
+        gap = lambda a, b: (F.col(a) - F.col(b)) * (F.col(a) - F.col(b))
+        far = F.sqrt(gap("x", "nx") + gap("y", "ny"))
+        best = around.join(placed, ["cx", "cy"]).withColumn("far", far).where(F.col("far") <= size)  # beyond it a nearer one may lie outside the ring
+        best = staged(best.groupBy("point").agg(F.min(F.struct("far", "node")).alias("b")).select("point", F.col("b.node").alias("node"), F.col("b.far").alias("connector")))
+        found.append(best)
+        left = staged(left.join(best, "point", "left_anti"))
+        if left.limit(1).count() == 0 or spots.limit(1).count() == 0:
+            break
+        size *= 2
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def connection_modes(routes: DataFrame, snapped: DataFrame, speed: float) -> DataFrame:
+    """(point, mode, t, sun): minutes and sun minutes over the network alone, and with the way to the snapped node in sun or in shade."""
+    rows = snapped.join(routes.select("node", "t", "sun"), "node").withColumn("walk", F.col("connector") / speed / 60)
+    modes = {"network": (F.lit(0.0), F.lit(0.0)), "sun": (F.col("walk"), F.col("walk")), "shade": (F.col("walk"), F.lit(0.0))}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), (F.col("t") + t).alias("t"), (F.col("sun") + sun).alias("sun")) for m, (t, sun) in modes.items()]))
+    return rows.select("point", each.alias("m")).select("point", "m.*")

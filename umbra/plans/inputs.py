@@ -89,6 +89,8 @@ def with_views(body: str, *names: str) -> str:
         need(name)
     head = ",\n".join(f"{name} AS ({VIEWS[name]})" for name in order)
     body = body.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {head},\n{body[15:]}"
     if body.upper().startswith("WITH "):
         return f"WITH {head},\n{body[5:]}"
     return f"WITH {head}\n{body}"

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from umbra.operators import audit as A
 from umbra.operators import network as N
-from umbra.plans.inputs import REGISTRY, read, view
+from umbra.plans.inputs import REGISTRY, read, sections, view
 
 
 def edges(spark, d):
@@ -40,27 +40,108 @@ def facilities(spark, d):
     return read(spark, d, "supplier").select(F.pmod(F.col("s_suppkey") * 7919, F.lit(n)).alias("node")).distinct()
 
 
-def routes(spark, d, weights):
-    """The whole graph, all weights at once."""
+SPEED, BUDGET = 1.25, 60.0
+FINE, COARSE = [i / 20 for i in range(21)], [0.0, 0.25, 0.5, 0.75, 1.0]
+HOURS = [11, 14, 17]
+view("twoway", "SELECT u, v, min(struct_pack(length := length, frac := frac)) AS e FROM (SELECT u, v, length, frac FROM edges UNION ALL SELECT v, u, length, frac FROM edges) WHERE u <> v GROUP BY u, v", ["edges"])
+view("minutes", "SELECT u, v, e.length / 1.25 / 60 AS t, e.length / 1.25 / 60 * (1 - e.frac) AS sun FROM twoway", ["twoway"])
+view("facilities", "SELECT DISTINCT (s_suppkey * 7919) % (SELECT count(*) FROM part) AS node FROM supplier")
+view("nodes", "SELECT p_partkey AS node, (p_partkey % 40 * 500)::DOUBLE AS x, (p_partkey // 40 * 400 % 20000)::DOUBLE AS y FROM part")
+#: The least struct (cost, t, sun, run, worst) of every node, improved round by round.
+_RELAX = """RECURSIVE best(node, s) USING KEY (node) AS (
+    SELECT node, {'cost': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'sun': 0.0::DOUBLE, 'run': 0.0::DOUBLE, 'worst': 0.0::DOUBLE} FROM facilities
+    UNION (
+    SELECT o.v, min(o.s) AS s FROM (
+        SELECT v, {'cost': s.cost + t, 't': s.t + t, 'sun': s.sun + sun, 'run': run, 'worst': greatest(s.worst, run)} AS s FROM (
+            SELECT m.v, b.s, m.t, m.sun, CASE WHEN m.sun > 0.5 * m.t THEN b.s.run + m.t ELSE 0 END AS run FROM best b JOIN minutes m ON m.u = b.node)) o
+    LEFT JOIN recurring.best k ON k.node = o.v WHERE k.node IS NULL OR o.s < k.s GROUP BY o.v))"""
+
+
+def by_hour(both, spark):
+    """Edges at every hour; the shaded fraction moves with the sun."""
+    hours = spark.createDataFrame([(h,) for h in HOURS], "hour int")
+    return both.crossJoin(F.broadcast(hours)).withColumn("frac", F.pmod(F.round(F.col("frac") * 100).cast("int") + F.col("hour") * 17, F.lit(100)) / 100)
+
+
+def routes(spark, d, weights, hours=False):
+    """The whole graph, all weights and, if asked, hours at once."""
     both = N.undirected(edges(spark, d), ["length", "frac"])
     grid = spark.createDataFrame([(w,) for w in weights], "weight double")
     sources = facilities(spark, d).crossJoin(F.broadcast(grid))
-    return N.relax(N.weighted_edges(both, grid, 1.25), sources, ["weight"])
+    if hours:
+        both, sources = by_hour(both, spark), sources.crossJoin(F.broadcast(spark.createDataFrame([(h,) for h in HOURS], "hour int")))
+    return N.relax(N.weighted_edges(both, grid, SPEED), sources, ["hour", "weight"] if hours else ["weight"])
+
+
+def nodes(spark, d):
+    key = F.col("p_partkey")
+    return read(spark, d, "part").select(key.alias("node"), (F.pmod(key, F.lit(40)) * 500).cast("double").alias("x"), F.pmod(F.floor(key / 40) * 400, F.lit(20000)).cast("double").alias("y"))
+
+
+def snapped(spark, d):
+    return N.snap(sections(spark, d).select(F.col("cusec").alias("point"), "x", "y"), nodes(spark, d), 500.0)
 
 
-@REGISTRY.add("net_distance")
+@REGISTRY.add("net_distance", f"WITH {_RELAX} SELECT node, s.t AS t, s.sun AS sun, s.worst AS worst FROM best", "minutes facilities", "t sun worst")
 def _(spark, d):
     return routes(spark, d, [0.0]).select("node", "t", "sun", "worst")
 
 
 @REGISTRY.add("net_constrained_routes")
 def _(spark, d):
-    return N.constrained(routes(spark, d, [0.0, 0.25, 0.5, 0.75, 1.0]), 60.0)
+    return N.constrained(routes(spark, d, FINE, hours=True), BUDGET, ["hour"])
 
 
 @REGISTRY.add("net_frontier_summary")
 def _(spark, d):
-    return N.frontier_summary(N.constrained(routes(spark, d, [0.0, 0.5, 1.0]), 60.0))
+    return N.frontier_summary(N.constrained(routes(spark, d, FINE, hours=True), BUDGET, ["hour"]), ["hour"])
+
+
+@REGISTRY.add("net_grid_convergence")
+def _(spark, d):
+    fine = routes(spark, d, FINE, hours=True)
+    coarse = fine.where(F.col("weight").isin(COARSE))
+    return N.grid_convergence(N.constrained(coarse, BUDGET, ["hour"]), N.constrained(fine, BUDGET, ["hour"]), ["hour"])
+
+
+@REGISTRY.add("net_budget_grid")
+def _(spark, d):
+    cases = [(v, b, SPEED / v) for v in (0.8, 1.0, 1.25) for b in (30.0, 45.0, 60.0)]
+    people = sections(spark, d).select(F.col("cusec").alias("point"), "pop").join(snapped(spark, d), "point").groupBy("node").agg(F.sum("pop").alias("pop"))
+    return N.budget_grid(routes(spark, d, FINE), spark.createDataFrame(cases, "speed double, budget double, factor double"), people)
+
+
+@REGISTRY.add(
+    "net_facility_distance",
+    """WITH RECURSIVE walk AS (SELECT node AS facility, node, 0.0::DOUBLE AS t FROM facilities
+       UNION SELECT facility, v, walk.t + m.t FROM walk JOIN minutes m ON m.u = walk.node WHERE walk.t + m.t <= 60) SELECT facility, node, min(t) AS t FROM walk GROUP BY ALL""",
+    "minutes facilities",
+    "t",
+)
+def _(spark, d):
+    both = N.undirected(edges(spark, d), ["length", "frac"])
+    one = N.weighted_edges(both, spark.createDataFrame([(0.0,)], "weight double"), SPEED).drop("weight")
+    sources = facilities(spark, d).select(F.col("node").alias("facility"), "node")
+    return N.relax(one, sources, ["facility"], most_cost=BUDGET).select("facility", "node", "t")
+
+
+_SNAP = "SELECT cusec AS point, min(struct_pack(far := sqrt(power(s.x - n.x, 2) + power(s.y - n.y, 2)), node := node)) AS b FROM sections s, nodes n GROUP BY cusec"
+
+
+@REGISTRY.add("net_snap", f"SELECT point, b.node AS node, b.far AS connector FROM ({_SNAP})", "sections nodes", "connector")
+def _(spark, d):
+    return snapped(spark, d)
+
+
+@REGISTRY.add(
+    "net_connection_modes",
+    f"""WITH {_RELAX}, p AS (SELECT point, s.t AS t, s.sun AS sun, b.far / 1.25 / 60 AS walk FROM ({_SNAP}) JOIN best ON best.node = b.node)
+    SELECT point, mode, t + CASE mode WHEN 'network' THEN 0 ELSE walk END AS t, sun + CASE mode WHEN 'sun' THEN walk ELSE 0 END AS sun FROM p, (VALUES ('network'), ('sun'), ('shade')) m(mode)""",
+    "sections nodes minutes facilities",
+    "t sun",
+)
+def _(spark, d):
+    return N.connection_modes(routes(spark, d, [0.0]), snapped(spark, d), SPEED)
 
 
 @REGISTRY.add(
