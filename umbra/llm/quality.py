@@ -1,8 +1,8 @@
 """Quality classification by co-training: a text view and a metadata view teach each other, then vote.
 
-Both views are logistic regressions. In every round each view labels the documents of an
-unlabelled pool that it is surest of, for the other view to learn from. Calibrated on labels kept
-aside, the views' log odds add up (less the prior's, which each holds).
+Both views are logistic regressions. In every round each view scores all documents and labels some of those
+that it is sure of, for the other view to learn from. Calibrated on labels kept aside, the views' log odds
+add up (less the prior's, which each holds).
 """
 
 from __future__ import annotations
@@ -15,10 +15,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import Cache, staged, text_of
+from umbra.llm.common import Cache, arrow_batches, staged, text_of
+from umbra.llm.hashing import distinct_words, parts_of
 
 SHAPES, ENDINGS, WORDS, DENSE = 512, 256, 256, 8
 TEXT_WIDTH = SHAPES + ENDINGS + WORDS + DENSE
@@ -26,12 +28,15 @@ META_WIDTH = 64 + 16 + 24
 _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
 _SYMBOLS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
-_RUN = re.compile(rb"([A-Z])[A-Z]*|([a-z\x80-\xff])[a-z\x80-\xff]*|([0-9])[0-9]*|([^A-Za-z0-9\x80-\xff])\4*")
+_CLASSES = bytes(65 if chr(x) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 48 if chr(x) in "0123456789" else 97 if x >= 128 or chr(x).isalpha() else x for x in range(256))
+_REPEATED = re.compile(rb"(.)\1+", re.DOTALL)
 
 
 def shape(token: bytes) -> bytes:
     """Runs of capitals, small letters and digits as A, a and 0; runs of another character as itself."""
-    return b"".join(b"A" if m[1] else b"a" if m[2] else b"0" if m[3] else m[4] for m in _RUN.finditer(token))
+    if token.isalpha() and token.islower():
+        return b"a"
+    return _REPEATED.sub(rb"\1", token.translate(_CLASSES))
 
 
 def token_features(token: bytes) -> bytes:
@@ -46,18 +51,24 @@ def token_features(token: bytes) -> bytes:
     ).tobytes()
 
 
-def text_features(text: bytes, tokens: Cache) -> np.ndarray:
-    words, size = text.split(), max(len(text), 1)
-    out = np.zeros(TEXT_WIDTH, np.float32)
-    counts = np.bincount(np.frombuffer(b"".join([tokens[w] for w in words]), np.uint16), minlength=TEXT_WIDTH - DENSE)
-    n = max(len(words), 1)
-    out[:-DENSE] = np.sqrt(counts / n)
-    lines = text.split(b"\n")
-    without = lambda some: (len(text) - len(text.translate(None, some))) / size
-    out[-DENSE:] = (
-        np.log1p(len(words)), np.log1p(len(text) / n), len(set(words)) / n, len(set(lines)) / len(lines),
-        np.log1p(len(lines)), without(_UPPER), without(_DIGITS), without(_SYMBOLS),
-    )
+def text_features(texts: pa.Array, tokens: Cache) -> np.ndarray:
+    """A row for each text: shares of its words' features, as roots, and what its length, words, lines and characters are like."""
+    words, numbers, sizes = distinct_words(texts, fold=False)
+    rows, width = len(sizes), TEXT_WIDTH - DENSE
+    features = np.frombuffer(b"".join([tokens[w] for w in words]), np.uint16).reshape(-1, 3).astype(np.int64)
+    row = np.repeat(np.arange(rows), sizes)
+    counts = sum(np.bincount(row * width + features[numbers, k], minlength=rows * width) for k in range(3)).reshape(rows, width)
+    n = np.maximum(sizes, 1)
+    out = np.empty((rows, TEXT_WIDTH), np.float32)
+    np.sqrt(counts / n[:, None], out=out[:, :width], casting="unsafe")
+    different = np.bincount(pc.unique(pa.array(row * max(len(words), 1) + numbers)).to_numpy() // max(len(words), 1), minlength=rows)
+    dense = []
+    for text in texts.cast(pa.binary()).to_pylist():
+        size, lines = len(text), text.split(b"\n")
+        share = lambda some: (size - len(text.translate(None, some))) / max(size, 1)  # noqa: B023, E731
+        dense.append((size, len(set(lines)) / len(lines), np.log1p(len(lines)), share(_UPPER), share(_DIGITS), share(_SYMBOLS)))
+    size, *others = np.array(dense).reshape(-1, 6).T
+    out[:, width:] = np.column_stack([np.log1p(sizes), np.log1p(size / n), different / n, *others])
     return out
 
 
@@ -80,7 +91,8 @@ class View:
     shift: float = 0.0
 
     def raw(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / self.scale @ self.weight[:-1] + self.weight[-1]
+        by_scale = self.weight[:-1] / self.scale
+        return x @ by_scale + (self.weight[-1] - self.mean @ by_scale)
 
     def log_odds(self, x: np.ndarray) -> np.ndarray:
         return np.clip(self.slope * self.raw(x) + self.shift, -30, 30)
@@ -136,60 +148,77 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(a + b - self.prior)
 
 
-def co_train(text: np.ndarray, meta: np.ndarray, y: np.ndarray, pool_text: np.ndarray, pool_meta: np.ndarray, rounds: int = 3, share: float = 0.05, sure: float = 0.95) -> Model:
-    """Learns both views. One label in four is kept aside to calibrate.
+@dataclass
+class Lessons:
+    """Features of both views and labels (1 good); ``aside`` are those that calibrate."""
 
-    In each round a view hands over at most ``share`` of the pool, its surest documents of either class in
-    the labels' proportion, and none it is less than ``sure`` of. They weigh half a label.
-    """
-    good = float(y.mean()) if len(y) else 0.5
-    prior = float(np.log((good * len(y) + 1) / ((1 - good) * len(y) + 1)))
-    aside = np.arange(len(y)) % 4 == 3
-    if len(y) < 8 or len(set(y[~aside])) < 2 or len(set(y[aside])) < 2:
-        return Model(None, None, prior)
-    features, pools = (text, meta), (pool_text, pool_meta)
-    given: list[dict[int, float]] = [{}, {}]  # pool row -> label, for each view
-
-    def learn(view: int) -> View:
-        rows, labels = list(given[view]), list(given[view].values())
-        x = np.concatenate([features[view][~aside], pools[view][rows]])
-        return fit(x, np.concatenate([y[~aside], labels]), np.concatenate([np.ones(int((~aside).sum())), np.full(len(rows), 0.5)]))
-
-    def calibrate(view: int) -> View:
-        return calibrated(learn(view), features[view][aside], y[aside])
-
-    views = [calibrate(0), calibrate(1)]
-    for _ in range(rounds if len(pool_text) else 0):
+    views: tuple[np.ndarray, np.ndarray]
+    y: np.ndarray
+
+    @property
+    def aside(self) -> np.ndarray:
+        return np.arange(len(self.y)) % 4 == 3
+
+    @property
+    def good(self) -> float:
+        return float(self.y.mean()) if len(self.y) else 0.5
+
+    @property
+    def prior(self) -> float:
+        return float(np.log((self.good * len(self.y) + 1) / ((1 - self.good) * len(self.y) + 1)))
+
+    @property
+    def enough(self) -> bool:
+        return len(self.y) >= 8 and all(len(set(self.y[some])) == 2 for some in (self.aside, ~self.aside))
+
+    def model(self, given: tuple[list[tuple[np.ndarray, np.ndarray]], ...] = ([], [])) -> Model:
+        """Both views from the labels and what each was ``given``, (features, labels) of which weigh half a label; one label in four calibrates."""
+        views = []
+        for view in (0, 1):
+            parts = [(self.views[view][~self.aside], self.y[~self.aside], 1.0), *((*x, 0.5) for x in given[view])]
+            learned = fit(*(np.concatenate(x) for x in zip(*[(x, y, np.full(len(y), w)) for x, y, w in parts], strict=True)))
+            views.append(calibrated(learned, self.views[view][self.aside], self.y[self.aside]))
+        return Model(*views, self.prior)
+
+
+def co_train(lessons: Lessons, surest, rounds: int = 3, sure: float = 0.95) -> Model:
+    """Learns both views. In each round ``surest(model, sure, good)`` gives, for each view, what it teaches the other one:
+    (the other view's features, labels) of documents that it is at least ``sure`` of, a share of about ``good`` of them good."""
+    if not lessons.enough:
+        return Model(None, None, lessons.prior)
+    given: tuple[list, list] = ([], [])
+    model = lessons.model()
+    for _ in range(rounds):
+        found = surest(model, sure, lessons.good)
         for view in (0, 1):
-            p = _sigmoid(views[view].log_odds(pools[view]))
-            most = int(share * len(p))
-            best, worst = np.argsort(-p, kind="stable")[: int(most * good)], np.argsort(p, kind="stable")[: int(most * (1 - good))]
-            given[1 - view] |= {int(i): 1.0 for i in best if p[i] >= sure} | {int(i): 0.0 for i in worst if p[i] <= 1 - sure}
-        views = [calibrate(0), calibrate(1)]
-    return Model(*views, prior)
+            given[1 - view].append(found[view])
+        model = lessons.model(given)
+    return model
 
 
 _SCORED = "text_score double, meta_score double, quality_score double"
 
 
-def _arrays(rows: DataFrame, keep: list[str]) -> pa.Table:
-    """Features of both views (as bytes) for the rows text, source, lang, n_chars, with the columns ``keep``."""
+def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+    """The batches (text, source, lang, n_chars and more) in parts, with the features of both views."""
+    tokens = Cache(token_features)
+    for part in parts_of(batches, 0):
+        meta = [meta_features(*m) for m in zip(*[c.to_pylist() for c in part.columns[1:4]], strict=True)]
+        yield part, text_features(part.column(0), tokens), np.stack(meta)
 
-    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = Cache(token_features)
-        for batch in batches:
-            texts, *meta = [c.to_pylist() for c in (batch.column(0).cast(pa.binary()), *batch.columns[1:4])]
-            a = [text_features(t, tokens).tobytes() for t in texts]
-            b = [meta_features(*m).tobytes() for m in zip(*meta, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), *batch.columns[4:]], names=["a", "b", *keep])
 
-    kinds = dict(rows.dtypes)
-    out = ", ".join(["a binary", "b binary", *(f"{k} {kinds[k]}" for k in keep)])
-    return rows.select("text", "source", "lang", "n_chars", *keep).mapInArrow(make, out).toArrow()
+def _arrays(rows: DataFrame, y: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features of both views and the column ``y`` of the rows, in the order of their doc_id and features."""
 
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part, a, b in _features(batches):
+            packed = lambda x: pa.array([row.tobytes() for row in x], pa.binary())
+            yield pa.RecordBatch.from_arrays([packed(a), packed(b), *part.columns[4:]], names=["a", "b", "doc_id", "y"])
 
-def _matrix(table: pa.Table, column: str, width: int) -> np.ndarray:
-    return np.frombuffer(b"".join(table.column(column).to_pylist()), np.float32).reshape(-1, width)
+    found = rows.select("text", "source", "lang", "n_chars", "doc_id", F.col(y).alias("y")).mapInArrow(make, "a binary, b binary, doc_id long, y double")
+    table = found.toArrow().sort_by([("doc_id", "ascending"), ("a", "ascending"), ("b", "ascending")])
+    matrix = lambda column, width: np.frombuffer(b"".join(table.column(column).to_pylist()), np.float32).reshape(-1, width)
+    return matrix("a", TEXT_WIDTH), matrix("b", META_WIDTH), table.column("y").to_numpy()
 
 
 def _views(docs: DataFrame) -> DataFrame:
@@ -199,25 +228,47 @@ def _views(docs: DataFrame) -> DataFrame:
     )
 
 
-def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 4000, most_pool: int = 4000) -> Model:
-    """The co-trained model from at most ``most_labelled`` labels and ``most_pool`` other documents, taken by a hash of the id."""
-    some = (
-        labels.where("doc_id is not null and quality is not null")
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(most_labelled)
-    )
-    some = staged(some)
+def by_hash(ids: DataFrame, what: str, most: int) -> DataFrame:
+    """At most ``most`` of the rows, by a hash of the doc_id."""
+    return ids.orderBy(F.xxhash64("doc_id", F.lit(what)), "doc_id").limit(most)
+
+
+def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_given: int = 1000, rounds: int = 3) -> Model:
+    """The co-trained model from at most ``most_labelled`` labels, taken by a hash of the id.
+
+    In each round both views score all documents. Of those without a label that a view is sure of, at most
+    ``most_given`` go to the other view, in the proportion of the labels and by a hash of the id.
+    A document whose id repeats teaches nothing unless it is labelled; then its first row does.
+    """
+    counted = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").cast("double").alias("y"))
     rows = _views(docs)
-    given = _arrays(rows.join(F.broadcast(some), "doc_id"), ["doc_id", "y"]).sort_by([("doc_id", "ascending")])
-    ids = rows.where("doc_id is not null").select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("pool")), "doc_id").limit(most_pool)
-    ids = staged(ids.join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti").distinct())
-    pool = _arrays(rows.join(F.broadcast(ids), "doc_id", "left_semi"), ["doc_id"]).sort_by([("doc_id", "ascending")])
-    # repeated ids may give more rows than ids; the bound holds for rows as well
-    given, pool = given.slice(0, most_labelled), pool.slice(0, most_pool)
-    return co_train(
-        _matrix(given, "a", TEXT_WIDTH), _matrix(given, "b", META_WIDTH), given.column("y").to_numpy(),
-        _matrix(pool, "a", TEXT_WIDTH), _matrix(pool, "b", META_WIDTH),
-    )
+    some = staged(by_hash(counted, "label", most_labelled))
+    known = rows.join(F.broadcast(some), "doc_id")
+    # a labelled id may repeat: of its rows one is taken
+    first = staged(known.groupBy("doc_id").agg(F.min(F.xxhash64("text", "source", "lang", "n_chars")).alias("row")))
+    chosen = known.withColumn("row", F.xxhash64("text", "source", "lang", "n_chars")).join(F.broadcast(first), ["doc_id", "row"]).dropDuplicates(["doc_id"])
+    a, b, y = _arrays(chosen, "y")
+    lessons = Lessons((a, b), y)
+
+    def surest(model: Model, sure: float, good: float) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
+        scored = staged(score(rows.where("doc_id is not null"), model, ["doc_id"]).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti"))
+        out = []
+        for view, column in enumerate(("text_score", "meta_score")):
+            picked = [
+                by_hash(scored.where(found).select("doc_id"), f"{view}", max(round(most_given * share), 1)).withColumn("y", F.lit(label))
+                for found, share, label in ((F.col(column) >= sure, good, 1.0), (F.col(column) <= 1 - sure, 1 - good, 0.0))
+            ]
+            ids = staged(picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.min("y").alias("y"), F.count("*").alias("rows")).where("rows = 1"))
+            features = _arrays(rows.join(F.broadcast(ids), "doc_id"), "y")
+            out.append((features[1 - view][: 4 * most_given], features[2][: 4 * most_given]))
+        return out[0], out[1]
+
+    return co_train(lessons, surest, rounds)
+
+
+def fitted(docs: DataFrame, labels: DataFrame) -> Model:
+    with arrow_batches(docs.sparkSession, rows=10_000, size=8 << 20):
+        return learned(docs, labels)
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
@@ -230,17 +281,8 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, meta, prior = shared.value
         model = Model(text and View(**text), meta and View(**meta), prior)
-        tokens = Cache(token_features)
-        for batch in batches:
-            texts = batch.column(0).cast(pa.binary()).to_pylist()
-            facts = list(zip(*[c.to_pylist() for c in batch.columns[1:4]], strict=True))
-            parts = [np.empty((3, 0))]
-            for at in range(0, len(texts), 512):
-                a = np.stack([text_features(t, tokens) for t in texts[at : at + 512]])
-                b = np.stack([meta_features(*m) for m in facts[at : at + 512]])
-                parts.append(np.stack(model.scores(a, b)))
-            scores = np.concatenate(parts, axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns[4:], *map(pa.array, scores)], names=[*(f"k{i}" for i in range(len(keep))), *(c.split()[0] for c in _SCORED.split(", "))])
+        for part, a, b in _features(batches):
+            yield pa.RecordBatch.from_arrays([*part.columns[4:], *(pa.array(x.astype(np.float64)) for x in model.scores(a, b))], names=[*(f"k{i}" for i in range(len(keep))), *(c.split()[0] for c in _SCORED.split(", "))])
 
     views = docs.select(
         text_of().alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
@@ -255,13 +297,14 @@ def classify(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFram
 
     Null texts count as empty, null metadata as a value of its own. Labels that are null or of
     unknown documents are ignored; a document labelled twice has its lower label. With fewer than eight
-    labels or one class only, every score is the labels' smoothed share of good ones (0.5 without any).
+    labels or one class only, every score is the labels' smoothed share of good ones (0.5 without any). Texts
+    are read whole; repeated rows are scored each. An empty table gives no rows; other columns are ignored.
     """
-    scored = score(docs, learned(docs, labels), ["doc_id"])
+    scored = score(docs, fitted(docs, labels), ["doc_id"])
     return scored.withColumn("accepted", F.col("quality_score") >= limit)
 
 
 def accepted(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
     """The documents that the classifier accepts, all columns kept."""
     columns = docs.columns
-    return score(docs, learned(docs, labels), columns).where(F.col("quality_score") >= limit).select(*columns)
+    return score(docs, fitted(docs, labels), columns).where(F.col("quality_score") >= limit).select(*columns)
