@@ -9,6 +9,7 @@ from umbra.plans import (  # noqa: F401
     quality_plans,
     shade_plans,
     shelter_plans,
+    source_plans,
 )
 from umbra.plans.inputs import REGISTRY
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from umbra.functions.stats import cosine_law_km
 from umbra.operators import geometry as G
 from umbra.operators import shade as S
-from umbra.plans.inputs import REGISTRY, read, sections, stations, view
+from umbra.plans.inputs import REGISTRY, observations, read, sections, stations, view
 
 SUNS = [("morning", 20.0, 95.0), ("noon", 70.0, 180.0), ("evening", 12.0, 285.0), ("low", 3.0, 295.0)]
 _SUNS = "(VALUES ('morning', 20.0::DOUBLE, 95.0::DOUBLE), ('noon', 70.0, 180.0), ('evening', 12.0, 285.0), ('low', 3.0, 295.0)) s(sun, elevation, azimuth)"
@@ -142,3 +143,120 @@ def _(spark, d):
 @REGISTRY.add("geo_from_east_edge", "SELECT cusec, (x - (SELECT max(x) FROM sections)) / 1000 AS east_km FROM sections", "sections", "east_km")
 def _(spark, d):
     return G.from_east_edge(sections(spark, d)).select("cusec", "east_km")
+
+
+# suns, exposure and zones
+
+PLACE = (39.47, -0.38)
+TRANSMITTANCE = [0.0, 0.2, 0.4]
+
+
+@REGISTRY.add(
+    "shd_sun_positions",
+    """WITH a AS (SELECT DISTINCT dayofyear(ts)::INTEGER AS day, hour(ts)::INTEGER AS hour FROM obs), g AS (SELECT *, 2 * pi() * (day - 1) / 365 AS g FROM a),
+    e AS (SELECT *, 0.006918 - 0.399912 * cos(g) + 0.070257 * sin(g) - 0.006758 * cos(2 * g) + 0.000907 * sin(2 * g) - 0.002697 * cos(3 * g) + 0.00148 * sin(3 * g) AS dec,
+        radians(((hour + 0.5) * 60 + 229.18 * (0.000075 + 0.001868 * cos(g) - 0.032077 * sin(g) - 0.014615 * cos(2 * g) - 0.040849 * sin(2 * g)) + 4 * -0.38::DOUBLE) / 4 - 180) AS angle, radians(39.47::DOUBLE) AS lat FROM g)
+    SELECT day, hour, degrees(asin(sin(lat) * sin(dec) + cos(lat) * cos(dec) * cos(angle))) AS elevation,
+        (degrees(atan2(-sin(angle) * cos(dec), cos(lat) * sin(dec) - sin(lat) * cos(dec) * cos(angle))) + 360) % 360 AS azimuth FROM e""",
+    "obs",
+    "elevation azimuth",
+)
+def _(spark, d):
+    when = observations(spark, d).select(F.dayofyear("ts").alias("day"), F.hour("ts").alias("hour")).distinct()
+    elevation, azimuth = S.sun_position(*PLACE, F.col("day"), F.col("hour") + 0.5)
+    return when.select("day", "hour", elevation.alias("elevation"), azimuth.alias("azimuth"))
+
+
+_EDGE = f"""SELECT edge, s.sun, avg(CASE WHEN elevation <= 5 OR h.sun IS NOT NULL THEN 1.0::DOUBLE ELSE 0.0 END) AS frac
+    FROM (SELECT edge, least(greatest(floor(round(y, 6) / 3), 0), {GRID - 1})::INTEGER AS row, least(greatest(floor(round(x, 6) / 3), 0), {GRID - 1})::INTEGER AS col FROM points) p CROSS JOIN {_SUNS}
+    LEFT JOIN shaded h ON h.sun = s.sun AND h.row = p.row AND h.col = p.col GROUP BY ALL"""
+
+
+def edge_fractions(spark, d):
+    at = points(spark, d).select("edge", G.cell(F.round("y", 6), 0.0, 3.0, GRID - 1).alias("row"), G.cell(F.round("x", 6), 0.0, 3.0, GRID - 1).alias("col"))
+    return S.edge_shade(at, shaded(spark, d), suns(spark))
+
+
+def edge_lengths(spark, d):
+    return sections(spark, d).select(F.col("cusec").alias("edge"), (F.abs(F.col("x") - F.col("y")) + 1).alias("length"))
+
+
+@REGISTRY.add(
+    "shd_network_shade", f"SELECT sun, sum(frac * length) / sum(length) AS shade FROM ({_EDGE}) JOIN (SELECT cusec AS edge, abs(x - y) + 1 AS length FROM sections) USING (edge) GROUP BY sun", "points shaded", "shade"
+)
+def _(spark, d):
+    return S.network_shade(edge_fractions(spark, d), edge_lengths(spark, d))
+
+
+def canopy(spark, d):
+    key = F.col("s_suppkey")
+    rows = read(spark, d, "supplier").select(F.pmod(key * 31, F.lit(GRID)).cast("int").alias("row"), F.pmod(key * 13, F.lit(GRID)).cast("int").alias("col"), (F.pmod(key, F.lit(9)) + 4.0).alias("h"))
+    return rows.groupBy("row", "col").agg(F.max("h").alias("h"))
+
+
+view("canopy", f"SELECT (s_suppkey * 31 % {GRID})::INTEGER AS row, (s_suppkey * 13 % {GRID})::INTEGER AS col, max(s_suppkey % 9 + 4.0::DOUBLE) AS h FROM supplier GROUP BY 1, 2")
+
+
+@REGISTRY.add("shd_obstructions", "SELECT row, col, coalesce(greatest(b.h, c.h), b.h, c.h) AS h, coalesce(b.h, 0) <= 0 AS only_canopy FROM cells b FULL JOIN canopy c USING (row, col)", "cells canopy", "h")
+def _(spark, d):
+    return S.obstructions(cells(spark, d), canopy(spark, d))
+
+
+@REGISTRY.add(
+    "shd_exposure",
+    """SELECT tau, l_returnflag AS kind, sum(l_quantity * (greatest(0, least(1, 1 - (l_discount + l_tax) * 5)) + tau * greatest(0, least(1, (l_discount + l_tax) * 5 - l_discount * 5)))) AS sun
+       FROM lineitem, (VALUES (0.0::DOUBLE), (0.2), (0.4)) t(tau) GROUP BY ALL""",
+    doubles="tau sun",
+)
+def _(spark, d):
+    taus = spark.createDataFrame([(t,) for t in TRANSMITTANCE], "tau double")
+    rows = read(spark, d, "lineitem").crossJoin(F.broadcast(taus))
+    sun = S.exposure(F.col("l_quantity"), F.col("l_discount") * 5, (F.col("l_discount") + F.col("l_tax")) * 5, F.col("tau"))
+    return rows.groupBy("tau", F.col("l_returnflag").alias("kind")).agg(F.sum(sun).alias("sun"))
+
+
+ZONE = 20.0
+view(
+    "ring_cells",
+    """SELECT cusec, pop, row, col FROM (SELECT cusec, pop, x, y, row, unnest(range(floor((x - 10) / 20)::BIGINT, floor((x + 60) / 20)::BIGINT + 1)) AS col FROM (
+        SELECT cusec, pop, x, y, unnest(range(floor(y / 20)::BIGINT, floor((y + 50) / 20)::BIGINT + 1)) AS row FROM sections))
+       WHERE (SELECT count(*) FROM (VALUES (0, 0, 40, 0), (40, 0, 60, 30), (60, 30, 20, 50), (20, 50, -10, 30), (-10, 30, 0, 0)) e(ax, ay, bx, by_)
+              WHERE (y + ay > (row + 0.5) * 20) <> (y + by_ > (row + 0.5) * 20) AND (col + 0.5) * 20 < x + ax + ((row + 0.5) * 20 - y - ay) * (bx - ax) / nullif(by_ - ay, 0)::DOUBLE) % 2 = 1""",
+    ["sections"],
+)
+
+
+def zones(spark, d):
+    return rings(spark, d).join(sections(spark, d).select("cusec", "pop"), "cusec").select(F.col("cusec").alias("feature"), "ring", F.col("pop").alias("h"))
+
+
+@REGISTRY.add("geo_cells_inside", "SELECT row::INTEGER AS row, col::INTEGER AS col, arg_max(pop, cusec) AS h FROM ring_cells GROUP BY ALL", "ring_cells", "h")
+def _(spark, d):
+    return G.cells_inside(zones(spark, d), ZONE)
+
+
+@REGISTRY.add(
+    "geo_zonal_statistics",
+    """WITH h AS (SELECT sheet, row, col, (row * 7 + col * 13 + sheet * 5) % 50 + 1.0::DOUBLE AS h FROM (SELECT DISTINCT row, col FROM ring_cells), (VALUES (1), (2)) s(sheet) WHERE (row + col) % (sheet + 1) = 0),
+    s AS (SELECT cusec AS feature, sheet, count(*) AS cells, quantile_cont(h, 0.5) AS h_median, quantile_cont(h, 0.75) AS h_p75, quantile_cont(h, 0.9) AS h_p90 FROM ring_cells JOIN h USING (row, col) GROUP BY ALL)
+    SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY feature ORDER BY cells DESC, sheet) = 1""",
+    "ring_cells",
+    "h_median h_p75 h_p90",
+)
+def _(spark, d):
+    rows = zones(spark, d)
+    sheets = spark.createDataFrame([(1,), (2,)], "sheet int")
+    at = G.covered_cells(rows, ZONE).select("row", "col").distinct().crossJoin(F.broadcast(sheets)).where("(row + col) % (sheet + 1) = 0")
+    heights = at.withColumn("h", F.expr("(row * 7 + col * 13 + sheet * 5) % 50 + 1.0D"))
+    return G.zonal_statistics(rows, heights, ZONE)
+
+
+@REGISTRY.add(
+    "geo_radius",
+    """SELECT cusec, km FROM (SELECT cusec, 6371.0 * acos(least(1.0, sin(radians(39 + y / 111000)) * sin(radians(39.1::DOUBLE)) + cos(radians(39 + y / 111000)) * cos(radians(39.1::DOUBLE)) * cos(radians(0.1::DOUBLE - x / 85000)))) AS km FROM sections) WHERE km <= 8""",
+    "sections",
+    "km",
+)
+def _(spark, d):
+    far = cosine_law_km(39 + F.col("y") / 111000, F.col("x") / 85000, F.lit(39.1), F.lit(0.1))
+    return sections(spark, d).select("cusec", far.alias("km")).where("km <= 8")

@@ -25,12 +25,21 @@ def decimal_comma(text: Column) -> Column:
 
 
 def demography(spark: SparkSession, path: str, prefix: str) -> DataFrame:
-    """Long demography as a row per section: the latest period, sections of one municipality, indicators as columns."""
+    """A long demography file as a row per section."""
     schema = "municipality string, section string, indicator string, period string, total string"
-    rows = table_csv(spark, path, schema, ";").where("trim(section) <> ''").withColumn("cusec", F.split(F.trim("section"), r"\s+")[0])
+    return wide_demography(table_csv(spark, path, schema, ";"), prefix)
+
+
+def wide_demography(rows: DataFrame, prefix: str, indicators: Sequence[str] | None = None) -> DataFrame:
+    """Long demography as a row per section: the latest period, sections of one municipality, indicators as columns.
+
+    Naming the ``indicators`` saves a pass that finds them.
+    """
+    rows = rows.where("trim(section) <> ''").withColumn("cusec", F.split(F.trim("section"), r"\s+")[0])
     rows = rows.where(F.col("cusec").startswith(prefix))
     last = rows.agg(F.max("period").alias("period"))
-    return rows.join(F.broadcast(last), "period").groupBy("cusec").pivot("indicator").agg(F.min(decimal_comma(F.col("total"))))
+    names = list(indicators) if indicators else None
+    return rows.join(F.broadcast(last), "period").groupBy("cusec").pivot("indicator", names).agg(F.min(decimal_comma(F.col("total"))))
 
 
 def json_documents(spark: SparkSession, path: str) -> DataFrame:
@@ -66,4 +75,5 @@ def height_cells(cells: DataFrame, nodata: float) -> DataFrame:
 
 def complete_files(df: DataFrame, expected: int) -> DataFrame:
     """One row: how many files were read and whether it is the number expected."""
-    return df.agg(F.count_distinct(F.input_file_name()).alias("files")).withColumn("complete", F.col("files") == expected)
+    files = df.select(F.col("_metadata.file_path").alias("file")).distinct()
+    return files.agg(F.count("*").alias("files")).withColumn("complete", F.col("files") == expected)
