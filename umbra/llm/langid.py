@@ -7,15 +7,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import Cache, crc_bucket, join_by_group, slices, staged, text_of, union_all
+from umbra.llm.common import Cache, arrow_batches, crc_bucket, join_by_group, staged, text_of, union_all
+from umbra.llm.hashing import distinct_words, parts_of
 
 #: Lengths of the n-grams, tried from the longest to the shortest.
 GRAMS = (5, 4, 3, 2, 1)
-#: Share of a language's words from which one is frequent and goes to the tasks; so there are at most 1/share of each language.
-LEAST_SHARE = 2e-6
+#: So many of the most frequent words go to the tasks at most.
+MOST_WORDS = 200_000
 
 
 def bare(token: str) -> str:
@@ -23,32 +24,51 @@ def bare(token: str) -> str:
     return token if token.isalpha() else "".join(filter(str.isalpha, token))
 
 
+def words_in(token: bytes) -> list[str]:
+    """The words with letters of a token between ASCII white space, which may hold other white space."""
+    return [word for word in map(bare, token.decode("utf-8", "replace").lower().split()) if word]
+
+
 def grams_of(word: str, n: int) -> list[str]:
     marked = f"^{word}$" if n > 1 else word
     return [marked[i : i + n] for i in range(len(marked) - n + 1)]
 
 
+def grams(word: Column, n: int) -> Column:
+    """The same in Spark."""
+    marked = F.concat(F.lit("^"), word, F.lit("$")) if n > 1 else word
+    places = F.when(F.length(marked) >= n, F.sequence(F.lit(1), F.length(marked) - n + 1))
+    return F.transform(places, lambda i: F.substring(marked, i, F.lit(n)))
+
+
 def word_counts(training: DataFrame, flush: int = 300_000) -> DataFrame:
     """(lang, word, count) of the training texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[str, Counter[str]] = {}
+        seen: dict[str, defaultdict[bytes, int]] = {}
 
         def rows() -> Iterator[pa.RecordBatch]:
             for lang, tokens in seen.items():
                 words: Counter[str] = Counter()
                 for token, times in tokens.items():
-                    words[bare(token)] += times
-                words.pop("", None)
+                    for word in words_in(token):
+                        words[word] += times
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([lang] * len(words), pa.string()), pa.array(words.keys(), pa.string()), pa.array(words.values(), pa.int64())],
                     names=["lang", "word", "count"],
                 )
             seen.clear()
 
-        for batch in batches:
-            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                seen.setdefault(lang, Counter()).update(text.lower().split())
+        for part in parts_of(batches, 1):
+            langs = part.column(0).dictionary_encode()
+            tokens, numbers, sizes = distinct_words(part.column(1))
+            cells = np.repeat(langs.indices.to_numpy().astype(np.int64), sizes) * len(tokens) + numbers
+            table = np.bincount(cells, minlength=len(langs.dictionary) * len(tokens)).reshape(len(langs.dictionary), -1)
+            for lang, times in zip(langs.dictionary.to_pylist(), table, strict=True):
+                there = np.flatnonzero(times)
+                mine = seen.setdefault(lang, defaultdict(int))
+                for i, n in zip(there.tolist(), times[there].tolist(), strict=True):
+                    mine[tokens[i]] += n
             if sum(map(len, seen.values())) >= flush:
                 yield from rows()
         yield from rows()
@@ -57,67 +77,49 @@ def word_counts(training: DataFrame, flush: int = 300_000) -> DataFrame:
     return counted.groupBy("lang", "word").agg(F.sum("count").alias("count"))
 
 
-def gram_counts(words: DataFrame, flush: int = 300_000) -> DataFrame:
-    """(lang, n, gram, count) of the n-grams of all words, made from the word counts."""
+def gram_counts(words: DataFrame, n: int) -> DataFrame:
+    """(lang, gram, count) of the n-grams of all words, made from the word counts."""
+    spelled = words.select("lang", "count", F.explode(grams(F.col("word"), n)).alias("gram"))
+    return spelled.groupBy("lang", "gram").agg(F.sum("count").alias("count"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: dict[tuple[str, int], defaultdict[str, int]] = {}
 
-        def rows() -> Iterator[pa.RecordBatch]:
-            for (lang, n), grams in seen.items():
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([lang] * len(grams), pa.string()), pa.array([n] * len(grams), pa.int32()), pa.array(grams.keys(), pa.string()), pa.array(grams.values(), pa.int64())],
-                    names=["lang", "n", "gram", "count"],
-                )
-            seen.clear()
+def lifts(counts: DataFrame, key: str, langs: list[str], floor: float) -> DataFrame:
+    """(key, lift, times): by how much its log10 share of each language is above ``floor``, 0 where it has none, and its count in all."""
+    totals = counts.groupBy("lang").agg(F.sum("count").alias("total"))
+    shares = counts.join(F.broadcast(totals), "lang")  # a row per language
+    lift = F.log10(F.col("count") / F.col("total")) - floor
+    each = [F.coalesce(F.max(F.when(F.col("lang") == lang, lift)), F.lit(0.0)) for lang in langs]
+    return shares.groupBy(key).agg(F.array(*each).alias("lift"), F.sum("count").alias("times"))
 
-        for batch in slices(batches, 2048):
-            for lang, word, times in zip(*[c.to_pylist() for c in batch.columns], strict=True):
-                for n in GRAMS:
-                    grams = seen.get((lang, n))
-                    if grams is None:
-                        grams = seen[lang, n] = defaultdict(int)
-                    for gram in grams_of(word, n):
-                        grams[gram] += times
-            if sum(map(len, seen.values())) >= flush:
-                yield from rows()
-        yield from rows()
 
-    counted = words.select("lang", "word", "count").mapInArrow(count, "lang string, n int, gram string, count long")
-    return counted.groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
-
-
-def lifts(counts: DataFrame, keys: list[str], place: DataFrame, floor: float) -> DataFrame:
-    """(keys, lifts, most): by how much its log10 share of each language that shows it is above ``floor``, and its greatest share."""
-    totals = counts.groupBy("lang", *keys[:-1]).agg(F.sum("count").alias("total"))
-    shares = counts.join(F.broadcast(totals.join(place, "lang")), ["lang", *keys[:-1]])  # a row per language and length
-    share = F.col("count") / F.col("total")
-    return shares.groupBy(*keys).agg(F.collect_list(F.struct("at", (F.log10(share) - floor).alias("lift"))).alias("lifts"), F.max(share).alias("most"))
-
-
-_LIFTS = "array<struct<at:int,lift:double>>"
+def least_times(words: DataFrame, most: int, levels: int = 8) -> int:
+    """The least count such that no more than ``most`` words have it or more, as far as ``levels`` steps for each doubling tell."""
+    level = F.floor(levels * F.log2("times")).cast("int")
+    types = words.groupBy(level.alias("level")).agg(F.count("*").alias("types")).orderBy(F.desc("level")).collect()  # some hundred rows
+    before, least = 0, None
+    for row in types:
+        before += row["types"]
+        if before > most:
+            break
+        least = row["level"]
+    return int(np.ceil(2 ** ((types[0]["level"] + 1 if least is None else least) / levels) - 1e-9)) if types else 1
 
 
-def backed_off(words: DataFrame, grams: DataFrame, floor: float) -> DataFrame:
-    """(word, lifts): means over the n-grams of the longest length that has known ones; no row when no length has."""
+def backed_off(words: DataFrame, counts: DataFrame, langs: list[str], floor: float) -> DataFrame:
+    """(word, lift): means over the n-grams of the longest length that has known ones; no row when no length has."""
     out, left = [], words
     for n in GRAMS:
-
-        def spell(batches: Iterator[pa.RecordBatch], n=n) -> Iterator[pa.RecordBatch]:
-            for batch in slices(batches, 2048):
-                pairs = [(word, gram) for word in batch.column(0).to_pylist() for gram in grams_of(word, n)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in pairs], pa.string()) for i in (0, 1)], names=["word", "gram"])
-
-        spelled = staged(left.select("word").mapInArrow(spell, "word string, gram string"))
-        sizes = spelled.groupBy("gram").agg(F.count("*").alias("size"))
-        known = staged(grams.where(F.col("n") == n).select("gram", "lifts").join(sizes, "gram"))
+        spelled = staged(left.select("word", F.explode(grams(F.col("word"), n)).alias("gram")))
+        sizes = staged(spelled.groupBy("gram").agg(F.count("*").alias("size")))
+        wanted = gram_counts(counts, n)
+        totals = wanted.groupBy("lang").agg(F.sum("count").alias("total"))  # over all n-grams, wanted or not
+        shares = wanted.join(sizes.select("gram"), "gram", "left_semi").join(F.broadcast(totals), "lang")
+        lift = F.log10(F.col("count") / F.col("total")) - floor
+        each = [F.coalesce(F.max(F.when(F.col("lang") == lang, lift)), F.lit(0.0)) for lang in langs]
+        known = staged(shares.groupBy("gram").agg(F.array(*each).alias("lift")).join(sizes, "gram"))
         hits = join_by_group(spelled, known, "gram", "size", spelled.count())
-        # the lift at -1 counts the hits
-        each = hits.select("word", F.explode(F.concat("lifts", F.array(F.struct(F.lit(-1).alias("at"), F.lit(1.0).alias("lift"))))).alias("x"))
-        sums = each.groupBy("word", "x.at").agg(F.sum("x.lift").alias("lift")).groupBy("word").agg(F.collect_list(F.struct("at", "lift")).alias("x"))
-        number = F.filter("x", lambda y: y["at"] < 0)[0]["lift"]
-        mean = F.transform(F.filter("x", lambda y: y["at"] >= 0), lambda y: F.struct(y["at"].alias("at"), (y["lift"] / number).alias("lift")))
-        out.append(staged(sums.select("word", mean.alias("lifts"))))
+        mean = F.array(*[F.avg(F.get("lift", i)) for i in range(len(langs))])
+        out.append(staged(hits.groupBy("word").agg(mean.alias("lift"))))
         left = staged(left.join(out[-1], "word", "left_anti"))
         if left.limit(1).count() == 0:
             break
@@ -127,15 +129,22 @@ def backed_off(words: DataFrame, grams: DataFrame, floor: float) -> DataFrame:
 _SCORED = "row long, doc_id long, held_out boolean, letters long, total array<double>, words array<string>, times array<long>"
 
 
-def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, least_share: float = LEAST_SHARE, floor: float = -7.0) -> DataFrame:
+def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, most_words: int = MOST_WORDS, floor: float = -7.0) -> DataFrame:
     """doc_id, held_out, lang_pred and score (0 to 1) of every document.
 
     Learns from text and lang of the documents whose crc32 of the id is not ``held_out`` mod ``folds``
-    and whose lang is known; predictions see the text alone. Words that make up ``least_share`` of some
-    language's or more go to the tasks; all other words and the n-grams of unseen ones are looked up by
-    joins, so every training word and n-gram counts. Null texts and texts without letters are
-    ``und`` with score 0, as are all if nothing was learned. Ties go to the first language in order.
+    and whose lang is known; predictions see the text alone. The most frequent words, ``most_words`` at most,
+    go to the tasks; all other words and the n-grams of unseen ones are looked up by joins, so every training
+    word and n-gram counts and the result does not depend on that number. Null texts and texts without letters are
+    ``und`` with score 0, as are all if nothing was learned. Ties go to the first language in order. Long texts
+    are read whole, repeated rows learned from and judged each; an empty table gives no rows, and other columns are
+    ignored.
     """
+    with arrow_batches(docs.sparkSession, rows=10_000, size=8 << 20):
+        return _identify(docs, folds, held_out, most_words, floor)
+
+
+def _identify(docs: DataFrame, folds: int, held_out: int, most_words: int, floor: float) -> DataFrame:
     spark = docs.sparkSession
     rows = docs.select(
         F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"),
@@ -143,44 +152,50 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, least_share: fl
     )
     counts = staged(word_counts(rows.where("not held_out and lang is not null")))
     langs = sorted(r[0] for r in counts.select("lang").distinct().collect())
-    place = spark.createDataFrame([(lang, i) for i, lang in enumerate(langs)], "lang string, at int")
-    words = staged(lifts(counts, ["word"], place, floor))
-    frequent = words.where(F.col("most") >= least_share).select("word", "lifts").toArrow()
-
-    vectors = np.full((frequent.num_rows, len(langs)), floor, np.float32)
-    for vector, found in zip(vectors, frequent.column("lifts").to_pylist(), strict=True):
-        for x in found:
-            vector[x["at"]] += x["lift"]
+    words = staged(lifts(counts, "word", langs, floor)) if langs else counts.select("word", F.array().cast("array<double>").alias("lift"), F.col("count").alias("times"))
+    least = least_times(words, most_words)
+    frequent = words.where(F.col("times") >= least).select("word", "lift").toArrow()
+    vectors = frequent.column("lift").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(-1, len(langs)).astype(np.float32) if frequent.num_rows else np.empty((0, len(langs)), np.float32)
     shared = spark.sparkContext.broadcast((frequent.column("word").to_pylist(), vectors))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, vectors = shared.value
         at, size = {w: i for i, w in enumerate(names)}, len(langs) + 2
 
-        def of(token: str) -> bytes:
-            """As 32-bit numbers; the last two are 1 if the token has a letter, and if its word is not frequent."""
-            word = bare(token)
+        def of(token: bytes) -> bytes:
+            """As 32-bit numbers: sums of its frequent words, the number of its words, and of those that are not frequent."""
             out = np.zeros(size, np.float32)
-            if word:
+            for word in words_in(token):
                 i = at.get(word)
-                out[-2:] = 1, i is None
-                if i is not None:
-                    out[:-2] = vectors[i]
+                out[-2] += 1
+                if i is None:
+                    out[-1] += 1
+                else:
+                    out[:-2] += vectors[i]
             return out.tobytes()
 
-        tokens = Cache(of)
-        for batch in slices(batches, 256):
-            totals, letters, rare = [], [], []
-            for text in batch.column(3).to_pylist():
-                split = text.lower().split()
-                table = np.frombuffer(b"".join([tokens[t] for t in split]), np.float32).reshape(-1, size)
-                total = table.sum(axis=0, dtype=np.float64)
-                totals.append(total[:-2])
-                letters.append(int(total[-2]))
-                rare.append(Counter(bare(split[i]) for i in np.flatnonzero(table[:, -1]).tolist()))
+        cached = Cache(of, 50_000)
+        for part in parts_of(batches, 3):
+            tokens, numbers, sizes = distinct_words(part.column(3))
+            table = np.frombuffer(b"".join([cached[t] for t in tokens]), np.float32).reshape(-1, size)
+            sums = np.zeros((part.num_rows, size))
+            some = np.flatnonzero(sizes)
+            if len(some):
+                sums[some] = np.add.reduceat(table[numbers].astype(np.float64), (np.cumsum(sizes) - sizes)[some], axis=0)
+            others = np.flatnonzero(table[:, -1])
+            rare_words = {i: [w for w in words_in(tokens[i]) if w not in at] for i in others.tolist()}
+            is_rare = np.zeros(len(tokens), bool)
+            is_rare[others] = True
+            where = is_rare[numbers]
+            cells, times = np.unique(np.repeat(np.arange(part.num_rows), sizes)[where] * max(len(tokens), 1) + numbers[where], return_counts=True)
+            rare: list[Counter[str]] = [Counter() for _ in range(part.num_rows)]
+            for cell, n in zip(cells.tolist(), times.tolist(), strict=True):
+                row, token = divmod(cell, len(tokens))
+                for word in rare_words[token]:
+                    rare[row][word] += n
             yield pa.RecordBatch.from_arrays(
                 [
-                    *batch.columns[:3], pa.array(letters, pa.int64()), pa.array(totals, pa.list_(pa.float64())),
+                    *part.columns[:3], pa.array(sums[:, -2].astype(np.int64)), pa.array(list(sums[:, :-2]), pa.list_(pa.float64())),
                     pa.array([list(r) for r in rare], pa.list_(pa.string())), pa.array([list(r.values()) for r in rare], pa.list_(pa.int64())),
                 ],
                 names=[c.split()[0] for c in _SCORED.split(", ")],
@@ -190,38 +205,33 @@ def identify(docs: DataFrame, folds: int = 4, held_out: int = 2, least_share: fl
     rare = scored.select("row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("row", "x.*").toDF("row", "word", "times")
     wanted = staged(rare.groupBy("word").agg(F.count("*").alias("size")))
     unseen = staged(wanted.join(words, "word", "left_anti").select("word"))
-    seen = words.where(F.col("most") < least_share).join(wanted.select("word"), "word", "left_semi").select("word", "lifts")
+    found = words.where(F.col("times") < least).join(wanted, "word").select("word", "lift", "size")
     if langs and unseen.limit(1).count():
-        grams = staged(lifts(gram_counts(counts), ["n", "gram"], place, floor))
-        seen = seen.withColumn("lifts", F.col("lifts").cast(_LIFTS)).unionByName(backed_off(unseen, grams, floor).withColumn("lifts", F.col("lifts").cast(_LIFTS)))
-    # the lift at -1 is for all languages
-    both = F.concat(F.col("lifts").cast(_LIFTS), F.array(F.struct(F.lit(-1).alias("at"), F.lit(floor).alias("lift"))).cast(_LIFTS))
-    found = staged(seen.select("word", both.alias("lifts")).join(wanted, "word"))
-    each = join_by_group(rare, found, "word", "size", rare.count()).select("row", "times", F.explode("lifts").alias("x"))
-    sums = each.groupBy("row", "x.at").agg(F.sum(F.col("times") * F.col("x.lift")).alias("sum"))
-    sums = sums.groupBy("row").agg(F.collect_list("at").alias("at"), F.collect_list("sum").alias("sum"))
+        found = found.unionByName(backed_off(unseen, counts, langs, floor).join(wanted, "word"))
+    # a word that nothing is known of has the floor for all languages and needs no row
+    hits = join_by_group(rare, staged(found), "word", "size", wanted.agg(F.coalesce(F.sum("size"), F.lit(0))).first()[0])
+    sums = hits.groupBy("row").agg(*[F.sum(F.col("times") * F.get("lift", i)).alias(f"s{i}") for i in range(len(langs))], F.count("*").alias("hits"))
+    joined = scored.drop("words", "times").join(sums, "row", "left")
+    lift = F.array(*[F.coalesce(f"s{i}", F.lit(0.0)) for i in range(len(langs))]).cast("array<double>")
+    return joined.select("doc_id", "held_out", "letters", "total", lift.alias("lift")).mapInArrow(chosen(langs), "doc_id long, held_out boolean, lang_pred string, score double")
+
+
+def chosen(langs: list[str]):
+    """The likeliest language and its probability, from the sums of the frequent words (``total``) and of all others."""
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = [chosen(langs, *x) for x in zip(*[c.to_pylist() for c in batch.columns[2:]], strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:2], pa.array([f[0] for f in out], pa.string()), pa.array([f[1] for f in out], pa.float64())],
-                names=["doc_id", "held_out", "lang_pred", "score"],
-            )
-
-    joined = scored.drop("words", "times").join(sums, "row", "left").select("doc_id", "held_out", "letters", "total", "at", "sum")
-    return joined.mapInArrow(predict, "doc_id long, held_out boolean, lang_pred string, score double")
-
-
-def chosen(langs: list[str], letters: int, total: list[float], at: list[int] | None, sums: list[float] | None) -> tuple[str, float]:
-    """The likeliest language and its probability, from the sums of the frequent words and those (at, sums) of all others."""
-    if not letters or not langs:
-        return "und", 0.0
-    scores = np.array(total)
-    for i, x in zip(at or [], sums or [], strict=True):
-        scores[slice(None) if i < 0 else i] += x
-    # the posterior of a token of the text on average, sharpened by the root of their number
-    scaled = scores / letters * np.sqrt(letters) * np.log(10)
-    odds = np.exp(scaled - scaled.max())
-    best = int(np.argmax(odds))
-    return langs[best], float(odds[best] / odds.sum())
+            letters = batch.column(2).to_numpy()
+            preds, odds = np.full(len(letters), "und", object), np.zeros(len(letters))
+            if langs and len(letters):
+                # without the floor of every word, which all languages share
+                sums = sum(c.flatten().to_numpy().reshape(len(letters), -1) for c in batch.columns[3:5])
+                # the posterior of a token of the text on average, sharpened by the root of their number
+                scaled = sums / np.sqrt(np.maximum(letters, 1))[:, None] * np.log(10)
+                shares = np.exp(scaled - scaled.max(axis=1, keepdims=True))
+                best, there = shares.argmax(axis=1), letters > 0
+                preds[there] = np.array(langs, object)[best[there]]
+                odds[there] = (shares.max(axis=1) / shares.sum(axis=1))[there]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(preds, pa.string()), pa.array(odds)], names=["doc_id", "held_out", "lang_pred", "score"])
+
+    return predict
