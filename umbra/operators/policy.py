@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from umbra.functions.stats import quota, ratio, top_k
+from umbra.sources.staging import staged
 
 PARTS = ("solar", "shared", "local_only", "regional_only", "passing")
 RULES = ("Population", "Uniform", "Shared", "Pooled", "Local", "Regional")
@@ -214,14 +215,13 @@ def common_list(grid: DataFrame, k: int, rounds: int = 12, rate: float = 0.05) -
     Whatever the scenarios' weights, the top k of the weighted scores bound the best possible least capture from
     above. Each round reweights towards scenarios that the present list serves badly; returns round, primal and bound.
     """
-    spark = grid.sparkSession
+    spark, grid = grid.sparkSession, staged(grid.select("cusec", "field", "delta", "pct"))  # read in every round
     scenarios = grid.select("field", "delta").distinct()
     weights = scenarios.withColumn("w", F.lit(1.0) / scenarios.count())
-    best = Window.orderBy(F.desc("mixed"), "cusec")
     out = []
     for round_ in range(1, rounds + 1):
         mixed = grid.join(F.broadcast(weights), ["field", "delta"]).groupBy("cusec").agg(F.round(F.sum(F.col("w") * F.col("pct")), 9).alias("mixed"))
-        chosen = mixed.withColumn("place", F.row_number().over(best)).where(F.col("place") <= k).select("cusec", "mixed")
+        chosen = mixed.orderBy(F.desc("mixed"), "cusec").limit(k)
         bound = chosen.agg(F.sum("mixed")).first()[0]
         held = grid.join(F.broadcast(chosen.select("cusec")), "cusec", "left_semi").groupBy("field", "delta").agg(F.sum("pct").alias("capture"))
         rows = held.join(weights, ["field", "delta"]).collect()  # one row per scenario
@@ -230,3 +230,50 @@ def common_list(grid: DataFrame, k: int, rounds: int = 12, rate: float = 0.05) -
         total = sum(raw.values())
         weights = spark.createDataFrame([(f, x, w / total) for (f, x), w in sorted(raw.items())], "field string, delta double, w double")
     return spark.createDataFrame(out, "round int, primal double, bound double")
+
+
+def zero_shift(grid: DataFrame, central: DataFrame, by: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
+    """Rows without a shift against the central case (by, cusec, field, score): rows, rows on one side alone, and rows that differ."""
+    keys = [*by, "cusec", "field"]
+    was = central.select(*keys, F.col("score").alias("_was"), F.lit(True).alias("_there"))
+    rows = grid.where("delta = 0").select(*keys, "score", F.lit(True).alias("_here")).join(was, keys, "full_outer")
+    return rows.groupBy("field").agg(
+        F.count("*").alias("rows"), F.count_if(F.col("_here").isNull() | F.col("_there").isNull()).alias("alone"), F.count_if(F.abs(F.col("score") - F.col("_was")) > tolerance).alias("off")
+    )
+
+
+def frozen_transfer(grid: DataFrame, chosen: DataFrame, by: Sequence[str]) -> DataFrame:
+    """What lists (by, rule, cusec) that stay as they are capture of every scenario's own optimum, in percent."""
+    return grid.join(chosen, [*by, "cusec"]).groupBy(*by, "rule", "field", "delta").agg(F.sum("pct").alias("capture"), F.count("*").alias("sections"))
+
+
+def observation_stress(grid: DataFrame, chosen: DataFrame, experiments: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Least capture of stored lists in every experiment, a set of scenarios (experiment, delta), and how many scenarios it has."""
+    held = frozen_transfer(grid, chosen, by).join(F.broadcast(experiments), "delta")
+    return held.groupBy(*by, "experiment", "rule").agg(F.min("capture").alias("least"), F.count("*").alias("scenarios"), F.min("sections").alias("quota"))
+
+
+def certificates(chosen: DataFrame, rows: DataFrame, by: Sequence[str]) -> DataFrame:
+    """(by, rule, indices): lists (by, rule, cusec) by the places, from 0, that their sections have among the case's ``rows`` in order of cusec."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("cusec")) - 1
+    placed = rows.select(*by, "cusec").withColumn("place", place)
+    return chosen.join(placed, [*by, "cusec"]).groupBy(*by, "rule").agg(F.array_sort(F.collect_list("place")).alias("indices"))
+
+
+def audited(certs: DataFrame, rows: DataFrame, by: Sequence[str], least: float = 99.0, tolerance: float = 1e-7) -> DataFrame:
+    """Checks of certificates (by, rule, indices) against ``rows`` (by, cusec, k, local, regional, opt_local, opt_regional).
+
+    Whether a list has as many different places as its quota, all of them of sections, and what it captures of both optima.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("cusec")) - 1
+    placed = rows.withColumn("place", place)
+    totals = placed.groupBy(*by).agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("opt_local").alias("opt_local"), F.first("opt_regional").alias("opt_regional"))
+    listed = certs.select(*by, "rule", F.posexplode("indices").alias("at", "place"))
+    found = listed.join(placed.select(*by, "place", "local", "regional"), [*by, "place"], "left").groupBy(*by, "rule").agg(
+        F.count("*").alias("listed"), F.count_distinct("place").alias("different"), F.min("place").alias("low"), F.max("place").alias("high"), F.sum("local").alias("local"), F.sum("regional").alias("regional")
+    )
+    got = lambda name: 100 * F.try_divide(name, f"opt_{name}")
+    out = found.join(totals, list(by)).withColumn("local_capture", got("local")).withColumn("regional_capture", got("regional"))
+    sound = (F.col("listed") == F.col("k")) & (F.col("different") == F.col("k")) & (F.col("low") >= 0) & (F.col("high") < F.col("n"))
+    common = F.least("local_capture", "regional_capture") >= least - tolerance
+    return out.select(*by, "rule", "listed", "local_capture", "regional_capture", sound.alias("sound"), common.alias("common"))

@@ -303,3 +303,53 @@ def _(spark, d):
 def _(spark, d):
     rows = grid(spark, d).select("cusec", F.concat_ws("/", "mode", "field").alias("field"), "delta", "pct")
     return P.common_list(rows, 40, 4)
+
+
+@REGISTRY.add(
+    "fix_zero_shift",
+    """SELECT field, count(*) AS rows, count_if(g.score IS NULL OR c.score IS NULL)::BIGINT AS alone, count_if(abs(g.score - c.score) > 1e-6)::BIGINT AS off FROM (SELECT * FROM grid WHERE delta = 0) g
+       FULL JOIN (SELECT mode, cusec, field, score FROM (SELECT mode, cusec, avg((local_margin >= 0)::INT) * pop AS l, avg((regional_margin >= 0)::INT) * pop AS r FROM hours GROUP BY mode, cusec, pop),
+           LATERAL (VALUES ('local', l), ('regional', r)) f(field, score)) c USING (mode, cusec, field) GROUP BY field""",
+    "grid hours",
+)
+def _(spark, d):
+    score = lambda f: F.struct(F.lit(f).alias("field"), (F.avg((F.col(f"{f}_margin") >= 0).cast("double")) * F.col("pop")).alias("score"))
+    central = hours(spark, d).groupBy("mode", "cusec", "pop").agg(F.array(score("local"), score("regional")).alias("f")).select("mode", "cusec", F.explode("f").alias("f")).select("mode", "cusec", "f.*")
+    return P.zero_shift(grid(spark, d), central, ["mode"])
+
+
+_TRANSFER = """SELECT g.mode, f.rule, g.field, g.delta, sum(g.pct) AS capture, count(*) AS sections FROM grid g JOIN (SELECT mode, field AS rule, cusec FROM grid WHERE delta = 0 AND top) f ON g.mode = f.mode AND g.cusec = f.cusec GROUP BY ALL"""
+
+
+@REGISTRY.add("pol_frozen_transfer", _TRANSFER, "grid", "delta capture")
+def _(spark, d):
+    return P.frozen_transfer(grid(spark, d), frozen(spark, d), ["mode"])
+
+
+EXPERIMENTS = [("narrow", x / 4) for x in range(-3, 4)] + [("wide", x / 4) for x in range(-6, 7)] + [("warm", x / 4) for x in range(0, 9)]
+
+
+@REGISTRY.add(
+    "fix_observation_stress",
+    f"""SELECT mode, experiment, rule, min(capture) AS least, count(*) AS scenarios, min(sections) AS quota FROM ({_TRANSFER})
+        JOIN (SELECT 'narrow' AS experiment, unnest(range(-3, 4)) / 4 AS delta UNION ALL SELECT 'wide', unnest(range(-6, 7)) / 4 UNION ALL SELECT 'warm', unnest(range(0, 9)) / 4) USING (delta) GROUP BY ALL""",
+    "grid",
+    "least",
+)
+def _(spark, d):
+    return P.observation_stress(grid(spark, d), frozen(spark, d), spark.createDataFrame(EXPERIMENTS, "experiment string, delta double"), ["mode"])
+
+
+@REGISTRY.add(
+    "pol_certificates",
+    """WITH n AS (SELECT mode, year, max(k) AS k, count(DISTINCT cusec) AS n FROM ruled GROUP BY ALL)
+    SELECT mode, year, rule, count(*) AS listed, 100 * sum(local) / nullif(any_value(opt_local), 0) AS local_capture, 100 * sum(regional) / nullif(any_value(opt_regional), 0) AS regional_capture,
+        count(*) = max(k) AS sound, coalesce(least(100 * sum(local) / nullif(any_value(opt_local), 0), 100 * sum(regional) / nullif(any_value(opt_regional), 0)) >= 99 - 1e-7, NULL) AS common
+    FROM ruled WHERE chosen GROUP BY ALL""",
+    "ruled",
+    "local_capture regional_capture",
+)
+def _(spark, d):
+    rows = cases(spark, d)
+    lists = chosen(spark, d).where("chosen").select(*BY, "rule", "cusec")
+    return P.audited(P.certificates(lists, rows, BY), rows, BY)

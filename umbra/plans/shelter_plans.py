@@ -181,6 +181,29 @@ def _(spark, d):
     return S.transfer(found, S.greedy(found, costs, budgets.where("fraction = 1").drop("fraction")), "m1")
 
 
+@REGISTRY.add("she_least_hours")
+def _(spark, d):
+    return S.least_hours(S.greedy(*greedy_cases(spark, d)), ["movement", "fraction"])
+
+
+_ALL_CASES = ", ".join(f"('{m}', {metres!r}::DOUBLE)" for m, metres in [*MOVEMENTS, *WALKS])
+
+
+@REGISTRY.add(
+    "she_worst_capture",
+    f"""SELECT rule, min(100 * gain / whole) AS worst, count(*) AS cases FROM (
+        SELECT rule, movement, sum(CASE WHEN len(list_intersect(pattern, chosen)) > 0 THEN weight ELSE 0 END) AS gain, sum(weight) AS whole FROM ({_PATTERNS.replace("('m1', 2000.0), ('m2', 3500.0)", _ALL_CASES)}),
+        (SELECT 'announced' AS rule, list(site) AS chosen FROM sites WHERE announced UNION ALL SELECT 'even', list(site) FROM sites WHERE site % 2 = 0) GROUP BY rule, movement) GROUP BY rule""",
+    "reach",
+    "worst",
+)
+def _(spark, d):
+    """Two common lists over all movement cases."""
+    cases = spark.createDataFrame([*MOVEMENTS, *WALKS], "movement string, metres double")
+    each = F.explode(F.array_compact(F.array(F.when(F.col("announced"), F.lit("announced")), F.when(F.pmod("site", F.lit(2)) == 0, F.lit("even")))))
+    return S.worst_capture(patterns(spark, d, cases), sites(spark, d).select("site", each.alias("rule")))
+
+
 @REGISTRY.add(
     "she_archived_audit",
     f"SELECT count(*) AS rows, 0::BIGINT AS missing, 0.0::DOUBLE AS largest_error FROM ({_COVER.format(times=_TIMES, open=_OPEN.format(stay=0), catalogue=_CATALOGUE)})",
