@@ -114,15 +114,37 @@ def _long_word(word: np.ndarray, fold: bool) -> int:
     return xxhash.xxh3_64_intdigest(word.tobytes().lower() if fold else word.tobytes())
 
 
-def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, counts): the 64-bit hashes of the words of all texts one after the other, and the number of words of each.
+class Words:
+    """The words of all texts of a column one after the other: their 64-bit hashes ``codes``, and how many each text has, ``counts``.
 
-    Words are what stands between ASCII white space, with A-Z lower-cased. A word's hash is the sum of
+    Words are what stands between ASCII white space, with ``fold`` A-Z are lower-cased. A word's hash is the sum of
     its bytes' values times powers of their places; differences of one running sum give it for all words.
     """
-    data, bounds = text_bytes(column)
-    codes, starts, _ = _hashed(data, bounds, True)
-    return codes, np.diff(np.searchsorted(starts, bounds))
+
+    def __init__(self, column: pa.Array, fold: bool = True):
+        self._data, bounds = text_bytes(column)
+        self._fold = fold
+        self.codes, self._starts, self._ends = _hashed(self._data, bounds, fold)
+        self.counts = np.diff(np.searchsorted(self._starts, bounds))
+
+    def spelled(self, at: np.ndarray) -> list[bytes]:
+        """The words at these places."""
+        text = memoryview(self._data)
+        words = [bytes(text[a:b]) for a, b in zip(self._starts[at].tolist(), self._ends[at].tolist(), strict=True)]
+        return [w.lower() for w in words] if self._fold else words
+
+    def distinct(self, among: np.ndarray | None = None) -> tuple[list[bytes], np.ndarray]:
+        """(words, numbers): the distinct words, and which of them each word is; of the places ``among`` only, if given."""
+        encoded = pa.array(self.codes if among is None else self.codes[among]).dictionary_encode()
+        numbers, first = encoded.indices.to_numpy(), np.empty(len(encoded.dictionary), np.int64)
+        first[numbers[::-1]] = np.arange(len(numbers))[::-1]
+        return self.spelled(first if among is None else among[first]), numbers
+
+
+def word_codes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(codes, counts) of the words, A-Z lower-cased, of all texts."""
+    words = Words(column)
+    return words.codes, words.counts
 
 
 def distinct_words(column: pa.Array, fold: bool = True) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -130,15 +152,8 @@ def distinct_words(column: pa.Array, fold: bool = True) -> tuple[list[bytes], np
 
     What is done for a word is then done once for all its places. With ``fold`` A-Z are lower-cased.
     """
-    data, bounds = text_bytes(column)
-    codes, starts, ends = _hashed(data, bounds, fold)
-    numbers = pa.array(codes).dictionary_encode()
-    first = np.empty(len(numbers.dictionary), np.int64)
-    numbers = numbers.indices.to_numpy()
-    first[numbers[::-1]] = np.arange(len(codes))[::-1]
-    text = memoryview(data)
-    words = [bytes(text[a:b]) for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True)]
-    return [w.lower() for w in words] if fold else words, numbers, np.diff(np.searchsorted(starts, bounds))
+    words = Words(column, fold)
+    return *words.distinct(), words.counts
 
 
 def parts_of(batches: Iterable[pa.RecordBatch], column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
