@@ -14,35 +14,37 @@ def normalised(text: Column) -> Column:
 
 
 def digest_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, row (a number of this row), digest (SHA-256 of the normalised text), norm_chars, chars."""
+    """doc_id, row (a number of this row), digest (SHA-256 of the normalised text), check (another hash of it), norm_chars, chars."""
     text = text_of()
     return docs.select(
         F.col("doc_id").cast("long").alias("doc_id"),
         F.monotonically_increasing_id().alias("row"),
         F.unhex(F.sha2(normalised(text), 256)).alias("digest"),
+        F.xxhash64(normalised(text)).alias("check"),
         F.length(normalised(text)).alias("norm_chars"),
         F.length(text).alias("chars"),
     )
 
 
-def merge_tree(digests: DataFrame, runs: int = 512, fan_in: int = 8) -> DataFrame:
+def merge_tree(digests: DataFrame, runs: int = 512, fan_in: int = 2) -> DataFrame:
     """One row per digest: the row that stays and the size of its group.
 
-    The rows are dealt into ``runs`` runs by a hash of the row, so the copies of one text lie in all
-    of them. Every level sorts and merges ``fan_in`` runs into one and keeps a single row for each
-    digest (the aggregates over structs are sort-based), so no task sees more than ``fan_in`` rows of
-    one digest, however large its group. A group is one digest *and* one normalised length:
-    the length verifies the digest at every level.
+    The rows are dealt into ``runs`` runs by a hash of the row, so the copies of one text lie in all of them. In
+    each round runs exchange their rows with ``fan_in`` - 1 others (with one, as in a binomial tree): Spark brings rows
+    of one digest and merged run together and sorts them (aggregates over structs are sort-based), and a single
+    row of each digest stays. So no task sees more than ``fan_in`` rows of one digest, however large its group.
+    A group is one digest, one other hash *and* one length of the normalised text: at every level these
+    verify that the digest is of one text.
     """
     best = F.struct(
         (-F.col("chars")).alias("shorter"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "row"
     )
     level = digests.select(
         F.pmod(F.xxhash64("row"), F.lit(runs)).cast("int").alias("run"),
-        "digest", "norm_chars", best.alias("best"), F.lit(1).cast("long").alias("size"),
+        "digest", "check", "norm_chars", best.alias("best"), F.lit(1).cast("long").alias("size"),
     )
     while True:
-        level = level.groupBy("run", "digest", "norm_chars").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
+        level = level.groupBy("run", "digest", "check", "norm_chars").agg(F.min("best").alias("best"), F.sum("size").alias("size"))
         if runs == 1:
             break
         runs = -(-runs // fan_in)
@@ -52,7 +54,7 @@ def merge_tree(digests: DataFrame, runs: int = 512, fan_in: int = 8) -> DataFram
     )
 
 
-def exact_groups(docs: DataFrame, runs: int = 512, fan_in: int = 8) -> DataFrame:
+def exact_groups(docs: DataFrame, runs: int = 512, fan_in: int = 2) -> DataFrame:
     """One row per input row: doc_id, row, digest, keep_id, size, kept.
 
     Of equal texts the longest original stays, then the smallest doc_id (null last), then one row of
