@@ -13,7 +13,7 @@ from umbra.llm.graph_index import NOBODY, beam_search, build, unit
 
 def usable(vectors: DataFrame, vec_id: str, embedding: str) -> DataFrame:
     """(vec_id, vec) of the rows that take part: no null, zero or non-finite vector, and an id."""
-    vec = F.col(embedding).cast("array<float>")
+    vec = F.col(embedding).cast("array<double>")
     finite = F.forall(vec, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return vectors.select(F.col(vec_id).cast("long").alias("vec_id"), vec.alias("vec")).where(
         F.col("vec_id").isNotNull() & F.col("vec").isNotNull() & finite & F.exists("vec", lambda v: v != 0)
@@ -37,10 +37,12 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
 
 
-def graph_index(vectors: DataFrame, shard_rows: int = 4096, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
+def graph_index(vectors: DataFrame, shard_rows: int = 16_384, degree: int = 32, beam: int = 64, alpha: float = 1.2) -> DataFrame:
     """(shard, node, rep, vec, edges, entry) for every row of ``vectors`` (rep, vec): all of them are indexed.
 
-    A shard holds vectors of one length, dealt by a hash, about ``shard_rows`` of them.
+    A shard holds vectors of one length, dealt by a hash, about ``shard_rows`` of them. As every query
+    is asked of every shard, shards should be as large as tasks can hold. Only the graph is built
+    on numbers of 32 bits; the vectors keep theirs.
     """
     shards = max(1, -(-vectors.count() // shard_rows))
 
@@ -57,7 +59,7 @@ def graph_index(vectors: DataFrame, shard_rows: int = 4096, degree: int = 32, be
         )
 
     dealt = vectors.select(F.concat_ws("/", F.size("vec"), F.pmod(F.xxhash64("vec"), F.lit(shards))).alias("shard"), "rep", "vec")
-    return dealt.groupBy("shard").applyInArrow(index, "shard string, node int, rep long, vec array<float>, edges array<int>, entry int")
+    return dealt.groupBy("shard").applyInArrow(index, "shard string, node int, rep long, vec array<double>, edges array<int>, entry int")
 
 
 def search(index: DataFrame, queries: DataFrame, k: int, beam: int = 320, block: int = 16_384) -> DataFrame:
@@ -115,7 +117,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50, vec_id: str = "vec_
     All other rows are candidates. Equal vectors are indexed and searched once and stand for all their
     ids; repeated rows (same id and vector) count once. Vectors that are null, zero, or hold a null or a
     non-finite component take no part, nor do rows without an id. Vectors of another length than the query's
-    are no candidates. With fewer than ``k`` candidates all are returned.
+    are no candidates. With fewer than ``k`` candidates all are returned. An empty table gives no rows;
+    other columns are ignored.
     """
     rows = staged(usable(vectors, vec_id, embedding))
     groups = staged(distinct_vectors(rows, k + 1))
