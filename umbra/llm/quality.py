@@ -273,6 +273,11 @@ def fitted(docs: DataFrame, labels: DataFrame) -> Model:
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
     """The columns ``keep`` of every document with text_score, meta_score and quality_score."""
+    return _scored(docs, model, keep).withColumnsRenamed({f"k{i}": k for i, k in enumerate(keep)})
+
+
+def _scored(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The same with the columns ``keep`` as k0, k1 and so on, so that none clashes."""
     fields = model.text and vars(model.text), model.meta and vars(model.meta), model.prior
     shared = docs.sparkSession.sparkContext.broadcast(fields)
     passed = [F.col(k).alias(f"k{i}") for i, k in enumerate(keep)]
@@ -288,8 +293,7 @@ def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
         text_of().alias("text"), F.col("source").cast("string").alias("source"), F.col("lang").cast("string").alias("lang"),
         F.col("n_chars").cast("long").alias("n_chars"), *passed,
     )
-    out = views.mapInArrow(run, ", ".join([*(f"k{i} {kind}" for i, kind in enumerate(kinds)), _SCORED]))
-    return out.withColumnsRenamed({f"k{i}": k for i, k in enumerate(keep)})
+    return views.mapInArrow(run, ", ".join([*(f"k{i} {kind}" for i, kind in enumerate(kinds)), _SCORED]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
@@ -306,5 +310,5 @@ def classify(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFram
 
 def accepted(docs: DataFrame, labels: DataFrame, limit: float = 0.3) -> DataFrame:
     """The documents that the classifier accepts, all columns kept."""
-    columns = docs.columns
-    return score(docs, fitted(docs, labels), columns).where(F.col("quality_score") >= limit).select(*columns)
+    found = _scored(docs, fitted(docs, labels), docs.columns).where(F.col("quality_score") >= limit)
+    return found.select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(docs.columns)])
