@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import warnings
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.llm.common import Cache, staged, text_of
+from umbra.llm.hashing import distinct_words, parts_of
 
 DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are observed ones to this power, made to sum to one: below 1 it lifts what is rare.
@@ -18,40 +20,35 @@ POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.5}
 NONE = "(none)"
 
 
-def topic_of(text: Column, topics: int = 8, lexicon: Mapping[str, int] | None = None, least_letters: int = 6) -> Column:
-    """The topic with the most words of the text, ties to the first; null without any.
+def topic_and_tokens(text: Column, topics: int = 8, lexicon: Mapping[str, int] | None = None, least_letters: int = 6) -> Column:
+    """A struct of ``topic``, the topic with the most words of the text, ties to the first, null without any, and ``tokens``, its words.
 
     ``lexicon`` maps lower-cased words to topics. The tables at hand carry none, so by default every word
     of ``least_letters`` bytes or more belongs to the topic that its hash names.
     """
     words = None if lexicon is None else {w.encode(): t for w, t in lexicon.items()}
 
-    def place(word: bytes) -> bytes:
-        bare = word.strip(b".,;:!?").lower()
+    def place(word: bytes) -> int:
+        """Its topic, or the place behind all topics."""
+        bare = word.strip(b".,;:!?")
         if words is not None:
-            return bytes([words[bare]]) if bare in words else b""
-        return bytes([zlib.crc32(bare) % topics]) if len(bare) >= least_letters else b""
+            return words.get(bare, topics)
+        return zlib.crc32(bare) % topics if len(bare) >= least_letters else topics
 
-    @F.arrow_udf("int")
-    def topic(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    @F.arrow_udf("struct<topic:int,tokens:bigint>")
+    def found(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         places = Cache(place)
         for batch in batches:
-            found = []
-            for one in batch.cast(pa.binary()).to_pylist():
-                hits = np.frombuffer(b"".join([places[w] for w in one.split()]), np.uint8)
-                found.append(int(np.bincount(hits, minlength=topics).argmax()) if len(hits) else None)
-            yield pa.array(found, pa.int32())
+            out = [pa.array([], pa.struct([("topic", pa.int32()), ("tokens", pa.int64())]))]
+            for part in parts_of([pa.RecordBatch.from_arrays([batch], names=["text"])], 0):
+                tokens, numbers, sizes = distinct_words(part.column(0))
+                cells = np.repeat(np.arange(len(sizes)) * (topics + 1), sizes) + np.array([places[t] for t in tokens], np.int64)[numbers]
+                hits = np.bincount(cells, minlength=len(sizes) * (topics + 1)).reshape(len(sizes), -1)[:, :topics]
+                best = pa.array(hits.argmax(axis=1).astype(np.int32), mask=~hits.any(axis=1))
+                out.append(pa.StructArray.from_arrays([best, pa.array(sizes.astype(np.int64))], names=["topic", "tokens"]))
+            yield pa.concat_arrays(out)
 
-    return topic(text)
-
-
-def described(docs: DataFrame, topics: int = 8, lexicon: Mapping[str, int] | None = None) -> list[tuple[str, Column]]:
-    """Columns for the raking: the three dimensions, nulls as a value of their own, and the tokens (words)."""
-    text = text_of()
-    topic = topic_of(text, topics, lexicon).cast("string")
-    size = F.size(F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""))
-    named = lambda c: F.coalesce(c, F.lit(NONE))
-    return [("source", named(F.col("source").cast("string"))), ("lang", named(F.col("lang").cast("string"))), ("topic", named(topic)), ("tokens", size.cast("long"))]
+    return found(text)
 
 
 def targets(cells: DataFrame, dimension: str, wanted: Mapping[str, float] | float) -> DataFrame:
@@ -91,6 +88,8 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | float], mo
         cells = cells.drop(*[f"_{d}" for d in goals])
         if worst is None or worst <= tolerance:
             break
+    else:
+        warnings.warn(f"raking stopped after {most_rounds} rounds with a marginal off by a share of {worst}", stacklevel=2)
     return cells
 
 
@@ -131,8 +130,14 @@ def mixed(
     repeated rows share their fate and a rerun gives the same sample. Null source, language or topic
     is a value of its own; null and empty texts have no tokens and are kept. An empty table gives no rows.
     """
-    cols = described(docs, topics, lexicon)
-    facts = docs.select(F.struct(*keep).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"), *[c.alias(n) for n, c in cols])
+    named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(NONE))
+    facts = docs.select(
+        F.struct(*keep).alias("row"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")).alias("id"),
+        named("source").alias("source"), named("lang").alias("lang"), topic_and_tokens(text_of(), topics, lexicon).alias("found"),
+    )
+    facts = facts.select("row", "id", "source", "lang", named("found.topic").alias("topic"), F.col("found.tokens").alias("tokens"))
+    if "text" not in keep:  # short rows are kept for the second pass; texts are read and described again
+        facts = staged(facts)
     cells = staged(facts.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")))
     raked = staged(probabilities(rake(cells.select(*DIMENSIONS, "tokens", "documents"), wanted), budget))
     small = raked.count() <= 200_000
