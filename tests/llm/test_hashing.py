@@ -51,3 +51,15 @@ def test_parts_hold_every_row_once():
         parts = list(hashing.parts_of([batch], 1, size))
         assert [r for p in parts for r in p.column(0).to_pylist()] == list(range(50))
         assert all(p.num_rows == 1 or sum(map(len, p.column(1).to_pylist())) <= size for p in parts)
+
+
+def test_collapsed_words_hash_alike():
+    classes = bytes(65 if 65 <= x <= 90 else 97 if 97 <= x <= 122 or x >= 128 else 48 if 48 <= x <= 57 else x for x in range(256))
+    dice = np.random.default_rng(2)
+    texts = ["".join(dice.choice(["A", "b", "c", "7", "!", ".", " ", "é", "\n"], dice.integers(0, 40))) for _ in range(300)] + ["a" * 511, "Z" * 600 + "b", "Z" * 700 + "b" * 9]
+    words = hashing.Words(pa.array(texts), classes=classes)
+    shapes = [hashing.collapsed(w, classes) for t in plain(texts, False) for w in t]
+    long = [len(w) >= hashing.LONG_WORD for t in plain(texts, False) for w in t]
+    seen = set(zip(shapes, long, words.codes.tolist(), strict=True))
+    assert len(seen) == len({(s, x) for s, x, _ in seen}) == len({c for *_, c in seen})
+    assert [bytes([e >> 8, e & 255]).lstrip(b"\0") for e in words.endings().tolist()] == [w[-2:] for t in plain(texts, False) for w in t]

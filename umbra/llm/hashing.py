@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -10,6 +11,7 @@ import pyarrow as pa
 #: Bytes hashed at a time, and the length from which a word is hashed on its own: sums of powers modulo 2**64
 #: can only be steered into equal values by long regular words.
 PIECE, LONG_WORD = 1 << 17, 512
+_RUN = re.compile(rb"(.)\1+", re.DOTALL)
 _BASE = 0x9E3779B97F4A7C13  # odd, 3 modulo 8
 
 
@@ -75,11 +77,13 @@ def _piece_end(data: np.ndarray, bounds: np.ndarray, low: int, end: int) -> int:
     return stop
 
 
-def _hashed(data: np.ndarray, bounds: np.ndarray, fold: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _hashed(data: np.ndarray, bounds: np.ndarray, fold: bool, classes: bytes | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(codes, starts, ends) of the words of all texts."""
     if not _TABLES:
         _TABLES.extend((_powers(_BASE), _powers(pow(_BASE, -1, 1 << 64))))
     powers, inverse = _TABLES
+    values = _VALUES[fold and classes is None]
+    class_of = None if classes is None else np.frombuffer(classes, np.uint8)
     low, end = int(bounds[0]), int(bounds[-1])
     found = [(np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64))]
     while low < end:
@@ -89,44 +93,67 @@ def _hashed(data: np.ndarray, bounds: np.ndarray, fold: bool) -> tuple[np.ndarra
         edge = np.zeros(len(piece) + 1, bool)  # before each byte and at the end: whether a text begins or ends there
         edge[bounds[np.searchsorted(bounds, low) : np.searchsorted(bounds, high, "right")] - low] = True
         edge[0] = edge[-1] = True
-        first, last = edge[:-1].copy(), edge[1:].copy()
-        first[1:] |= space[:-1]
+        begins, last = edge[:-1].copy(), edge[1:].copy()
+        begins[1:] |= space[:-1]
+        begins &= ~space
         last[:-1] |= space[1:]
-        first, last = np.flatnonzero(first & ~space), np.flatnonzero(last & ~space) + 1
+        first, last = np.flatnonzero(begins), np.flatnonzero(last & ~space) + 1
         if len(first):
-            if len(piece) <= PIECE:
-                sums = _VALUES[fold][piece]
+            if len(piece) > PIECE:
+                codes = np.zeros(len(first), np.uint64)  # every one of them is long
+            elif class_of is None:
+                sums = values[piece]
                 sums *= powers[: len(piece)]
                 np.cumsum(sums, out=sums)
                 codes = np.diff(sums[last - 1], prepend=np.uint64(0)) * inverse[first]
-            else:
-                codes = np.zeros(len(first), np.uint64)  # every one of them is long
+            else:  # of each run of one class the first byte counts
+                kinds = class_of[piece]
+                counts = ~space
+                counts[1:] &= begins[1:] | (kinds[1:] != kinds[:-1])
+                place = np.cumsum(counts, dtype=np.int32) - 1
+                at = np.flatnonzero(counts)
+                sums = np.cumsum(values[kinds[at]] * powers[: len(at)], dtype=np.uint64)
+                codes = np.diff(sums[place[last - 1]], prepend=np.uint64(0)) * inverse[place[first]]
             for i in np.flatnonzero(last - first >= LONG_WORD):
-                codes[i] = _long_word(piece[first[i] : last[i]], fold)
+                codes[i] = _long_word(piece[first[i] : last[i]].tobytes(), fold, classes)
             found.append((mixed(codes), first + low, last + low))
         low = high
     return tuple(np.concatenate(parts) for parts in zip(*found, strict=True))
 
 
-def _long_word(word: np.ndarray, fold: bool) -> int:
+def _long_word(word: bytes, fold: bool, classes: bytes | None) -> int:
     import xxhash
 
-    return xxhash.xxh3_64_intdigest(word.tobytes().lower() if fold else word.tobytes())
+    if classes is not None:
+        word = collapsed(word, classes)
+    return xxhash.xxh3_64_intdigest(word.lower() if fold and classes is None else word)
+
+
+def collapsed(word: bytes, classes: bytes) -> bytes:
+    """The classes of a word's bytes, runs of one class as one."""
+    return _RUN.sub(rb"\1", word.translate(classes))
 
 
 class Words:
     """The words of all texts of a column one after the other: their 64-bit hashes ``codes``, and how many each text has, ``counts``.
 
     Words are what stands between ASCII white space, with ``fold`` A-Z are lower-cased. A word's hash is the sum of
-    its bytes' values times powers of their places; differences of one running sum give it for all words.
+    its bytes' values times powers of their places; differences of one running sum give it for all words. With
+    ``classes``, a class for each byte, hashes are those of the ``collapsed`` words (short ones and from ``LONG_WORD``
+    bytes on hash alike only among themselves).
     """
 
-    def __init__(self, column: pa.Array, fold: bool = True):
+    def __init__(self, column: pa.Array, fold: bool = True, classes: bytes | None = None):
         self._data, bounds = text_bytes(column)
         self._fold = fold
-        self.codes, self._starts, self._ends = _hashed(self._data, bounds, fold)
+        self.codes, self._starts, self._ends = _hashed(self._data, bounds, fold, classes)
         self.counts = np.diff(np.searchsorted(self._starts, bounds))
 
+    def endings(self) -> np.ndarray:
+        """The last two bytes of each word as one number; of a word of one byte that byte."""
+        last = self._data[self._ends - 1].astype(np.uint64)
+        return last + np.where(self._ends - self._starts > 1, self._data[np.maximum(self._ends - 2, 0)].astype(np.uint64) << np.uint64(8), np.uint64(0))
+
     def spelled(self, at: np.ndarray) -> list[bytes]:
         """The words at these places."""
         text = memoryview(self._data)

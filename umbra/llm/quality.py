@@ -7,9 +7,7 @@ add up (less the prior's, which each holds).
 
 from __future__ import annotations
 
-import re
 import zlib
-from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -19,8 +17,8 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from umbra.llm.common import Cache, arrow_batches, staged, text_of
-from umbra.llm.hashing import distinct_words, parts_of
+from umbra.llm.common import arrow_batches, staged, text_of
+from umbra.llm.hashing import Words, mixed, parts_of
 
 SHAPES, ENDINGS, WORDS, DENSE = 512, 256, 256, 8
 TEXT_WIDTH = SHAPES + ENDINGS + WORDS + DENSE
@@ -29,39 +27,27 @@ _UPPER = bytes(range(65, 91))
 _DIGITS = bytes(range(48, 58))
 _SYMBOLS = bytes(x for x in range(33, 127) if not chr(x).isalnum())
 _CLASSES = bytes(65 if chr(x) in "ABCDEFGHIJKLMNOPQRSTUVWXYZ" else 48 if chr(x) in "0123456789" else 97 if x >= 128 or chr(x).isalpha() else x for x in range(256))
-_REPEATED = re.compile(rb"(.)\1+", re.DOTALL)
 
 
-def shape(token: bytes) -> bytes:
-    """Runs of capitals, small letters and digits as A, a and 0; runs of another character as itself."""
-    if token.isalpha() and token.islower():
-        return b"a"
-    return _REPEATED.sub(rb"\1", token.translate(_CLASSES))
+def text_features(texts: pa.Array) -> np.ndarray:
+    """A row for each text: shares of its words' features, as roots, and what its length, words, lines and characters are like.
 
-
-def token_features(token: bytes) -> bytes:
-    """Three places in the text view: the token's shape, its ending and its word, each hashed."""
-    return array(
-        "H",
-        (
-            zlib.crc32(shape(token)) % SHAPES,
-            SHAPES + zlib.crc32(token[-2:]) % ENDINGS,
-            SHAPES + ENDINGS + zlib.crc32(token.lower()) % WORDS,
-        ),
-    ).tobytes()
-
-
-def text_features(texts: pa.Array, tokens: Cache) -> np.ndarray:
-    """A row for each text: shares of its words' features, as roots, and what its length, words, lines and characters are like."""
-    words, numbers, sizes = distinct_words(texts, fold=False)
-    rows, width = len(sizes), TEXT_WIDTH - DENSE
-    features = np.frombuffer(b"".join([tokens[w] for w in words]), np.uint16).reshape(-1, 3).astype(np.int64)
+    A word has three places, each by a hash: its shape (runs of capitals, small letters and digits as A, a and 0, runs of
+    another character as itself), its last two bytes and the word itself, A-Z lower-cased.
+    """
+    words, shapes = Words(texts), Words(texts, classes=_CLASSES)
+    sizes, rows, width = words.counts, len(texts), TEXT_WIDTH - DENSE
     row = np.repeat(np.arange(rows), sizes)
-    counts = sum(np.bincount(row * width + features[numbers, k], minlength=rows * width) for k in range(3)).reshape(rows, width)
+    places = (
+        shapes.codes % np.uint64(SHAPES), np.uint64(SHAPES) + mixed(words.endings()) % np.uint64(ENDINGS), np.uint64(SHAPES + ENDINGS) + words.codes % np.uint64(WORDS)
+    )
+    counts = sum(np.bincount(row * width + p.astype(np.int64), minlength=rows * width) for p in places).reshape(rows, width)
     n = np.maximum(sizes, 1)
     out = np.empty((rows, TEXT_WIDTH), np.float32)
     np.sqrt(counts / n[:, None], out=out[:, :width], casting="unsafe")
-    different = np.bincount(pc.unique(pa.array(row * max(len(words), 1) + numbers)).to_numpy() // max(len(words), 1), minlength=rows)
+    numbers = pa.array(words.codes).dictionary_encode()
+    types = max(len(numbers.dictionary), 1)
+    different = np.bincount(pc.unique(pa.array(row * types + numbers.indices.to_numpy())).to_numpy() // types, minlength=rows)
     dense = []
     for text in texts.cast(pa.binary()).to_pylist():
         size, lines = len(text), text.split(b"\n")
@@ -201,10 +187,9 @@ _SCORED = "text_score double, meta_score double, quality_score double"
 
 def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
     """The batches (text, source, lang, n_chars and more) in parts, with the features of both views."""
-    tokens = Cache(token_features)
     for part in parts_of(batches, 0):
         meta = [meta_features(*m) for m in zip(*[c.to_pylist() for c in part.columns[1:4]], strict=True)]
-        yield part, text_features(part.column(0), tokens), np.stack(meta)
+        yield part, text_features(part.column(0)), np.stack(meta)
 
 
 def _arrays(rows: DataFrame, y: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
