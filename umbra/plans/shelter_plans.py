@@ -212,4 +212,6 @@ def _(spark, d):
 def _(spark, d):
     keys = ["movement", "catalogue", "policy", "moment"]
     table = covered(spark, d, times(spark, HOURS)).select(*keys, "people")
-    return S.archived_audit(table, table.select(*keys, F.col("people").alias("people")), keys, "people")
+    rows = sites(spark, d)
+    recount = S.explicit_union(reach(spark, d), S.opened_at(S.policy_intervals(rows), times(spark, HOURS)), S.catalogue(rows), movements(spark))
+    return S.archived_audit(recount.select(*keys, "people"), table, keys, "people")
