@@ -198,3 +198,36 @@ def paired_differences(replicates: DataFrame) -> DataFrame:
     ends = both.groupBy("a", "other").agg(F.percentile(F.col("va") - F.col("vb"), F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975))).alias("q"))
     q = lambda i: F.get("q", F.lit(i))
     return ends.select("a", "other", q(0).alias("low"), q(1).alias("middle"), q(2).alias("high"), ((q(0) <= 0) & (q(2) >= 0)).alias("holds_zero"))
+
+
+def walking_grid(nearest: DataFrame, cases: DataFrame, least: int = 30) -> DataFrame:
+    """Reached sections and people, and minutes of their walks, for every case (speed, minutes, threshold) that reaches ``least`` sections.
+
+    ``nearest`` has cusec, dist_m and pop; a walk longer than ``threshold`` minutes is long.
+    """
+    walk = F.col("dist_m") / F.col("speed") / 60
+    rows = nearest.crossJoin(F.broadcast(cases)).withColumn("walk", walk).where(F.col("walk") <= F.col("minutes"))
+    long = F.col("walk") > F.col("threshold")
+    found = rows.groupBy("speed", "minutes", "threshold").agg(
+        F.count("*").alias("sections"), F.sum("pop").alias("people"), F.avg("walk").alias("mean_walk"), (100 * ratio(F.sum(F.when(long, F.col("pop")).otherwise(0.0)), F.sum("pop"))).alias("long_pct")
+    )
+    return found.where(F.col("sections") >= least)
+
+
+def layer_comparison(nearest: DataFrame, metres: float) -> DataFrame:
+    """For every two layers of destinations a < other: sections in reach of each and of both, distances, and people whose reach changes.
+
+    ``nearest`` has layer, cusec, dist_m and pop: a row per layer and section that has any destination; layers are few.
+    """
+    ends = F.percentile("dist_m", F.array(F.lit(0.5), F.lit(0.9)))
+    each = nearest.groupBy("layer").agg(F.count_if(F.col("dist_m") <= metres).alias("reached"), ends.alias("q"))
+    each = each.select("layer", "reached", F.col("q")[0].alias("median_m"), F.col("q")[1].alias("p90_m"))
+    there = nearest.where(F.col("dist_m") <= metres).select("layer", "cusec", "pop")
+    sets = there.groupBy("cusec").agg(F.collect_set("layer").alias("layers"), F.first("pop").alias("pop"))  # no more entries than layers
+    pairs = each.select(F.col("layer").alias("a")).crossJoin(each.select(F.col("layer").alias("other"))).where("a < other")
+    one, two = F.array_contains("layers", F.col("a")), F.array_contains("layers", F.col("other"))
+    shared = sets.crossJoin(F.broadcast(pairs)).groupBy("a", "other").agg(
+        ratio(F.count_if(one & two), F.count_if(one | two)).alias("jaccard"), F.count_if(one != two).alias("changed"), F.sum(F.when(one != two, F.col("pop")).otherwise(0.0)).alias("changed_people")
+    )
+    named = lambda key, tag: each.select(F.col("layer").alias(key), *[F.col(c).alias(f"{c}_{tag}") for c in ("reached", "median_m", "p90_m")])
+    return shared.join(named("a", "a"), "a").join(named("other", "other"), "other")

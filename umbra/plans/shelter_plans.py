@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from umbra.operators import decisions as D
 from umbra.operators import shelters as S
 from umbra.plans.inputs import REGISTRY, sections, stations, view
 
@@ -215,3 +216,42 @@ def _(spark, d):
     rows = sites(spark, d)
     recount = S.explicit_union(reach(spark, d), S.opened_at(S.policy_intervals(rows), times(spark, HOURS)), S.catalogue(rows), movements(spark))
     return S.archived_audit(recount.select(*keys, "people"), table, keys, "people")
+
+
+# walks to the nearest site
+
+
+def nearest_by_layer(spark, d):
+    each = S.catalogue(sites(spark, d)).withColumnRenamed("catalogue", "layer")
+    return reach(spark, d).join(each, "site").groupBy("layer", "cusec", "pop").agg(F.min("dist_m").alias("dist_m"))
+
+
+_NEAREST = f"SELECT layer, cusec, pop, min(dist_m) AS dist_m FROM reach JOIN (SELECT site, catalogue AS layer FROM {_CATALOGUE}) USING (site) GROUP BY ALL"
+
+
+@REGISTRY.add(
+    "dec_walking_grid",
+    f"""SELECT speed, minutes, threshold, count(*) AS sections, sum(pop) AS people, avg(walk) AS mean_walk, 100 * sum(CASE WHEN walk > threshold THEN pop ELSE 0 END) / nullif(sum(pop), 0) AS long_pct FROM (
+        SELECT *, dist_m / speed / 60 AS walk FROM ({_NEAREST}), (SELECT unnest([0.6, 0.9, 1.2])::DOUBLE AS speed), (SELECT unnest([20.0, 30.0, 40.0])::DOUBLE AS minutes), (SELECT unnest([5.0, 10.0, 15.0])::DOUBLE AS threshold) WHERE layer = 'all')
+        WHERE walk <= minutes GROUP BY ALL HAVING count(*) >= 30""",
+    "reach",
+    "speed minutes threshold people mean_walk long_pct",
+)
+def _(spark, d):
+    cases = spark.createDataFrame([(v, m, t) for v in (0.6, 0.9, 1.2) for m in (20.0, 30.0, 40.0) for t in (5.0, 10.0, 15.0)], "speed double, minutes double, threshold double")
+    return D.walking_grid(nearest_by_layer(spark, d).where("layer = 'all'").select("cusec", "pop", "dist_m"), cases)
+
+
+@REGISTRY.add(
+    "dec_layer_comparison",
+    f"""WITH n AS ({_NEAREST}), e AS (SELECT layer, count_if(dist_m <= 2000)::BIGINT AS reached, quantile_cont(dist_m, 0.5) AS median_m, quantile_cont(dist_m, 0.9) AS p90_m FROM n GROUP BY layer),
+    s AS (SELECT cusec, list(layer) AS layers, any_value(pop) AS pop FROM n WHERE dist_m <= 2000 GROUP BY cusec)
+    SELECT x.layer AS a, y.layer AS other, count_if(list_contains(layers, x.layer) AND list_contains(layers, y.layer)) / nullif(count_if(list_contains(layers, x.layer) OR list_contains(layers, y.layer)), 0) AS jaccard,
+        count_if(list_contains(layers, x.layer) <> list_contains(layers, y.layer))::BIGINT AS changed, sum(CASE WHEN list_contains(layers, x.layer) <> list_contains(layers, y.layer) THEN pop ELSE 0 END) AS changed_people,
+        x.reached AS reached_a, x.median_m AS median_m_a, x.p90_m AS p90_m_a, y.reached AS reached_other, y.median_m AS median_m_other, y.p90_m AS p90_m_other
+    FROM e x JOIN e y ON x.layer < y.layer CROSS JOIN s GROUP BY ALL""",
+    "reach",
+    "jaccard changed_people median_m_a p90_m_a median_m_other p90_m_other",
+)
+def _(spark, d):
+    return D.layer_comparison(nearest_by_layer(spark, d), 2000.0)
