@@ -63,10 +63,18 @@ def day_sums(rows: DataFrame, unit: Sequence[str], value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(*unit, "date").agg(F.sum(value).alias("total"), F.count("*").alias("n"))
 
 
-def replicated_means(sums: DataFrame, replicates: DataFrame, unit: Sequence[str], on: Sequence[str] = ("date",)) -> DataFrame:
-    """(unit, b, value): the mean of each unit in each replicate; replicates without its days are missing."""
-    joined = sums.join(replicates, list(on))
-    return joined.groupBy(*unit, "b").agg(ratio(F.sum(F.col("total") * F.col("times")), F.sum(F.col("n") * F.col("times"))).alias("value"))
+def replicated_means(sums: DataFrame, replicates: DataFrame, unit: Sequence[str], on: Sequence[str] = ("date",), width: int = 25) -> DataFrame:
+    """(unit, b, value): the mean of each unit in each replicate; replicates without its days are missing.
+
+    A row of a day meets ``width`` replicates at once, as columns, so there are that many fewer rows to group.
+    """
+    places = range(width)
+    times = [F.sum(F.when(F.col("b") % width == i, F.col("times"))).alias(f"t{i}") for i in places]
+    packed = replicates.groupBy(*on, F.floor(F.col("b") / width).alias("pack")).agg(*times)
+    both = [F.sum(F.col(x) * F.col(f"t{i}")).alias(f"{x}{i}") for i in places for x in ("total", "n")]
+    rows = sums.join(packed, list(on)).groupBy(*unit, "pack").agg(*both)
+    each = F.array(*[F.struct((F.col("pack") * width + i).alias("b"), ratio(F.col(f"total{i}"), F.col(f"n{i}")).alias("value")) for i in places])
+    return rows.select(*unit, F.explode(each).alias("x")).select(*unit, "x.b", "x.value").where("value is not null")
 
 
 def intervals(means: DataFrame, unit: Sequence[str]) -> DataFrame:
