@@ -1,8 +1,12 @@
-"""The corpus pipeline: stages over the documents, each written as Parquet and read again for the next."""
+"""The corpus pipeline: stages over the documents, each written as Parquet and read again for the next.
+
+Documents may be long, so every stage sets the session to read and to hand over few of them at a time (``SETTINGS``).
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,27 +15,51 @@ from umbra.llm.common import staged, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+#: Of the session while the pipeline runs: what a task holds of the documents at once. Results do not depend on it.
+SETTINGS = {
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "4194304b",
+    "spark.sql.parquet.columnarReaderBatchSize": "512",
+}
+
+
+def with_settings(stage: Stage) -> Stage:
+    """The stage's result is computed later, so the settings stay."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for key, value in SETTINGS.items():
+            spark.conf.set(key, value)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
 
+@with_settings
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier rejects go."""
     return quality.accepted(docs, table(spark, sf_dir, "labels"))
 
 
+@with_settings
 def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts stays."""
     return dedup.drop_copies(docs)
 
 
+@with_settings
 def ngram_join_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of linked texts stays."""
     return ngram_join.drop_similar(docs)
 
 
+@with_settings
 def mixing_to_targets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents are sampled so that sources, languages and topics have their target shares."""
     return mixing.sampled(docs)
 
 
+@with_settings
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents in sequences of 1024 tokens."""
     return packing.pack(docs)
@@ -45,7 +73,7 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", pack),
 ]
 
-#: The classifier, the raking loop and the packer have no SQL form; tests hold each stage against brute force.
+#: The classifier, the raking loop and the packer have no SQL form; the operators are held against brute force, the stages' effects in tests.
 ORACLE_SQL: str | None = None
 
 
