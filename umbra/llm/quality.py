@@ -90,8 +90,10 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 
 def fit(x: np.ndarray, y: np.ndarray, weight: np.ndarray, ridge: float = 1e-3, steps: int = 150, rate: float = 0.05) -> View:
     """Full-batch Adam on the weighted log loss."""
-    mean, scale = x.mean(0), x.std(0) + 1e-2
-    z = (x - mean) / scale
+    mean = x.mean(0)
+    scale = np.sqrt(np.maximum(np.einsum("ij,ij->j", x, x, dtype=np.float64) / len(x) - mean.astype(np.float64) ** 2, 0)).astype(np.float32) + np.float32(1e-2)
+    z = x - mean
+    z /= scale
     w, m, s = np.zeros((3, x.shape[1] + 1), np.float32)
     y, share = y.astype(np.float32), (weight / weight.sum()).astype(np.float32)
     for step in range(1, steps + 1):
@@ -134,36 +136,27 @@ class Model:
         return _sigmoid(a), _sigmoid(b), _sigmoid(a + b - self.prior)
 
 
-@dataclass
 class Lessons:
-    """Features of both views and labels (1 good); ``aside`` are those that calibrate."""
-
-    views: tuple[np.ndarray, np.ndarray]
-    y: np.ndarray
-
-    @property
-    def aside(self) -> np.ndarray:
-        return np.arange(len(self.y)) % 4 == 3
-
-    @property
-    def good(self) -> float:
-        return float(self.y.mean()) if len(self.y) else 0.5
+    """Features of both views and labels (1 good); one label in four is kept aside to calibrate."""
 
-    @property
-    def prior(self) -> float:
-        return float(np.log((self.good * len(self.y) + 1) / ((1 - self.good) * len(self.y) + 1)))
-
-    @property
-    def enough(self) -> bool:
-        return len(self.y) >= 8 and all(len(set(self.y[some])) == 2 for some in (self.aside, ~self.aside))
+    def __init__(self, views: tuple[np.ndarray, np.ndarray], y: np.ndarray):
+        aside = np.arange(len(y)) % 4 == 3
+        self.learn, self.aside = tuple(v[~aside] for v in views), tuple(v[aside] for v in views)
+        self.y_learn, self.y_aside = y[~aside], y[aside]
+        self.good = float(y.mean()) if len(y) else 0.5
+        self.prior = float(np.log((self.good * len(y) + 1) / ((1 - self.good) * len(y) + 1)))
+        self.enough = len(y) >= 8 and all(len(set(some)) == 2 for some in (self.y_learn, self.y_aside))
 
     def model(self, given: tuple[list[tuple[np.ndarray, np.ndarray]], ...] = ([], [])) -> Model:
-        """Both views from the labels and what each was ``given``, (features, labels) of which weigh half a label; one label in four calibrates."""
+        """Both views from the labels and what each was ``given``, (features, labels) of which weigh half a label."""
         views = []
         for view in (0, 1):
-            parts = [(self.views[view][~self.aside], self.y[~self.aside], 1.0), *((*x, 0.5) for x in given[view])]
-            learned = fit(*(np.concatenate(x) for x in zip(*[(x, y, np.full(len(y), w)) for x, y, w in parts], strict=True)))
-            views.append(calibrated(learned, self.views[view][self.aside], self.y[self.aside]))
+            x, y = self.learn[view], self.y_learn
+            weight = np.ones(len(y))
+            if given[view]:
+                x, y = np.concatenate([x, *(g[0] for g in given[view])]), np.concatenate([y, *(g[1] for g in given[view])])
+                weight = np.concatenate([weight, np.full(len(y) - len(weight), 0.5)])
+            views.append(calibrated(fit(x, y, weight), self.aside[view], self.y_aside))
         return Model(*views, self.prior)
 
 
@@ -193,17 +186,26 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatc
 
 
 def _arrays(rows: DataFrame, y: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Features of both views and the column ``y`` of the rows, in the order of their doc_id and features."""
+    """Features of both views and the column ``y`` of the rows, in the order of their doc_id."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, a, b in _features(batches):
             packed = lambda x: pa.array([row.tobytes() for row in x], pa.binary())
             yield pa.RecordBatch.from_arrays([packed(a), packed(b), *part.columns[4:]], names=["a", "b", "doc_id", "y"])
 
-    found = rows.select("text", "source", "lang", "n_chars", "doc_id", F.col(y).alias("y")).mapInArrow(make, "a binary, b binary, doc_id long, y double")
-    table = found.toArrow().sort_by([("doc_id", "ascending"), ("a", "ascending"), ("b", "ascending")])
-    matrix = lambda column, width: np.frombuffer(b"".join(table.column(column).to_pylist()), np.float32).reshape(-1, width)
-    return matrix("a", TEXT_WIDTH), matrix("b", META_WIDTH), table.column("y").to_numpy()
+    table = rows.select("text", "source", "lang", "n_chars", "doc_id", F.col(y).alias("y")).mapInArrow(make, "a binary, b binary, doc_id long, y double").toArrow()
+    order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+
+    def matrix(column: str, width: int) -> np.ndarray:
+        """Rows by doc_id, read from the Arrow buffers as they are."""
+        out, at = np.empty((len(order), width), np.float32), 0
+        for chunk in table.column(column).chunks:
+            if len(chunk):
+                out[at : at + len(chunk)] = np.frombuffer(chunk.buffers()[2], np.float32, (chunk.offset + len(chunk)) * width).reshape(-1, width)[chunk.offset :]
+                at += len(chunk)
+        return out[order]
+
+    return matrix("a", TEXT_WIDTH), matrix("b", META_WIDTH), table.column("y").to_numpy()[order]
 
 
 def _views(docs: DataFrame) -> DataFrame:
@@ -232,8 +234,9 @@ def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_
     # a labelled id may repeat: of its rows one is taken
     first = staged(known.groupBy("doc_id").agg(F.min(F.xxhash64("text", "source", "lang", "n_chars")).alias("row")))
     chosen = known.withColumn("row", F.xxhash64("text", "source", "lang", "n_chars")).join(F.broadcast(first), ["doc_id", "row"]).dropDuplicates(["doc_id"])
-    a, b, y = _arrays(chosen, "y")
-    lessons = Lessons((a, b), y)
+    *views, y = _arrays(chosen, "y")
+    lessons = Lessons(tuple(views), y)
+    del views
 
     def surest(model: Model, sure: float, good: float) -> tuple[tuple[np.ndarray, np.ndarray], ...]:
         scored = staged(score(rows.where("doc_id is not null"), model, ["doc_id"]).join(F.broadcast(some.select("doc_id")), "doc_id", "left_anti"))
