@@ -378,21 +378,26 @@ def best_centre(found: DataFrame) -> DataFrame:
 def unsettled(postings: DataFrame, roots: DataFrame, main_rows: int) -> DataFrame:
     """The postings of lists with rows of several components, with comp and salt.
 
-    Lists of one main component (that of their most central row) are met together, in parts of about
-    ``main_rows``: the rows of the main component are dealt out, all others go to every part, so each
-    pair of different components meets.
+    Lists of one main component (that of their most central row) are met together, in parts. Rows of the main
+    component are dealt to ``p`` groups and all others to ``q``, of about ``main_rows`` each. A part is one group of
+    either kind, so that every row of the main component meets every other one, or two groups of others.
     """
     comp = F.coalesce(F.col("root"), F.col("row"))
     known = postings.join(roots.withColumnRenamed("node", "row"), "row", "left").withColumn("comp", comp).drop("root")
     lists = known.groupBy("token").agg(
-        F.min("comp").alias("first"), F.max("comp").alias("last"), F.min_by("comp", F.struct(F.col("place").bitwiseAND((1 << 32) - 1), "place", "row")).alias("main"), F.count("*").alias("m")
+        F.min("comp").alias("first"), F.max("comp").alias("last"), F.min_by("comp", F.struct(F.col("place").bitwiseAND((1 << 32) - 1), "place", "row")).alias("main")
     )
-    lists = lists.where("first <> last")
-    sizes = lists.groupBy("main").agg(F.ceil(F.sum("m") / main_rows).cast("int").alias("parts"))
-    lists = lists.join(sizes, "main").select("token", "main", "parts")
-    own = F.array(F.pmod(F.xxhash64("row"), F.col("parts")).cast("int"))
-    salts = F.when(F.col("comp") == F.col("main"), own).otherwise(F.sequence(F.lit(0), F.col("parts") - 1))
-    return known.join(lists, "token").withColumn("salt", F.explode(salts))
+    known = staged(known.join(lists.where("first <> last").select("token", "main"), "token"))
+    groups = lambda kind: F.greatest(F.ceil(F.count_if(kind) / main_rows), F.lit(1)).cast("int")
+    sizes = known.groupBy("main").agg(groups(F.col("comp") == F.col("main")).alias("p"), groups(F.col("comp") != F.col("main")).alias("q"))
+    p, q = F.col("p"), F.col("q")
+    of = lambda n: F.pmod(F.xxhash64("row"), n).cast("int")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+    own = F.transform(every(q), lambda j: of(p) * q + j)
+    mixed = F.transform(every(p), lambda i: i * q + of(q))
+    alike = F.transform(every(q), lambda j: p * q + F.least(of(q), j) * q + F.greatest(of(q), j))
+    salts = F.when(F.col("comp") == F.col("main"), own).otherwise(F.concat(mixed, alike))
+    return known.join(sizes, "main").withColumn("salt", F.explode(salts)).drop("p", "q")
 
 
 def components_of(sets: DataFrame, first: DataFrame, shingles: int, num: int = 4, den: int = 5, part_rows: int = PART_ROWS, main_rows: int = MAIN_ROWS) -> DataFrame:
