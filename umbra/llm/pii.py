@@ -108,16 +108,13 @@ def context_terms(hits: DataFrame, context: int) -> DataFrame:
     )
 
 
-def document_frequency(texts: DataFrame, terms: DataFrame, broadcast_rows: int) -> DataFrame:
-    """(term, documents) of the ``terms`` over all whole texts."""
+def document_frequency(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """(term, documents) of the ``terms`` over all whole texts, which are counted before they are joined."""
     seen = texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    if terms.count() <= broadcast_rows:
-        seen = seen.join(F.broadcast(terms), "term", "left_semi")
-        return seen.groupBy("term").agg(F.count("*").alias("documents"))
     return seen.groupBy("term").agg(F.count("*").alias("documents")).join(terms, "term", "left_semi")
 
 
-def risky_terms(texts: DataFrame, hits: DataFrame, generalise: float, remove: float, least_contexts: int, context: int, broadcast_rows: int) -> DataFrame:
+def risky_terms(texts: DataFrame, hits: DataFrame, generalise: float, remove: float, least_contexts: int, context: int) -> DataFrame:
     """(term, disclosure, action): terms whose largest disclosure of an entity reaches ``generalise``.
 
     A pair counts when it was seen in ``least_contexts`` different surroundings, so copies of a document
@@ -128,7 +125,7 @@ def risky_terms(texts: DataFrame, hits: DataFrame, generalise: float, remove: fl
     pairs = near.groupBy("entity", "term").agg(F.count_distinct("row").alias("both"), F.count_distinct("context").alias("contexts"))
     pairs = staged(pairs.where(F.col("contexts") >= least_contexts))
     entities = hits.select(entity(F.col("kind"), F.col("hit")).alias("entity"), "row").distinct().groupBy("entity").agg(F.count("*").alias("holders"))
-    frequency = document_frequency(texts, staged(pairs.select("term").distinct()), broadcast_rows)
+    frequency = document_frequency(texts, staged(pairs.select("term").distinct()))
     information = F.log2(F.lit(float(max(total, 1))) / F.col("holders"))
     mutual = F.log2(F.col("both") * F.lit(float(max(total, 1))) / (F.col("holders") * F.col("documents")))
     rated = pairs.join(entities, "entity").join(frequency, "term").withColumn("disclosure", F.round(F.try_divide(mutual, information), 9))
@@ -166,7 +163,7 @@ def found(
     """
     texts = staged(docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_of().alias("text")))
     hits = staged(base_hits(texts, context))
-    terms = staged(risky_terms(texts, hits, generalise, remove, least_contexts, context, broadcast_rows))
+    terms = staged(risky_terms(texts, hits, generalise, remove, least_contexts, context))
     kinds = F.create_map(*[F.lit(x) for i, (kind, _) in enumerate(PATTERNS) for x in (kind, i)])
     as_span = lambda place, action: F.struct(place.alias("place"), "kind", "start", "end", action.alias("action"))
     spans = union_all(
