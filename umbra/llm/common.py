@@ -98,11 +98,14 @@ class Cache(dict):
         self.make, self.limit, self.old = make, limit, {}
 
     def __missing__(self, key):
-        if len(self) >= self.limit:
-            self.old = dict(self)
-            self.clear()
         value = self.old.get(key)
         if value is None:
             value = self.make(key)
-        self[key] = value
+        self.put(key, value)
         return value
+
+    def put(self, key, value) -> None:
+        if len(self) >= self.limit:
+            self.old = dict(self)
+            self.clear()
+        self[key] = value

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from umbra.llm import ann, dedup, langid, lm, mixing, ngram_join, packing, pii, quality, urls
+from umbra.llm import ann, dedup, hard_negatives, langid, lexical, lm, mixing, ngram_join, packing, pieces, pii, quality, urls
 from umbra.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -52,8 +52,24 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.result(table(spark, sf_dir, "documents"))
 
 
+def op11_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.result(table(spark, sf_dir, "documents"))
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Query] = {
-    f.__name__: f for f in (op1_pii, op2_graph_ann, op3_packing, op4_quality, op5_language_id, op6_mixing, op7_url_filter, op8_lm_score, op9_exact_dedup, op10_ngram_join)
+    f.__name__: f
+    for f in (
+        op1_pii, op2_graph_ann, op3_packing, op4_quality, op5_language_id, op6_mixing, op7_url_filter, op8_lm_score, op9_exact_dedup,
+        op10_ngram_join, op11_pieces, op12_lexical_search, op13_hard_negatives,
+    )
 }
 
 ORACLE_SQL: dict[str, str] = {
@@ -61,4 +77,6 @@ ORACLE_SQL: dict[str, str] = {
     "op7_url_filter": urls.RESULT_SQL,
     "op9_exact_dedup": dedup.RESULT_SQL,
     "op10_ngram_join": ngram_join.RESULT_SQL,
+    "op12_lexical_search": lexical.RESULT_SQL,
+    "op13_hard_negatives": hard_negatives.RESULT_SQL,
 }
