@@ -38,9 +38,10 @@ class Best:
 class BallTree:
     """Rows of non-negative integers in compressed form: ``starts`` (rows + 1), columns ``terms`` and ``values``.
 
-    Nodes are split at the median along the line through two rows far apart, down to ``leaf`` rows. A node keeps its
-    centroid and the largest distance from it. All sums that a bound rests on are of numbers that are not negative, or
-    are widened by more than their rounding can amount to, so that a bound is never below a true product.
+    Nodes are split between two rows far apart, down to ``leaf`` rows: each row goes to the nearer one, or half of them to each if one
+    would get less than an eighth. A node keeps its centroid and the largest distance by which a row goes beyond it; as no number is
+    negative, only coordinates above the centroid's can raise a product. All sums that a bound rests on are of numbers
+    that are not negative, so their rounding is a tiny share of them, by more than which bounds are widened.
     """
 
     def __init__(self, starts: np.ndarray, terms: np.ndarray, values: np.ndarray, leaf: int = 64):
@@ -58,8 +59,7 @@ class BallTree:
             per_row = lambda x: np.add.reduceat(np.append(x, 0.0), own) * (size > 0)
             length = float(centre @ centre)
             near = per_row((value - centre[term]) ** 2 - centre[term] ** 2) + length
-            weight = per_row(value * value) + length
-            radius.append(float(np.sqrt(np.max(np.maximum(near, 0) + 1e-9 * weight))))
+            radius.append(float(np.sqrt(per_row(np.maximum(value - centre[term], 0) ** 2).max())))
             there = np.flatnonzero(centre)
             centre_node.append(np.full(len(there), node))
             centre_term.append(there)
@@ -70,9 +70,11 @@ class BallTree:
             dense = lambda r: np.bincount(term[own[r] : own[r] + size[r]], value[own[r] : own[r] + size[r]], width)
             one = dense(int(np.argmax(near)))
             two = dense(int(np.argmax(per_row(value * value) - 2 * per_row(value * one[term]))))
-            side = np.argsort(per_row(value * (two - one)[term]), kind="stable")
-            upper = np.zeros(n, bool)
-            upper[side[n // 2 :]] = True
+            along = per_row(value * (two - one)[term])
+            upper = along > float(two @ two - one @ one) / 2
+            if not n / 8 <= upper.sum() <= n - n / 8:
+                upper = np.zeros(n, bool)
+                upper[np.argsort(along, kind="stable")[n // 2 :]] = True
             which = np.repeat(upper, size)
             first = len(order)
             left = grow(rows[~upper], size[~upper], term[~which], value[~which])
@@ -100,8 +102,8 @@ class BallTree:
         starts, ends = self.centre_start[terms], self.centre_start[terms + 1]
         at, weight = ranges(starts, ends), np.repeat(weights.astype(np.float64), ends - starts)
         middle = np.bincount(self.centre_node[at], self.centre_value[at] * weight, len(self.nodes))
-        norm = float(np.sqrt((weights.astype(np.float64) ** 2).sum()))
-        return (middle + norm * self.radius) * (1 + 1e-9) + 1
+        held = np.bincount(self.centre_node[at], weight**2, len(self.nodes))  # of terms that the node has
+        return (middle + np.sqrt(held) * self.radius) * (1 + 1e-9) + 1
 
     def search(self, names: np.ndarray, weights: np.ndarray, ids: list, best: Best) -> int:
         """Adds the rows that matter to ``best``: nodes by falling bounds, leaves scored in integers. Gives the number of leaves met."""
