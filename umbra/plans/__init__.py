@@ -10,6 +10,7 @@ from umbra.plans import (  # noqa: F401
     shade_plans,
     shelter_plans,
     source_plans,
+    spatial_plans,
 )
 from umbra.plans.inputs import REGISTRY
 
