@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,21 +25,22 @@ def with_shade(edges: DataFrame, shade: DataFrame) -> DataFrame:
     return edges.join(shade, ["u", "v"], "left").withColumn("frac", F.coalesce("frac", F.lit(0.0)))
 
 
-def relax(edges: DataFrame, sources: DataFrame, by: Sequence[str] = (), most_rounds: int = 1000, most_cost: float | None = None) -> DataFrame:
+def relax(edges: DataFrame, sources: DataFrame, by: Sequence[str] = (), most_rounds: int = 1000, most_cost: float | None = None, merge_rounds: int = 8) -> DataFrame:
     """(by, node, cost, t, sun, run, worst): the least-cost path from the nearest source of each key to every node reached.
 
     ``edges`` has u, v, cost >= 0, t, sun and those of the keys ``by`` that they depend on; ``sources`` by and node. Nodes
     that cost more than ``most_cost``, if given, are not reached. Along the path minutes and sun minutes add
     up, and worst is the longest stretch of edges that are sunny for more than half their time. Only nodes that
-    improved in a round pass on; every round is written to the shared folder. Equal costs go to the smaller struct,
-    that is less time, then less sun.
+    improved in a round pass on, and only they are written, to the shared folder; what is known is the least of the rounds, which are made one
+    table again after every ``merge_rounds``. Equal costs go to the smaller struct, that is less time, then less sun.
     """
     keys = [*by, "node"]
     edges = staged(edges.withColumnRenamed("u", "node"))
     on = [k for k in keys if k in edges.columns]
     state = [F.lit(0.0).alias(c) for c in ("cost", "t", "sun", "run", "worst")]
-    best = staged(sources.select(*keys).distinct().select(*keys, F.struct(*state).alias("s")))
-    front = best
+    front = staged(sources.select(*keys).distinct().select(*keys, F.struct(*state).alias("s")))
+    rounds = [front]
+    least = lambda: reduce(DataFrame.unionByName, rounds).groupBy(*keys).agg(F.min("s").alias("s"))
     for _ in range(most_rounds):
         sunny = F.col("sun") > 0.5 * F.col("t")
         run = F.when(sunny, F.col("s.run") + F.col("t")).otherwise(0.0)
@@ -51,10 +53,14 @@ def relax(edges: DataFrame, sources: DataFrame, by: Sequence[str] = (), most_rou
         )
         step = step if most_cost is None else step.where(F.col("s.cost") <= most_cost)
         offered = step.groupBy(*keys).agg(F.min("s").alias("offer"))
-        merged = staged(best.join(offered, keys, "full_outer").select(*keys, F.least("s", "offer").alias("s"), F.coalesce(F.col("offer") < F.col("s"), F.col("s").isNull()).alias("better")))
-        best, front = merged.drop("better"), merged.where("better").drop("better")
+        known = reduce(DataFrame.unionByName, rounds).join(offered.select(*keys), keys, "left_semi").groupBy(*keys).agg(F.min("s").alias("s"))
+        better = offered.join(known, keys, "left").where(F.col("s").isNull() | (F.col("offer") < F.col("s")))
+        front = staged(better.select(*keys, F.col("offer").alias("s")))
         if front.limit(1).count() == 0:
-            return best.select(*keys, "s.*")
+            return least().select(*keys, "s.*")
+        rounds.append(front)
+        if len(rounds) > merge_rounds:
+            rounds = [staged(least())]
     raise RuntimeError(f"paths not settled after {most_rounds} rounds")
 
 

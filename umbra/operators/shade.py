@@ -101,3 +101,35 @@ def exposure(minutes: Column, by_building: Column, by_all: Column, transmittance
     open_ = F.greatest(F.lit(0.0), F.least(F.lit(1.0), 1 - by_all))
     canopy = F.greatest(F.lit(0.0), F.least(F.lit(1.0), by_all - by_building))
     return minutes * (open_ + transmittance * canopy)
+
+
+def least_factors(cells: DataFrame, suns: DataFrame, size: float, rows: int, cols: int, most: float) -> DataFrame:
+    """(sun, row, col, least): cells that lie in shadow when all heights are times a factor above ``least``, for factors up to ``most``.
+
+    One cast answers for all factors: step n from an obstruction is dark when h * factor > n * size * tan(elevation), so each cell
+    keeps the least n * size * tan(elevation) / h that meets it.
+    """
+    tangent = F.tan(F.radians("elevation")) * size
+    thrown = cells.where("h > 0").crossJoin(F.broadcast(suns.where("elevation > 5"))).withColumn("tangent", tangent)
+    thrown = thrown.withColumn("reach", (F.ceil(F.col("h") * most / F.col("tangent")) - 1).cast("int")).where("reach >= 1")
+    steps = thrown.withColumn("n", F.explode(F.sequence(F.lit(1), F.col("reach"))))
+    down, right = -F.cos(F.radians("azimuth")), F.sin(F.radians("azimuth"))
+    moved = lambda at, unit: (F.col(at) - F.bround(F.round(F.col("n") * unit, 9))).cast("int")
+    out = steps.select("sun", moved("row", down).alias("row"), moved("col", right).alias("col"), (F.col("n") * F.col("tangent") / F.col("h")).alias("least"))
+    return out.where(F.col("row").between(0, rows - 1) & F.col("col").between(0, cols - 1)).groupBy("sun", "row", "col").agg(F.min("least").alias("least"))
+
+
+def factor_shade(points: DataFrame, least: DataFrame, suns: DataFrame, factors: Sequence[float]) -> DataFrame:
+    """(edge, sun, factor, frac): ``edge_shade`` for every factor of the heights, from one pass over the sample points."""
+    rows = points.crossJoin(F.broadcast(suns.select("sun", "elevation"))).join(least, ["sun", "row", "col"], "left")
+    dark = lambda f: F.when((F.col("elevation") <= 5) | F.coalesce(F.col("least") < f, F.lit(False)), 1.0).otherwise(0.0)
+    wide = rows.groupBy("edge", "sun").agg(*[F.avg(dark(f)).alias(f"f{i}") for i, f in enumerate(factors)])
+    each = F.explode(F.array(*[F.struct(F.lit(float(f)).alias("factor"), F.col(f"f{i}").alias("frac")) for i, f in enumerate(factors)]))
+    return wide.select("edge", "sun", each.alias("x")).select("edge", "sun", "x.*")
+
+
+def factor_changes(shade: DataFrame, lengths: DataFrame) -> DataFrame:
+    """Length-weighted shade of the network under each sun and factor, and its change against heights as they are."""
+    rows = shade.join(lengths, "edge").groupBy("sun", "factor").agg(ratio(F.sum(F.col("frac") * F.col("length")), F.sum("length")).alias("shade"))
+    central = rows.where("factor = 1").select("sun", F.col("shade").alias("central"))
+    return rows.join(F.broadcast(central), "sun").select("sun", "factor", "shade", (F.col("shade") - F.col("central")).alias("change"))  # a row for each sun

@@ -7,6 +7,7 @@ from umbra.plans import (  # noqa: F401
     panel_plans,
     policy_plans,
     quality_plans,
+    regret_plans,
     shade_plans,
     shelter_plans,
     source_plans,

@@ -87,24 +87,79 @@ def _(spark, d):
     return routes(spark, d, [0.0]).select("node", "t", "sun", "worst")
 
 
-@REGISTRY.add("net_constrained_routes")
+view("hour_minutes", "SELECT u, v, hour, t, t * (1 - (round(frac * 100)::INTEGER + hour * 17) % 100 / 100) AS sun FROM (SELECT u, v, e.length / 1.25 / 60 AS t, e.frac AS frac FROM twoway), (VALUES (11), (14), (17)) h(hour)", ["twoway"])
+
+
+def relax_sql(table: str, keys: str, start: str, cost: str) -> str:
+    """The recursive part for routes with keys: ``table`` (u, v, t, sun, some of the keys m.k), ``start`` the keys of all sources."""
+    names = keys.split()
+    same = " AND ".join(f"k.{k} = o.{k}" for k in names)
+    of = lambda alias: ", ".join(f"{alias}.{k}" for k in names)
+    return f"""RECURSIVE best(node, {", ".join(names)}, s) USING KEY (node, {", ".join(names)}) AS (
+    SELECT node, {", ".join(names)}, {{'cost': 0.0::DOUBLE, 't': 0.0::DOUBLE, 'sun': 0.0::DOUBLE, 'run': 0.0::DOUBLE, 'worst': 0.0::DOUBLE}} FROM facilities, {start}
+    UNION (
+    SELECT o.v, {of("o")}, min(o.s) AS s FROM (
+        SELECT v, {", ".join(names)}, {{'cost': s.cost + cost, 't': s.t + t, 'sun': s.sun + sun, 'run': run, 'worst': greatest(s.worst, run)}} AS s FROM (
+            SELECT m.v, {of("b")}, b.s, m.t, m.sun, {cost} AS cost, CASE WHEN m.sun > 0.5 * m.t THEN b.s.run + m.t ELSE 0 END AS run FROM best b JOIN {table})) o
+    LEFT JOIN recurring.best k ON k.node = o.v AND {same} WHERE k.node IS NULL OR o.s < k.s GROUP BY o.v, {of("o")}))"""
+
+
+_COST = "(1 - b.weight) * m.t + b.weight * m.sun"
+_FINE = "(SELECT i / 20 AS weight FROM range(21) r(i)) w"
+HOURLY = relax_sql("hour_minutes m ON m.u = b.node AND m.hour = b.hour", "hour weight", f"{_FINE}, (VALUES (11), (14), (17)) h(hour)", _COST)
+
+
+def chosen_sql(where: str = "true", by: str = "hour, ") -> str:
+    order = "{'s': round(s.sun, 9), 'w': weight}"
+    kept = f"FILTER (s.t <= {BUDGET})"
+    return f"""SELECT {by}node, arg_min(s.t, {order}) {kept} AS t, arg_min(s.sun, {order}) {kept} AS sun, arg_min(s.worst, {order}) {kept} AS worst,
+        arg_min(s.t, weight) AS t_fast, arg_min(s.sun, weight) AS sun_fast, bool_or(s.t <= {BUDGET}) AS reachable FROM best WHERE {where} GROUP BY {by}node"""
+
+
+@REGISTRY.add("net_constrained_routes", f"WITH {HOURLY} {chosen_sql()}", "hour_minutes facilities", "t sun worst t_fast sun_fast")
 def _(spark, d):
     return N.constrained(routes(spark, d, FINE, hours=True), BUDGET, ["hour"])
 
 
-@REGISTRY.add("net_frontier_summary")
+@REGISTRY.add(
+    "net_frontier_summary",
+    f"""WITH {HOURLY}, c AS ({chosen_sql()}) SELECT hour, count(*) AS nodes, median(t_fast) AS t_fast, median(t) AS t_shaded, median(sun_fast) AS sun_fast, median(sun) AS sun_shaded,
+        100 * (1 - sum(sun) / sum(sun_fast)) AS sun_saved_pct, 100 * (sum(t) / sum(t_fast) - 1) AS time_paid_pct FROM c WHERE reachable GROUP BY hour""",
+    "hour_minutes facilities",
+    "t_fast t_shaded sun_fast sun_shaded sun_saved_pct time_paid_pct",
+)
 def _(spark, d):
     return N.frontier_summary(N.constrained(routes(spark, d, FINE, hours=True), BUDGET, ["hour"]), ["hour"])
 
 
-@REGISTRY.add("net_grid_convergence")
+@REGISTRY.add(
+    "net_grid_convergence",
+    f"""WITH {HOURLY}, f AS ({chosen_sql()}), c AS ({chosen_sql("weight IN (0, 0.25, 0.5, 0.75, 1)")})
+        SELECT hour, count(*) AS nodes, avg(c.sun - f.sun) AS mean_sun, max(c.sun - f.sun) AS max_sun, 100 * count_if(c.sun - f.sun > 1e-9) / count(*) AS improved_pct, max(abs(c.t - f.t)) AS max_t
+        FROM c JOIN f USING (hour, node) WHERE c.reachable AND f.reachable GROUP BY hour""",
+    "hour_minutes facilities",
+    "mean_sun max_sun improved_pct max_t",
+)
 def _(spark, d):
     fine = routes(spark, d, FINE, hours=True)
     coarse = fine.where(F.col("weight").isin(COARSE))
     return N.grid_convergence(N.constrained(coarse, BUDGET, ["hour"]), N.constrained(fine, BUDGET, ["hour"]), ["hour"])
 
 
-@REGISTRY.add("net_budget_grid")
+_SNAP = "SELECT cusec AS point, min(struct_pack(far := sqrt(power(s.x - n.x, 2) + power(s.y - n.y, 2)), node := node)) AS b FROM sections s, nodes n GROUP BY cusec"
+WEIGHTED = relax_sql("minutes m ON m.u = b.node", "weight", _FINE, _COST)
+
+
+@REGISTRY.add(
+    "net_budget_grid",
+    f"""WITH {WEIGHTED}, p AS (SELECT b.node AS node, sum(pop) AS pop FROM ({_SNAP}) JOIN sections ON cusec = point GROUP BY b.node),
+    e AS (SELECT speed, budget, node, min(s.sun * (1.25 / speed)) FILTER (s.t * (1.25 / speed) <= budget) AS sun, bool_or(s.t * (1.25 / speed) <= budget) AS reached
+        FROM best, (VALUES (0.8::DOUBLE), (1.0), (1.25)) v(speed), (VALUES (30.0::DOUBLE), (45.0), (60.0)) g(budget) GROUP BY ALL)
+    SELECT speed, budget, count_if(reached)::BIGINT AS nodes, coalesce(sum(coalesce(pop, 0)) FILTER (reached), 0) AS people, 100 * sum(coalesce(pop, 0)) FILTER (reached) / sum(coalesce(pop, 0)) AS people_pct,
+        median(sun) FILTER (reached) AS sun FROM e LEFT JOIN p USING (node) GROUP BY speed, budget""",
+    "minutes facilities nodes sections",
+    "speed budget people people_pct sun",
+)
 def _(spark, d):
     cases = [(v, b, SPEED / v) for v in (0.8, 1.0, 1.25) for b in (30.0, 45.0, 60.0)]
     people = sections(spark, d).select(F.col("cusec").alias("point"), "pop").join(snapped(spark, d), "point").groupBy("node").agg(F.sum("pop").alias("pop"))
@@ -125,7 +180,6 @@ def _(spark, d):
     return N.relax(one, sources, ["facility"], most_cost=BUDGET).select("facility", "node", "t")
 
 
-_SNAP = "SELECT cusec AS point, min(struct_pack(far := sqrt(power(s.x - n.x, 2) + power(s.y - n.y, 2)), node := node)) AS b FROM sections s, nodes n GROUP BY cusec"
 
 
 @REGISTRY.add("net_snap", f"SELECT point, b.node AS node, b.far AS connector FROM ({_SNAP})", "sections nodes", "connector")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from umbra.operators import network as N
 from umbra.plans.inputs import REGISTRY, observations, read
-from umbra.plans.network_plans import edges, routes
+from umbra.plans.network_plans import edges, relax_sql, routes
 from umbra.sources import readers, writers
 from umbra.sources.staging import shared_path
 
@@ -93,6 +93,11 @@ def _(spark, d):
     return N.with_shade(both, shade)
 
 
-@REGISTRY.add("net_exposed_fraction")
+@REGISTRY.add(
+    "net_exposed_fraction",
+    f"""WITH {relax_sql("hour_minutes m ON m.u = b.node AND m.hour = b.hour", "hour", "(VALUES (11), (14), (17)) h(hour)", "m.t")} SELECT hour, avg(s.sun) / nullif(avg(s.t), 0) AS exposed FROM best GROUP BY hour""",
+    "hour_minutes facilities",
+    "exposed",
+)
 def _(spark, d):
     return N.exposed_fraction(routes(spark, d, [0.0], hours=True), ["hour"])
