@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 import numpy as np
 from pyspark.sql import functions as F
 
-from umbra.llm import ann, langid, ngram_join, quality, urls
+from umbra.llm import ann, langid, mixing, ngram_join, quality, urls
 from umbra.llm.common import arrow_batches
 
 
@@ -33,6 +35,36 @@ def test_long_urls_and_clashing_columns(spark):
     assert len(got) == 2 and all(len(r.path) == 200_001 and r.verdict == "allow" for r in got)
 
 
+def test_hosts_of_many_labels(spark):
+    deep = "a." * 60_000 + "com"
+    urls_ = [(1, f"http://{deep}/en/1"), (2, f"http://{'b.' * 20_000}example.com/en/7"), (3, "http://COM/en/"), (4, "http://com"), (5, "http:///en/")]
+    pages = spark.createDataFrame(urls_, "page_id long, url string")
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    began = time.time()
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.result(pages, labels).collect()}
+    assert got == {1: ("com/en/", "block"), 2: ("example.com/en/7", "allow"), 3: ("com/en/", "block"), 4: (None, "allow"), 5: (None, "allow")}
+    assert time.time() - began < 120
+
+
+def test_unmet_marginals_are_told(spark):
+    """A source that is all of one language can't have half of all tokens while that language has a tenth."""
+    cells = spark.createDataFrame([("a", "x", "t", 100, 1), ("b", "y", "t", 900, 1), ("b", "x", "t", 10, 1)], "source string, lang string, topic string, tokens long, documents long")
+    wanted = {"source": {"a": 0.5, "b": 0.5}, "lang": {"x": 0.1, "y": 0.9}, "topic": 1.0}
+    got = mixing.calibrated(mixing.rake(cells, wanted), wanted, 0.9).collect()
+    assert max(r.off for r in got) > 0.1 and all(0 <= r.probability <= 1 for r in got)
+
+
+def test_scarce_values_give_all_they_have(spark):
+    rows = [(s, "x", t, n, 1) for s, t, n in [("a", "p", 5000), ("a", "q", 3), ("b", "p", 4000), ("b", "r", 2500), ("a", "r", 2500)]]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, documents long")
+    wanted = {"source": 1.0, "lang": 1.0, "topic": {"p": 0.5, "q": 0.1, "r": 0.4}}
+    got = {(r.source, r.topic): r for r in mixing.calibrated(mixing.rake(cells, wanted), wanted).collect()}
+    assert got["a", "q"].probability == 1.0 and got["a", "q"].off > 0.9  # three tokens can't be a tenth
+    expected = {k: r.probability * r.tokens for k, r in got.items()}
+    total, p = sum(expected.values()), sum(v for k, v in expected.items() if k[1] == "p")
+    assert abs(total / 14003 - 0.5) < 1e-3 and abs(p / (total - 3) - 5 / 9) < 1e-3
+
+
 def test_quality_with_a_fitted_model(spark):
     good = [(i, f"Some plain sentence number {i} about a quiet garden. It rains today.", "en", "a", 60, 1.0) for i in range(60)]
     junk = [(1000 + i, "BUY!! NOW!! $$$ " * 5 + str(i), "en", "b", 90, 1.0) for i in range(60)]

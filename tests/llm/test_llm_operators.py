@@ -362,9 +362,17 @@ def test_mixing_probabilities_and_sample(spark, docs, nothing):
     )
     rows = mixing.result(many).cache()
     assert rows.count() == 4000 and rows.where("probability > 1 or probability < 0").count() == 0
-    expected = rows.agg(F.sum(F.col("probability") * F.col("tokens")) / F.sum("tokens")).first()[0]
-    assert abs(expected - 0.9) < 0.01
-    assert abs(rows.where("kept").count() / 4000 - 0.9) < 0.03
+    table = rows.toPandas()
+    table["expected"] = table.probability * table.tokens
+    share = table.expected.sum() / table.tokens.sum()
+    for dimension, power in mixing.POWERS.items():
+        seen = table.groupby(dimension).tokens.sum()
+        goal = seen**power / (seen**power).sum()
+        got = table.groupby(dimension).expected.sum() / table.expected.sum()
+        assert (abs(got / goal - 1) < 0.01).all()
+        assert share <= max(0.5, (seen / (goal * seen.sum())).min()) + 1e-3  # no value gives more tokens than it has
+    assert 0.5 <= share + 1e-3 and share <= 0.9 and (table.off <= 1e-3).all()
+    assert abs(table[table.kept].tokens.sum() / table.tokens.sum() - share) < 0.03
     assert mixing.result(docs).count() == len(ROWS) and mixing.result(nothing).count() == 0
     sample = mixing.sampled(docs)
     assert sample.columns == docs.columns and {4, 5, 6} <= {r.doc_id for r in sample.collect()}

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import warnings
 import zlib
 from collections.abc import Iterator, Mapping, Sequence
 
@@ -72,7 +71,7 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | float], mo
     """``cells`` (dimensions, tokens) with ``weight``: tokens fitted to all marginals in turn until none is off by more than ``tolerance``.
 
     Every step is a grouped sum and a join with it; a value of a dimension is one row there, so no
-    task gathers what belongs to a hot value.
+    task gathers what belongs to a hot value. What can't be met after ``most_rounds`` shows in ``off`` of ``calibrated``.
     """
     goals = {d: staged(targets(cells, d, wanted[d])) for d in wanted}
     cells = cells.withColumn("weight", F.col("tokens").cast("double"))
@@ -88,31 +87,61 @@ def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | float], mo
         cells = cells.drop(*[f"_{d}" for d in goals])
         if worst is None or worst <= tolerance:
             break
-    else:
-        warnings.warn(f"raking stopped after {most_rounds} rounds with a marginal off by a share of {worst}", stacklevel=2)
     return cells
 
 
-def probabilities(cells: DataFrame, budget: float, rounds: int = 12) -> DataFrame:
-    """``cells`` with ``probability``: min(1, c * weight / tokens), c such that ``budget`` of all tokens is expected."""
-    ratio = F.try_divide(F.col("weight"), F.col("tokens").cast("double"))
-    cells = cells.withColumn("ratio", F.coalesce(ratio, F.lit(0.0)))
-    c = budget
+def attainable(goal: DataFrame, seen: DataFrame, dimension: str, share: float, rounds: int = 12) -> DataFrame:
+    """(value, goal, target): ``target`` times ``share``; a value that has less gives all it has, and the others make up for it by their targets."""
+    rows = staged(goal.join(seen, dimension).select(dimension, (F.col("target") * F.lit(share)).alias("target"), "seen"))
+    scale = 1.0
     for _ in range(rounds):
-        full = F.col("ratio") * F.lit(c) >= 1
-        sums = cells.agg(
-            F.sum("tokens").alias("all"), F.sum(F.when(full, F.col("tokens")).otherwise(0)).alias("full"),
-            F.sum(F.when(full, 0.0).otherwise(F.col("tokens") * F.col("ratio"))).alias("rest"),
-        ).first()
-        if not sums["all"] or not sums["rest"]:
+        short = F.col("target") * F.lit(scale) >= F.col("seen")
+        sums = rows.agg(F.sum("target").alias("all"), F.sum(F.when(short, F.col("seen")).otherwise(0.0)).alias("short"), F.sum(F.when(short, 0.0).otherwise(F.col("target"))).alias("rest")).first()
+        if not sums["rest"]:
+            break
+        better = (sums["all"] - sums["short"]) / sums["rest"]
+        if abs(better - scale) <= 1e-12:
             break
-        better = max((budget * sums["all"] - sums["full"]) / sums["rest"], 0.0)
-        if abs(better - c) <= 1e-9 * max(c, 1.0):
+        scale = better
+    return staged(rows.select(dimension, F.least(F.col("seen"), F.col("target") * F.lit(scale)).alias("goal"), "target"))
+
+
+def calibrated(
+    cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | float], budget: float = 0.9, least: float = 0.5, most_rounds: int = 40, tolerance: float = 1e-3
+) -> DataFrame:
+    """``cells`` (dimensions, tokens, weight as ``rake`` gives it) with ``probability`` and ``off``: expected tokens whose marginals have the target shares.
+
+    No cell can give more than all its tokens. So the share of all tokens that is expected is ``budget`` or, if that is less, what the scarcest
+    value of a dimension has against its target, but not under ``least``: a value too scarce even for that gives all its tokens, and the others of its
+    dimension make up for it. Raking goes on with full cells held: where a marginal lacks tokens, the cells that are not full give more.
+    ``off`` is the largest share by which a marginal of the cell misses its target in the end. A cell without tokens costs nothing and keeps its documents.
+    """
+    goals = {d: staged(targets(cells, d, wanted[d])) for d in wanted}
+    seen = {d: cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("seen")) for d in goals}
+    scarcest = [goal.where("target > 0").join(seen[d], d).agg(F.min(F.col("seen") / F.col("target"))).first()[0] for d, goal in goals.items()]
+    share = max(least, min([budget, *[x for x in scarcest if x is not None]]))
+    goals = {d: attainable(goal, seen[d], d, share) for d, goal in goals.items()}
+    tokens, value = F.col("tokens").cast("double"), F.col("expected")
+    cells = staged(cells.withColumn("expected", F.least(tokens, F.col("weight") * F.lit(share))))
+    for _ in range(most_rounds):
+        moved = []
+        for d, goal in goals.items():
+            full = value >= tokens * (1 - 1e-12)
+            sums = cells.groupBy(d).agg(F.sum(value).alias("all"), F.sum(F.when(full, value).otherwise(0.0)).alias("full"))
+            down, up = F.try_divide(F.col("goal"), F.col("all")), F.try_divide(F.col("goal") - F.col("full"), F.col("all") - F.col("full"))
+            steps = sums.join(goal, d).select(d, F.coalesce(F.least(down, F.lit(1.0)), F.lit(0.0)).alias("down"), F.coalesce(F.greatest(up, F.lit(1.0)), F.lit(1.0)).alias("up"), F.coalesce(F.abs(down - 1), F.lit(0.0)).alias(f"_{d}"))
+            factor = F.when(F.col("down") < 1, F.col("down")).when(full, 1.0).otherwise(F.col("up"))
+            cells = cells.join(steps, d).withColumn("expected", F.least(tokens, value * factor)).drop("down", "up")
+            moved.append(f"_{d}")
+        cells = staged(cells.withColumn("moved", F.greatest(*[F.col(c) for c in moved], F.lit(0.0))).drop(*moved))
+        worst = cells.where("expected > 0").agg(F.max("moved")).first()[0]
+        if worst is None or worst <= tolerance:
             break
-        c = better
-    # a cell without tokens has no ratio: its documents cost nothing and stay
-    probability = F.when(F.col("tokens") == 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.col("ratio") * F.lit(c)))
-    return cells.withColumn("probability", probability).drop("ratio")
+    for d, goal in goals.items():
+        missed = F.coalesce(F.abs(F.try_divide(F.col("got"), F.col("target")) - 1), F.lit(0.0))
+        cells = cells.join(cells.groupBy(d).agg(F.sum("expected").alias("got")).join(goal, d).select(d, missed.alias(f"_{d}")), d)
+    off = F.greatest(*[F.col(f"_{d}") for d in goals], F.lit(0.0))
+    return cells.select("*", off.alias("off"), F.when(F.col("tokens") == 0, 1.0).otherwise(F.col("expected") / tokens).alias("probability"))
 
 
 def mixed(
@@ -124,7 +153,7 @@ def mixed(
     lexicon: Mapping[str, int] | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """The columns ``keep`` of every document as struct ``row``, its dimensions, tokens, weight ratio, probability and ``kept``.
+    """The columns ``keep`` of every document as struct ``row``, its dimensions, tokens, weight ratio, probability, ``off`` and ``kept``.
 
     A document is kept when a hash of its id (as text; null is empty) falls below the probability of its cell, so
     repeated rows share their fate and a rerun gives the same sample. Null source, language or topic
@@ -139,9 +168,9 @@ def mixed(
     if "text" not in keep:  # short rows are kept for the second pass; texts are read and described again
         facts = staged(facts)
     cells = staged(facts.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")))
-    raked = staged(probabilities(rake(cells.select(*DIMENSIONS, "tokens", "documents"), wanted), budget))
+    raked = staged(calibrated(rake(cells.select(*DIMENSIONS, "tokens", "documents"), wanted), wanted, budget))
     small = raked.count() <= 200_000
-    by_cell = raked.select(*DIMENSIONS, F.try_divide(F.col("weight"), F.col("tokens").cast("double")).alias("ratio"), "probability")
+    by_cell = raked.select(*DIMENSIONS, F.try_divide(F.col("weight"), F.col("tokens").cast("double")).alias("ratio"), "probability", "off")
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return facts.join(F.broadcast(by_cell) if small else by_cell, list(DIMENSIONS)).withColumn("kept", draw < F.col("probability"))
 
@@ -152,4 +181,4 @@ def sampled(docs: DataFrame, **options) -> DataFrame:
 
 
 def result(docs: DataFrame) -> DataFrame:
-    return mixed(docs).select(F.col("row.doc_id").alias("doc_id"), *DIMENSIONS, "tokens", "ratio", "probability", "kept")
+    return mixed(docs).select(F.col("row.doc_id").alias("doc_id"), *DIMENSIONS, "tokens", "ratio", "probability", "off", "kept")
