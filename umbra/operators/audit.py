@@ -39,3 +39,10 @@ def manifest(spark: SparkSession, path: str) -> DataFrame:
     """File, size and SHA-256 of every file below a folder."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     return files.select("path", "length", F.sha2("content", 256).alias("sha256"))
+
+
+def report(checks: DataFrame, values: Sequence[str]) -> DataFrame:
+    """One row of an audit: whether all of ``checks`` (name, passed, values) hold, how many there are and fail, and the range of each value."""
+    ends = [x for v in values for x in (F.min(v).alias(f"least_{v}"), F.max(v).alias(f"largest_{v}"))]
+    failed = F.count_if(~F.coalesce(F.col("passed"), F.lit(False)))
+    return checks.agg(F.when(failed == 0, "PASS").otherwise("FAIL").alias("status"), F.count("*").alias("checks"), failed.alias("failed"), *ends)

@@ -133,3 +133,12 @@ def factor_changes(shade: DataFrame, lengths: DataFrame) -> DataFrame:
     rows = shade.join(lengths, "edge").groupBy("sun", "factor").agg(ratio(F.sum(F.col("frac") * F.col("length")), F.sum("length")).alias("shade"))
     central = rows.where("factor = 1").select("sun", F.col("shade").alias("central"))
     return rows.join(F.broadcast(central), "sun").select("sun", "factor", "shade", (F.col("shade") - F.col("central")).alias("change"))  # a row for each sun
+
+
+def floor_metres(buildings: DataFrame, height: str, ground: float = 1.0, per_floor: float = 3.0) -> DataFrame:
+    """Measured metres per floor (quartiles) and the error of modelled heights, in each band of floors and overall (band all)."""
+    rows = buildings.where((F.col("floors") > 0) & F.col(height).isNotNull()).withColumn("band", F.explode(F.array_compact(F.array(F.lit("all"), band(F.col("floors"))))))
+    off = floors_height(F.col("floors"), per_floor) - F.col(height)
+    q = F.percentile((F.col(height) - ground) / F.col("floors"), F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
+    out = rows.groupBy("band").agg(F.count("*").alias("n"), q.alias("q"), F.avg(off).alias("bias"), F.avg(F.abs(off)).alias("mae"), F.sqrt(F.avg(off * off)).alias("rmse"))
+    return out.select("band", "n", F.get("q", F.lit(0)).alias("q1"), F.get("q", F.lit(1)).alias("q2"), F.get("q", F.lit(2)).alias("q3"), "bias", "mae", "rmse")

@@ -3,6 +3,7 @@
 from umbra.plans import (  # noqa: F401
     decision_plans,
     field_plans,
+    layer_plans,
     network_plans,
     panel_plans,
     policy_plans,
