@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from umbra.operators import decisions as D
 from umbra.operators import shelters as S
 from umbra.plans.inputs import REGISTRY, sections, stations, view
+from umbra.sources.staging import staged
 
 MOVEMENTS = [("m1", 2000.0), ("m2", 3500.0)]
 #: The greedy lists also have a case for each of three speeds (m/s) and three durations (minutes).
@@ -168,7 +171,7 @@ def greedy_cases(spark, d):
     whole = costs.join(rows.where("announced").select("site"), "site").agg(F.coalesce(F.sum("cost"), F.lit(0.0)).alias("whole"))
     fractions = spark.createDataFrame([(f,) for f in FRACTIONS], "fraction double")
     budgets = cases.select("movement").crossJoin(fractions).crossJoin(whole)
-    return patterns(spark, d, cases).cache(), costs, budgets.select("movement", "fraction", (F.col("fraction") * F.col("whole")).alias("budget"))
+    return staged(patterns(spark, d, cases)), costs, budgets.select("movement", "fraction", (F.col("fraction") * F.col("whole")).alias("budget"))
 
 
 @REGISTRY.add("she_greedy")
@@ -205,6 +208,48 @@ def _(spark, d):
     return S.worst_capture(patterns(spark, d, cases), sites(spark, d).select("site", each.alias("rule")))
 
 
+@REGISTRY.add("she_robust_programme")
+def _(spark, d):
+    """One programme for all movement cases at a quarter of the announced hours, against what each case could gain in all."""
+    found, costs, budgets = greedy_cases(spark, d)
+    references = found.groupBy("movement").agg(F.sum("weight").alias("reference"))
+    budget = budgets.where("fraction = 0.25").agg(F.max("budget")).first()[0]
+    return S.robust_programme(found, costs, references, budget)
+
+
+_LATER = "[{'a': 9.5::DOUBLE, 'b': 14.0::DOUBLE}, {'a': 16.5::DOUBLE, 'b': 21.0::DOUBLE}]"
+
+
+def _variant_sql(name: str, catalogue: str, stay: float = 0.0, reach_: str = "reach", hours: str = "hours") -> str:
+    cover = f"""SELECT movement, policy, moment, sum(pop) AS people FROM (SELECT DISTINCT movement, policy, moment, cusec, pop FROM {reach_} JOIN (VALUES ('m1', 2000.0), ('m2', 3500.0)) m(movement, metres) ON dist_m <= metres
+        JOIN (SELECT site, policy, moment FROM (SELECT site, policy, {hours} AS hours FROM policies WHERE policy IN ('ordinary', 'event')), {_MIDDLE} WHERE {_OPEN.format(stay=stay)}) USING (site)
+        JOIN {_CATALOGUE} USING (site) WHERE catalogue = '{catalogue}') GROUP BY ALL"""
+    return f"""SELECT '{name}' AS variant, movement, coalesce(0.25 * sum(people) FILTER (policy = 'ordinary'), 0) AS ordinary, coalesce(0.25 * sum(people) FILTER (policy = 'event'), 0) AS announced,
+        coalesce(0.25 * sum(people) FILTER (policy = 'event'), 0) - coalesce(0.25 * sum(people) FILTER (policy = 'ordinary'), 0) AS gain FROM ({cover}) GROUP BY movement"""
+
+
+_INTERIOR = "(SELECT cusec, site, dist_m + 25.0 AS dist_m, pop FROM reach)"
+_VARIANTS = [
+    _variant_sql("primary", "all"), _variant_sql("alternative hours", "all", hours=f"CASE WHEN site % 10 = 3 THEN {_LATER} ELSE hours END"), _variant_sql("other origins", "all", reach_=_INTERIOR),
+    _variant_sql("stay of half an hour", "all", stay=0.5), _variant_sql("core", "core"), _variant_sql("announced only", "announced"),
+]
+
+
+@REGISTRY.add("she_variants", " UNION ALL ".join(_VARIANTS), "reach policies", "ordinary announced gain")
+def _(spark, d):
+    """What other hours, origins, stays and catalogues do to ordinary and announced person-hours."""
+    rows, near, moments = sites(spark, d), reach(spark, d), S.time_grid(sites(spark, d), 16, 21, middle=True)
+    fixed = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
+    later = rows.withColumn("intervals", F.when(F.pmod("site", F.lit(10)) == 3, F.array(fixed(9.5, 14.0), fixed(16.5, 21.0))).otherwise(F.col("intervals")))
+    every = S.catalogue(rows)
+    cases = [
+        ("primary", near, rows, "all", 0.0), ("alternative hours", near, later, "all", 0.0), ("other origins", near.withColumn("dist_m", F.col("dist_m") + 25.0), rows, "all", 0.0),
+        ("stay of half an hour", near, rows, "all", 0.5), ("core", near, rows, "core", 0.0), ("announced only", near, rows, "announced", 0.0),
+    ]
+    out = [S.variant_hours(n, r, every.where(F.col("catalogue") == c), movements(spark), moments, stay).select(F.lit(name).alias("variant"), "movement", "ordinary", "announced", "gain") for name, n, r, c, stay in cases]
+    return reduce(lambda a, b: a.unionByName(b), out)
+
+
 @REGISTRY.add(
     "she_archived_audit",
     f"SELECT count(*) AS rows, 0::BIGINT AS missing, 0.0::DOUBLE AS largest_error FROM ({_COVER.format(times=_TIMES, open=_OPEN.format(stay=0), catalogue=_CATALOGUE)})",
