@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.functions.ranks import value_ranks
 from umbra.functions.stats import average_rank, median, normal_cdf, pearson, quota, ratio, top_k
 
 
@@ -137,10 +138,13 @@ def change_class(reachable: Column, a: Column, b: Column) -> Column:
 
 
 def mann_whitney(rows: DataFrame, value: str, flag: str) -> DataFrame:
-    """U of the flagged against the others from average ranks, and its two-sided p by the normal approximation."""
-    ranked = rows.where(F.col(value).isNotNull()).withColumn("r", average_rank(value))
-    sums = ranked.agg(
-        F.count_if(flag).cast("double").alias("n1"), F.count_if(~F.col(flag)).cast("double").alias("n2"), F.sum(F.when(F.col(flag), F.col("r")).otherwise(0.0)).alias("rs")
+    """U of the flagged against the others from average ranks, and its two-sided p by the normal approximation.
+
+    Rows are counted by value first; ranks are those of values, dealt by ranges.
+    """
+    counts = rows.where(F.col(value).isNotNull()).groupBy(value).agg(F.count("*").alias("n"), F.count_if(flag).alias("f"), F.count_if(~F.col(flag)).alias("o"))
+    sums = value_ranks(counts, value, "n").agg(
+        F.coalesce(F.sum("f"), F.lit(0)).cast("double").alias("n1"), F.coalesce(F.sum("o"), F.lit(0)).cast("double").alias("n2"), F.coalesce(F.sum(F.col("f") * F.col("rank")), F.lit(0.0)).alias("rs")
     )
     u = F.col("rs") - F.col("n1") * (F.col("n1") + 1) / 2
     z = F.try_divide(u - F.col("n1") * F.col("n2") / 2, F.sqrt(F.col("n1") * F.col("n2") * (F.col("n1") + F.col("n2") + 1) / 12))

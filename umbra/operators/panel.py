@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from umbra.functions.stats import average_rank, circular_mean, median, pearson, quantile, ratio, sector, spearman
+from umbra.sources.staging import staged
 
 NIGHT, AFTERNOON = range(0, 7), range(12, 19)
 
@@ -85,15 +86,42 @@ def complete_nights(panel: DataFrame, least: int, hours: Sequence[int] = NIGHT)
     return night.join(full, "date", "left_semi")
 
 
+def _at_share(values: Column, n: Column, p: float, without: Column | None = None) -> Column:
+    """Linear quantile of a sorted array of ``n`` values, or of it without the one at a place: behind it places shift by one."""
+    at = (n - 1) * p if without is None else (n - 2) * p
+    low = F.floor(at).cast("int")
+    pick = (lambda i: F.get(values, i)) if without is None else (lambda i: F.get(values, F.when(i < without, i).otherwise(i + 1)))
+    return pick(low) + (at - low) * (pick(F.ceil(at).cast("int")) - pick(low))
+
+
 def leave_one_out(panel: DataFrame, stations: DataFrame, least: int = 3) -> DataFrame:
-    """Mean dispersion and the hottest and coldest station when each station is left out in turn; ``stations`` is a small table."""
-    left = stations.select(F.col("station").alias("without"))
-    rest = panel.crossJoin(F.broadcast(left)).where("station <> without")
-    ref = rest.groupBy("without", "date", "hour").agg(median("t").alias("t_ref"), F.count("*").alias("n"), (quantile("t", 0.9) - quantile("t", 0.1)).alias("dispersion")).where(F.col("n") >= least)
-    means = rest.join(ref, ["without", "date", "hour"]).groupBy("without", "station").agg(F.avg(F.col("t") - F.col("t_ref")).alias("dt"))
+    """Mean dispersion and the hottest and coldest station when each station is left out in turn; ``stations`` is a small table.
+
+    The values of an instant are sorted once, as an array no longer than there are stations: quantiles without one of them are shifts of places. Where a
+    station doesn't report, nothing changes without it, so only instants that two stations share correct what the second one has in all.
+    """
+    instants = panel.where("t IS NOT NULL").groupBy("date", "hour").agg(F.array_sort(F.collect_list(F.struct("t", "station"))).alias("v"))
+    instants = instants.withColumn("n", F.size("v")).withColumn("t", F.transform("v", lambda x: x["t"])).withColumn("ref", _at_share(F.col("t"), F.col("n"), 0.5))
+    spread = lambda k=None: _at_share(F.col("t"), F.col("n"), 0.9, k) - _at_share(F.col("t"), F.col("n"), 0.1, k)
+    instants = staged(instants.withColumn("spread", spread()).where(F.col("n") >= least))
+    stays = F.col("n") > least  # enough are left without one
+    whole = instants.agg(F.coalesce(F.sum("spread"), F.lit(0.0)).alias("all_spread"), F.count("*").alias("all_n"))
+    placed = instants.select("*", F.posexplode("v").alias("k", "e"))
+    own = placed.groupBy(F.col("e.station").alias("without")).agg(F.sum(F.when(stays, spread(F.col("k"))).otherwise(0.0) - F.col("spread")).alias("more"), F.sum(stays.cast("int") - 1).alias("more_n"))
+    left = stations.select(F.col("station").alias("without")).distinct()
+    kept = left.join(own, "without", "left").crossJoin(F.broadcast(whole))
+    n = F.col("all_n") + F.coalesce("more_n", F.lit(0))
+    kept = kept.select("without", ratio(F.col("all_spread") + F.coalesce("more", F.lit(0.0)), n).alias("dispersion"), n.alias("instants")).where("instants > 0")
+    base = instants.select("ref", F.explode("v").alias("x")).groupBy(F.col("x.station").alias("station")).agg(F.sum(F.col("x.t") - F.col("ref")).alias("base"), F.count("*").alias("base_n"))
+    pairs = placed.select("ref", "n", F.col("e.station").alias("without"), _at_share(F.col("t"), F.col("n"), 0.5, F.col("k")).alias("ref_without"), F.explode("v").alias("x")).where("x.station <> without")
+    other = F.when(stays, F.col("x.t") - F.col("ref_without")).otherwise(0.0) - (F.col("x.t") - F.col("ref"))
+    moved = pairs.groupBy("without", F.col("x.station").alias("station")).agg(F.sum(other).alias("move"), F.sum(stays.cast("int") - 1).alias("move_n"))
+    each = left.crossJoin(base).where("station <> without").join(moved, ["without", "station"], "left")  # stations squared, as many as can be compared
+    count = F.col("base_n") + F.coalesce("move_n", F.lit(0))
+    means = each.where(count > 0).select("without", "station", ((F.col("base") + F.coalesce("move", F.lit(0.0))) / count).alias("dt"))
     order = lambda sign: F.struct(F.round(sign * F.col("dt"), 9), F.col("station"))
     ends = means.groupBy("without").agg(F.min_by("station", order(-1)).alias("hottest"), F.min_by("station", order(1)).alias("coldest"))
-    return ref.groupBy("without").agg(F.avg("dispersion").alias("dispersion"), F.count("*").alias("instants")).join(ends, "without")
+    return kept.join(ends, "without")
 
 
 def heat_island(panel: DataFrame, rural: DataFrame, hours: Sequence[int] = NIGHT) -> DataFrame:
