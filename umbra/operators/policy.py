@@ -277,3 +277,41 @@ def audited(certs: DataFrame, rows: DataFrame, by: Sequence[str], least: float =
     sound = (F.col("listed") == F.col("k")) & (F.col("different") == F.col("k")) & (F.col("low") >= 0) & (F.col("high") < F.col("n"))
     common = F.least("local_capture", "regional_capture") >= least - tolerance
     return out.select(*by, "rule", "listed", "local_capture", "regional_capture", sound.alias("sound"), common.alias("common"))
+
+
+CERTIFICATE = "status string, indices array<bigint>, local_capture double, regional_capture double, district_tv double, objective_bound double, mip_gap double"
+
+
+def audited_certificates(certs: DataFrame, rows: DataFrame, by: Sequence[str], tolerance: float = 1e-6) -> DataFrame:
+    """Stored certificates (by, rule, and the columns of ``CERTIFICATE``) against a recount from ``rows`` (by, cusec, district, pop, k, local, regional, optima).
+
+    ``sound``: as many different places as the quota, all of sections. ``captures`` and ``balance``: the stored captures and total variation of districts are
+    those of the places. ``bounded``: the stored bound is no higher than the recounted variation, which is minimised, and ``within_gap`` not further below
+    it than the stored gap says. A certificate without places has nothing to recount: it is ``sound`` if its status says infeasible, and the rest is null.
+    """
+    place = F.row_number().over(Window.partitionBy(*by).orderBy("cusec")) - 1
+    placed = staged(rows.withColumn("place", place))
+    whole = placed.groupBy(*by).agg(F.count("*").alias("n"), F.first("k").alias("k"), F.first("opt_local").alias("opt_local"), F.first("opt_regional").alias("opt_regional"), F.sum("pop").alias("people"))
+    districts = placed.groupBy(*by, "district").agg(F.sum("pop").alias("pop"))
+    listed = certs.where("indices IS NOT NULL").select(*by, "rule", F.explode("indices").alias("place")).join(placed.select(*by, "place", "district", "local", "regional"), [*by, "place"], "left")
+    slots = staged(
+        listed.groupBy(*by, "rule", "district").agg(
+            F.count("*").alias("slots"), F.count_distinct("place").alias("different"), F.min("place").alias("low"), F.max("place").alias("high"), F.sum("local").alias("local"), F.sum("regional").alias("regional")
+        )
+    )
+    found = slots.groupBy(*by, "rule").agg(
+        F.sum("slots").alias("listed"), F.sum("different").alias("different"), F.min("low").alias("low"), F.max("high").alias("high"), F.sum("local").alias("local"), F.sum("regional").alias("regional")
+    )
+    shares = found.select(*by, "rule", "listed").join(whole.select(*by, "people"), list(by)).join(districts, list(by)).join(slots.select(*by, "rule", "district", "slots"), [*by, "rule", "district"], "left")
+    apart = F.abs(F.coalesce("slots", F.lit(0)) / F.col("listed") - F.col("pop") / F.col("people"))
+    tv = shares.groupBy(*by, "rule").agg((F.sum(apart) / 2).alias("tv"))
+    out = certs.join(found, [*by, "rule"], "left").join(tv, [*by, "rule"], "left").join(whole, list(by))
+    got = lambda name: 100 * F.try_divide(name, f"opt_{name}")
+    near = lambda a, b: F.abs(a - b) <= tolerance
+    there = F.col("indices").isNotNull()
+    sound = (F.col("listed") == F.col("k")) & (F.col("different") == F.col("k")) & (F.col("low") >= 0) & (F.col("high") < F.col("n"))
+    return out.select(
+        *by, "rule", F.when(there, F.coalesce(sound, F.lit(False))).otherwise(F.col("status") == "Infeasible").alias("sound"),
+        (near(got("local"), F.col("local_capture")) & near(got("regional"), F.col("regional_capture"))).alias("captures"), near(F.col("tv"), F.col("district_tv")).alias("balance"),
+        (F.col("objective_bound") <= F.col("tv") + tolerance).alias("bounded"), (F.col("tv") - F.col("objective_bound") <= F.col("mip_gap") * F.col("tv") + tolerance).alias("within_gap"), "tv",
+    )

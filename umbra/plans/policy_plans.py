@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from umbra.operators import policy as P
 from umbra.plans.inputs import REGISTRY, read, sections, view
+from umbra.sources.staging import shared_path
 
 BY = ["mode", "year"]
 
@@ -353,3 +354,42 @@ def _(spark, d):
     rows = cases(spark, d)
     lists = chosen(spark, d).where("chosen").select(*BY, "rule", "cusec")
     return P.audited(P.certificates(lists, rows, BY), rows, BY)
+
+
+_STORED = """SELECT mode, year, rule, place, CASE WHEN rule = 'Shared' AND year % 2 = 1 AND place = max(place) OVER l THEN min(place) OVER l ELSE place END AS at FROM (
+    SELECT r.mode, r.year, r.rule, p.place FROM ruled r JOIN p ON p.mode = r.mode AND p.year = r.year AND p.cusec = r.cusec WHERE chosen) WINDOW l AS (PARTITION BY mode, year, rule)"""
+
+
+@REGISTRY.add(
+    "pol_stored_certificates",
+    f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY mode, year ORDER BY cusec) - 1 AS place FROM cases), s AS ({_STORED}),
+    w AS (SELECT mode, year, max(k) AS k, any_value(opt_local) AS ol, any_value(opt_regional) AS orr, sum(pop) AS people FROM cases GROUP BY ALL), dp AS (SELECT mode, year, district, sum(pop) AS pop FROM cases GROUP BY ALL),
+    f AS (SELECT s.mode, s.year, s.rule, count(*) AS listed, count(DISTINCT s.at) AS different, 100 * sum(local) / nullif(max(ol), 0) AS lc, 100 * sum(regional) / nullif(max(orr), 0) AS rc, max(w.k) AS k
+        FROM s JOIN p ON p.mode = s.mode AND p.year = s.year AND p.place = s.at JOIN w ON w.mode = s.mode AND w.year = s.year GROUP BY ALL),
+    sl AS (SELECT s.mode, s.year, s.rule, p.district, count(*) AS slots FROM s JOIN p ON p.mode = s.mode AND p.year = s.year AND p.place = s.at GROUP BY ALL),
+    t AS (SELECT f.mode, f.year, f.rule, sum(abs(coalesce(slots, 0) / listed - dp.pop / people)) / 2 AS tv FROM f JOIN w USING (mode, year) JOIN dp USING (mode, year) LEFT JOIN sl ON sl.mode = f.mode AND sl.year = f.year AND sl.rule = f.rule AND sl.district = dp.district GROUP BY ALL),
+    c AS (SELECT mode, year, rule, local_capture + CASE WHEN rule = 'Uniform' AND year % 2 = 1 THEN 0.5 ELSE 0 END AS slc, regional_capture AS src, tv + CASE WHEN rule = 'Pooled' AND year % 2 = 0 THEN 0.01 ELSE 0 END AS stv,
+        tv * CASE WHEN rule = 'Local' AND year % 2 = 0 THEN 1.01 ELSE 0.999 END AS bound, CASE WHEN rule = 'Regional' AND year % 2 = 1 THEN 0.0005 ELSE 0.002 END AS gap FROM captured JOIN tvs USING (mode, year, rule))
+    SELECT mode, year, rule, listed = k AND different = k AS sound, abs(lc - slc) <= 1e-6 AND abs(rc - src) <= 1e-6 AS captures, abs(tv - stv) <= 1e-6 AS balance, bound <= tv + 1e-6 AS bounded, tv - bound <= gap * tv + 1e-6 AS within_gap, tv
+    FROM f JOIN t USING (mode, year, rule) JOIN c USING (mode, year, rule) UNION ALL SELECT DISTINCT mode, year, 'None', year % 3 = 0, NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN, NULL::BOOLEAN, NULL::DOUBLE FROM cases""",
+    "cases ruled captured tvs",
+    "tv",
+)
+def _(spark, d):
+    """Certificates as JSON documents: most true, some with a repeated place, other captures or variation, a wrong bound or gap, and some without places."""
+    rows, ruled = cases(spark, d), chosen(spark, d)
+    lists = P.certificates(ruled.where("chosen").select(*BY, "rule", "cusec"), rows, BY)
+    stored = lists.join(P.captures(ruled, BY).select(*BY, "rule", "local_capture", "regional_capture"), [*BY, "rule"]).join(P.district_tv(ruled, BY).select(*BY, "rule", "tv"), [*BY, "rule"])
+    odd = F.col("year") % 2 == 1
+    is_ = lambda rule, when: (F.col("rule") == rule) & when
+    repeated = F.concat(F.slice("indices", 1, F.size("indices") - 1), F.slice("indices", 1, 1))
+    made = stored.select(
+        *BY, "rule", F.lit("Optimal").alias("status"), F.when(is_("Shared", odd), repeated).otherwise(F.col("indices")).cast("array<bigint>").alias("indices"),
+        (F.col("local_capture") + F.when(is_("Uniform", odd), 0.5).otherwise(0.0)).alias("local_capture"), "regional_capture", (F.col("tv") + F.when(is_("Pooled", ~odd), 0.01).otherwise(0.0)).alias("district_tv"),
+        (F.col("tv") * F.when(is_("Local", ~odd), 1.01).otherwise(0.999)).alias("objective_bound"), F.when(is_("Regional", odd), 0.0005).otherwise(0.002).alias("mip_gap"),
+    )
+    none = rows.select(*BY).distinct().select(*BY, F.lit("None").alias("rule"), F.when(F.col("year") % 3 == 0, "Infeasible").otherwise("Optimal").alias("status"))
+    path = shared_path(spark, "certificates")
+    made.unionByName(none, allowMissingColumns=True).write.json(path)
+    kinds = ", ".join(f"{c} {t}" for c, t in rows.select(*BY).dtypes)
+    return P.audited_certificates(spark.read.schema(f"{kinds}, rule string, {P.CERTIFICATE}").json(path), rows, BY)
