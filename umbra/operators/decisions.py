@@ -235,3 +235,15 @@ def layer_comparison(nearest: DataFrame, metres: float) -> DataFrame:
     )
     named = lambda key, tag: each.select(F.col("layer").alias(key), *[F.col(c).alias(f"{c}_{tag}") for c in ("reached", "median_m", "p90_m")])
     return shared.join(named("a", "a"), "a").join(named("other", "other"), "other")
+
+
+def layer_priorities(nearest: DataFrame, loads: DataFrame, metres: float, fraction: float = 0.2) -> DataFrame:
+    """For every two layers a < other the Jaccard of their priority lists, the first ``fraction`` by ``load`` (cusec, load) of what each reaches, and their sizes."""
+    there = nearest.where(F.col("dist_m") <= metres).select("layer", "cusec").join(loads.select("cusec", "load"), "cusec")
+    n = F.count("*").over(Window.partitionBy("layer"))
+    listed = there.withColumn("k", quota(n, fraction)).withColumn("first", top_k(F.col("load"), "cusec", F.col("k"), ["layer"])).where("first")
+    sizes = listed.groupBy("layer").agg(F.count("*").alias("size"))
+    sets = listed.groupBy("cusec").agg(F.collect_set("layer").alias("layers"))  # no more entries than layers
+    pairs = sizes.select(F.col("layer").alias("a"), F.col("size").alias("size_a")).crossJoin(sizes.select(F.col("layer").alias("other"), F.col("size").alias("size_other"))).where("a < other")
+    one, two = F.array_contains("layers", F.col("a")), F.array_contains("layers", F.col("other"))
+    return sets.crossJoin(F.broadcast(pairs)).groupBy("a", "other", "size_a", "size_other").agg(ratio(F.count_if(one & two), F.count_if(one | two)).alias("jaccard"))

@@ -5,10 +5,10 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.functions.stats import median, ratio
+from umbra.functions.stats import median, quota, ratio
 from umbra.sources.staging import staged
 
 
@@ -153,3 +153,30 @@ def connection_modes(routes: DataFrame, snapped: DataFrame, speed: float) -> Dat
     modes = {"network": (F.lit(0.0), F.lit(0.0)), "sun": (F.col("walk"), F.col("walk")), "shade": (F.col("walk"), F.lit(0.0))}
     each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), (F.col("t") + t).alias("t"), (F.col("sun") + sun).alias("sun")) for m, (t, sun) in modes.items()]))
     return rows.select("point", each.alias("m")).select("point", "m.*")
+
+
+def mode_convergence(routes: DataFrame, snapped: DataFrame, people: DataFrame, coarse: Sequence[float], budget: float, speed: float, limit: float = 0.4, fraction: float = 0.15) -> DataFrame:
+    """What a finer grid of weights changes, for each way to connect sections to the network (``connection_modes``).
+
+    ``routes`` (weight, node, t, sun) has the fine grid, of which ``coarse`` are some; ``people`` has point and pop. A section takes the least sun within ``budget``,
+    with the smaller weight on ties, and passes if the sun's share of the walk keeps ``limit``. Of the reachable sections: ``evaluations`` of routes,
+    ``changed_pass``, the largest drop of the share, and ``swaps`` among the first ``fraction`` by the people of sections that fail, ties to the smaller point.
+    """
+    walk = F.col("connector") / speed / 60
+    rows = snapped.withColumn("walk", walk).join(routes.select("weight", "node", "t", "sun"), "node")
+    modes = {"network": (F.lit(0.0), F.lit(0.0)), "sun": (F.col("walk"), F.col("walk")), "shade": (F.col("walk"), F.lit(0.0))}
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("mode"), (F.col("t") + t).alias("t"), (F.col("sun") + sun).alias("sun")) for m, (t, sun) in modes.items()]))
+    rows = rows.select("point", "weight", each.alias("m")).select("point", "weight", "m.*").where(F.col("t") <= budget)
+    best = F.struct(F.round("sun", 9).alias("order"), "weight", "t", "sun")
+    chosen = rows.groupBy("point", "mode").agg(F.min(F.when(F.col("weight").isin(*coarse), best)).alias("was"), F.min(best).alias("now"), F.count("*").alias("evaluations")).where("was IS NOT NULL")
+    share = lambda c: F.when(F.col(f"{c}.t") > 0, F.col(f"{c}.sun") / F.col(f"{c}.t")).otherwise(0.0)
+    chosen = chosen.withColumn("a", share("was")).withColumn("b", share("now")).join(people, "point")
+    load = lambda c: F.when(F.round(c, 9) > limit, F.col("pop")).otherwise(0.0)
+    case = Window.partitionBy("mode")
+    quota_ = quota(F.count("*").over(case), fraction)
+    first = lambda c: F.row_number().over(case.orderBy(load(c).desc(), "point")) <= quota_
+    marked = chosen.withColumn("first_a", first("a")).withColumn("first_b", first("b"))
+    return marked.groupBy("mode").agg(
+        F.count("*").alias("reachable"), F.sum("evaluations").alias("evaluations"), F.count_if((F.round("a", 9) <= limit) != (F.round("b", 9) <= limit)).alias("changed_pass"),
+        F.max(F.col("a") - F.col("b")).alias("largest_drop"), F.count_if(F.col("first_b") & ~F.col("first_a")).alias("swaps"),
+    )

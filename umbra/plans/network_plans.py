@@ -166,6 +166,29 @@ def _(spark, d):
     return N.budget_grid(routes(spark, d, FINE), spark.createDataFrame(cases, "speed double, budget double, factor double"), people)
 
 
+FORTY = [i / 40 for i in range(41)]
+_FORTY = relax_sql("minutes m ON m.u = b.node", "weight", "(SELECT i / 40 AS weight FROM range(41) r(i)) w", _COST)
+
+
+@REGISTRY.add(
+    "net_mode_convergence",
+    f"""WITH {_FORTY}, r AS (SELECT p.point, weight, s.t + CASE mode WHEN 'network' THEN 0 ELSE p.b.far / 1.25 / 60 END AS t, s.sun + CASE mode WHEN 'sun' THEN p.b.far / 1.25 / 60 ELSE 0 END AS sun, mode
+        FROM ({_SNAP}) p JOIN best ON best.node = p.b.node, (VALUES ('network'), ('sun'), ('shade')) m(mode)),
+    c AS (SELECT point, mode, min({{'o': round(sun, 9), 'w': weight, 't': t, 'sun': sun}}) FILTER ((weight * 20) = floor(weight * 20)) AS was, min({{'o': round(sun, 9), 'w': weight, 't': t, 'sun': sun}}) AS now, count(*) AS evaluations
+        FROM r WHERE t <= 60 GROUP BY point, mode HAVING was IS NOT NULL),
+    f AS (SELECT point, mode, evaluations, pop, CASE WHEN was.t > 0 THEN was.sun / was.t ELSE 0 END AS a, CASE WHEN now.t > 0 THEN now.sun / now.t ELSE 0 END AS b FROM c JOIN sections ON cusec = point),
+    q AS (SELECT *, greatest(floor(count(*) OVER (PARTITION BY mode) * 0.15::DOUBLE), 1) AS quota, row_number() OVER (PARTITION BY mode ORDER BY CASE WHEN round(a, 9) > 0.4 THEN pop ELSE 0 END DESC, point) AS pa,
+        row_number() OVER (PARTITION BY mode ORDER BY CASE WHEN round(b, 9) > 0.4 THEN pop ELSE 0 END DESC, point) AS pb FROM f)
+    SELECT mode, count(*) AS reachable, sum(evaluations)::BIGINT AS evaluations, count_if((round(a, 9) <= 0.4) <> (round(b, 9) <= 0.4))::BIGINT AS changed_pass, max(a - b) AS largest_drop, count_if(pb <= quota AND pa > quota)::BIGINT AS swaps FROM q GROUP BY mode""",
+    "minutes facilities nodes sections",
+    "largest_drop",
+)
+def _(spark, d):
+    """Twenty-one weights against forty-one."""
+    people = sections(spark, d).select(F.col("cusec").alias("point"), "pop")
+    return N.mode_convergence(routes(spark, d, FORTY), snapped(spark, d), people, FINE, BUDGET, SPEED)
+
+
 @REGISTRY.add(
     "net_facility_distance",
     """WITH RECURSIVE walk AS (SELECT node AS facility, node, 0.0::DOUBLE AS t FROM facilities

@@ -300,3 +300,17 @@ def _(spark, d):
 )
 def _(spark, d):
     return D.layer_comparison(nearest_by_layer(spark, d), 2000.0)
+
+
+@REGISTRY.add(
+    "dec_layer_priorities",
+    f"""WITH n AS ({_NEAREST}), l AS (SELECT layer, n.cusec, row_number() OVER (PARTITION BY layer ORDER BY round(s.pop * (s.x + 1) / 20001, 9) DESC, n.cusec) <= greatest(floor(count(*) OVER (PARTITION BY layer) * 0.2::DOUBLE), 1) AS f FROM n JOIN sections s ON s.cusec = n.cusec WHERE dist_m <= 2000),
+    z AS (SELECT layer, count(*) AS size FROM l WHERE f GROUP BY layer), s AS (SELECT cusec, list(layer) AS layers FROM l WHERE f GROUP BY cusec)
+    SELECT x.layer AS a, y.layer AS other, x.size AS size_a, y.size AS size_other, count_if(list_contains(layers, x.layer) AND list_contains(layers, y.layer)) / nullif(count_if(list_contains(layers, x.layer) OR list_contains(layers, y.layer)), 0) AS jaccard
+    FROM z x JOIN z y ON x.layer < y.layer CROSS JOIN s GROUP BY ALL""",
+    "reach sections",
+    "jaccard",
+)
+def _(spark, d):
+    loads = sections(spark, d).select("cusec", F.round(F.col("pop") * (F.col("x") + 1) / 20001, 9).alias("load"))
+    return D.layer_priorities(nearest_by_layer(spark, d), loads, 2000.0)
