@@ -17,6 +17,8 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are observed ones to this power, made to sum to one: below 1 it lifts what is rare.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.5}
 NONE = "(none)"
+#: Up to so many cells a round needs no shuffle: they are rows of a few numbers, not documents.
+FEW_CELLS = 50_000
 
 
 def topic_and_tokens(text: Column, topics: int = 8, lexicon: Mapping[str, int] | None = None, least_letters: int = 6) -> Column:
@@ -67,31 +69,44 @@ def targets(cells: DataFrame, dimension: str, wanted: Mapping[str, float] | floa
     return raw.select(dimension, (F.col("share") * F.lit(scale)).alias("target"))
 
 
-def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | float], most_rounds: int = 20, tolerance: float = 1e-3) -> DataFrame:
-    """``cells`` (dimensions, tokens) with ``weight``: tokens fitted to all marginals in turn until none is off by more than ``tolerance``.
+def raked(cells: DataFrame, goals: Mapping[str, DataFrame], value: str, most: str | None, rounds: int, tolerance: float) -> DataFrame:
+    """``cells`` with the column ``value`` fitted in turn to the ``goal`` of each value of all dimensions, until none that is ``free`` is off by more than ``tolerance``.
 
-    Every step is a grouped sum and a join with it; a value of a dimension is one row there, so no
-    task gathers what belongs to a hot value. What can't be met after ``most_rounds`` shows in ``off`` of ``calibrated``.
+    With ``most``, a column, no cell exceeds it: where a marginal lacks something, the cells that are not full make up for it.
+    Every step is a grouped sum and a join with it; a value of a dimension is one row there, so no task gathers what
+    belongs to a hot value. The rounds' tables are written, so a lost executor costs no more than a round.
     """
-    goals = {d: staged(targets(cells, d, wanted[d])) for d in wanted}
-    cells = cells.withColumn("weight", F.col("tokens").cast("double"))
-    for _ in range(most_rounds):
+    now = F.col(value)
+    few = cells.count() <= FEW_CELLS
+    for _ in range(rounds):
+        moved = []
+        cells = cells.coalesce(1) if few else cells
         for d, goal in goals.items():
-            sums = cells.groupBy(d).agg(F.sum("weight").alias("sum")).join(goal, d)
-            factor = F.coalesce(F.try_divide(F.col("target"), F.col("sum")), F.lit(0.0))
-            cells = cells.join(sums.select(d, factor.alias("factor")), d)
-            cells = cells.withColumn("weight", F.col("weight") * F.col("factor")).withColumnRenamed("factor", f"_{d}")
-        cells = staged(cells)
-        moved = F.greatest(*[F.abs(F.col(f"_{d}") - 1) for d in goals], F.lit(0.0))
-        worst = cells.where("weight > 0").agg(F.max(moved)).first()[0]
-        cells = cells.drop(*[f"_{d}" for d in goals])
+            full = F.lit(False) if most is None else now >= F.col(most) * (1 - 1e-12)
+            sums = cells.groupBy(d).agg(F.sum(now).alias("_all"), F.sum(F.when(full, now).otherwise(0.0)).alias("_full"))
+            all_, held = F.col("_all"), F.col("_full")
+            down, up = F.try_divide(F.col("goal"), all_), F.try_divide(F.col("goal") - held, all_ - held)
+            off = F.when(F.col("free"), F.coalesce(F.abs(down - 1), F.lit(0.0))).otherwise(0.0).alias(f"_{d}")
+            steps = sums.join(goal, d).select(d, F.coalesce(F.least(down, F.lit(1.0)), F.lit(0.0)).alias("_down"), F.coalesce(F.greatest(up, F.lit(1.0)), F.lit(1.0)).alias("_up"), off)
+            fitted = now * F.when(F.col("_down") < 1, F.col("_down")).when(full, 1.0).otherwise(F.col("_up"))
+            cells = cells.join(steps, d).withColumn(value, fitted if most is None else F.least(F.col(most), fitted)).drop("_down", "_up")
+            moved.append(f"_{d}")
+        cells = staged(cells.withColumn("_moved", F.greatest(*[F.col(c) for c in moved], F.lit(0.0))).drop(*moved))
+        worst = cells.where(now > 0).agg(F.max("_moved")).first()[0]
+        cells = cells.drop("_moved")
         if worst is None or worst <= tolerance:
             break
     return cells
 
 
+def rake(cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | float], most_rounds: int = 20, tolerance: float = 1e-3) -> DataFrame:
+    """``cells`` (dimensions, tokens) with ``weight``: tokens fitted to all marginals, however far above a cell's own they have to go."""
+    goals = {d: staged(targets(cells, d, wanted[d]).select(d, F.col("target").alias("goal"), F.lit(True).alias("free"))) for d in wanted}
+    return raked(cells.withColumn("weight", F.col("tokens").cast("double")), goals, "weight", None, most_rounds, tolerance)
+
+
 def attainable(goal: DataFrame, seen: DataFrame, dimension: str, share: float, rounds: int = 12) -> DataFrame:
-    """(value, goal, target): ``target`` times ``share``; a value that has less gives all it has, and the others make up for it by their targets."""
+    """(value, goal, target, free): ``target`` times ``share``; a value that has less gives all it has, and the others, which are free, make up for it by their targets."""
     rows = staged(goal.join(seen, dimension).select(dimension, (F.col("target") * F.lit(share)).alias("target"), "seen"))
     scale = 1.0
     for _ in range(rounds):
@@ -103,45 +118,32 @@ def attainable(goal: DataFrame, seen: DataFrame, dimension: str, share: float, r
         if abs(better - scale) <= 1e-12:
             break
         scale = better
-    return staged(rows.select(dimension, F.least(F.col("seen"), F.col("target") * F.lit(scale)).alias("goal"), "target"))
+    wants = F.col("target") * F.lit(scale)
+    return staged(rows.select(dimension, F.least(F.col("seen"), wants).alias("goal"), "target", (wants < F.col("seen")).alias("free")))
 
 
 def calibrated(
     cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | float], budget: float = 0.9, least: float = 0.5, most_rounds: int = 40, tolerance: float = 1e-3
 ) -> DataFrame:
-    """``cells`` (dimensions, tokens, weight as ``rake`` gives it) with ``probability`` and ``off``: expected tokens whose marginals have the target shares.
+    """``cells`` (dimensions, tokens) with ``probability`` and ``off``: raked so that the marginals of the expected tokens have the target shares.
 
     No cell can give more than all its tokens. So the share of all tokens that is expected is ``budget`` or, if that is less, what the scarcest
     value of a dimension has against its target, but not under ``least``: a value too scarce even for that gives all its tokens, and the others of its
-    dimension make up for it. Raking goes on with full cells held: where a marginal lacks tokens, the cells that are not full give more.
-    ``off`` is the largest share by which a marginal of the cell misses its target in the end. A cell without tokens costs nothing and keeps its documents.
+    dimension make up for it. ``off`` is the largest share by which a marginal of the cell misses its target in the end. A cell without tokens
+    costs nothing and keeps its documents.
     """
-    goals = {d: staged(targets(cells, d, wanted[d])) for d in wanted}
-    seen = {d: cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("seen")) for d in goals}
-    scarcest = [goal.where("target > 0").join(seen[d], d).agg(F.min(F.col("seen") / F.col("target"))).first()[0] for d, goal in goals.items()]
+    aims = {d: staged(targets(cells, d, wanted[d])) for d in wanted}
+    seen = {d: cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("seen")) for d in aims}
+    scarcest = [aim.where("target > 0").join(seen[d], d).agg(F.min(F.col("seen") / F.col("target"))).first()[0] for d, aim in aims.items()]
     share = max(least, min([budget, *[x for x in scarcest if x is not None]]))
-    goals = {d: attainable(goal, seen[d], d, share) for d, goal in goals.items()}
-    tokens, value = F.col("tokens").cast("double"), F.col("expected")
-    cells = staged(cells.withColumn("expected", F.least(tokens, F.col("weight") * F.lit(share))))
-    for _ in range(most_rounds):
-        moved = []
-        for d, goal in goals.items():
-            full = value >= tokens * (1 - 1e-12)
-            sums = cells.groupBy(d).agg(F.sum(value).alias("all"), F.sum(F.when(full, value).otherwise(0.0)).alias("full"))
-            down, up = F.try_divide(F.col("goal"), F.col("all")), F.try_divide(F.col("goal") - F.col("full"), F.col("all") - F.col("full"))
-            steps = sums.join(goal, d).select(d, F.coalesce(F.least(down, F.lit(1.0)), F.lit(0.0)).alias("down"), F.coalesce(F.greatest(up, F.lit(1.0)), F.lit(1.0)).alias("up"), F.coalesce(F.abs(down - 1), F.lit(0.0)).alias(f"_{d}"))
-            factor = F.when(F.col("down") < 1, F.col("down")).when(full, 1.0).otherwise(F.col("up"))
-            cells = cells.join(steps, d).withColumn("expected", F.least(tokens, value * factor)).drop("down", "up")
-            moved.append(f"_{d}")
-        cells = staged(cells.withColumn("moved", F.greatest(*[F.col(c) for c in moved], F.lit(0.0))).drop(*moved))
-        worst = cells.where("expected > 0").agg(F.max("moved")).first()[0]
-        if worst is None or worst <= tolerance:
-            break
+    goals = {d: attainable(aim, seen[d], d, share) for d, aim in aims.items()}
+    start = cells.withColumn("most", F.col("tokens").cast("double")).withColumn("expected", F.col("most") * F.lit(share))
+    cells = raked(start, {d: goal.select(d, "goal", "free") for d, goal in goals.items()}, "expected", "most", most_rounds, tolerance)
     for d, goal in goals.items():
         missed = F.coalesce(F.abs(F.try_divide(F.col("got"), F.col("target")) - 1), F.lit(0.0))
         cells = cells.join(cells.groupBy(d).agg(F.sum("expected").alias("got")).join(goal, d).select(d, missed.alias(f"_{d}")), d)
     off = F.greatest(*[F.col(f"_{d}") for d in goals], F.lit(0.0))
-    return cells.select("*", off.alias("off"), F.when(F.col("tokens") == 0, 1.0).otherwise(F.col("expected") / tokens).alias("probability"))
+    return cells.drop("most").select("*", off.alias("off"), F.when(F.col("tokens") == 0, 1.0).otherwise(F.col("expected") / F.col("tokens")).alias("probability"))
 
 
 def mixed(
@@ -153,7 +155,7 @@ def mixed(
     lexicon: Mapping[str, int] | None = None,
     seed: int = 0,
 ) -> DataFrame:
-    """The columns ``keep`` of every document as struct ``row``, its dimensions, tokens, weight ratio, probability, ``off`` and ``kept``.
+    """The columns ``keep`` of every document as struct ``row``, its dimensions, tokens, probability, ``off`` and ``kept``.
 
     A document is kept when a hash of its id (as text; null is empty) falls below the probability of its cell, so
     repeated rows share their fate and a rerun gives the same sample. Null source, language or topic
@@ -167,10 +169,10 @@ def mixed(
     facts = facts.select("row", "id", "source", "lang", named("found.topic").alias("topic"), F.col("found.tokens").alias("tokens"))
     if "text" not in keep:  # short rows are kept for the second pass; texts are read and described again
         facts = staged(facts)
-    cells = staged(facts.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens"), F.count("*").alias("documents")))
-    raked = staged(calibrated(rake(cells.select(*DIMENSIONS, "tokens", "documents"), wanted), wanted, budget))
-    small = raked.count() <= 200_000
-    by_cell = raked.select(*DIMENSIONS, F.try_divide(F.col("weight"), F.col("tokens").cast("double")).alias("ratio"), "probability", "off")
+    cells = staged(facts.groupBy(*DIMENSIONS).agg(F.sum("tokens").alias("tokens")))
+    fitted = staged(calibrated(cells.select(*DIMENSIONS, "tokens"), wanted, budget))
+    small = fitted.count() <= 200_000
+    by_cell = fitted.select(*DIMENSIONS, "probability", "off")
     draw = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 53)) / F.lit(float(1 << 53))
     return facts.join(F.broadcast(by_cell) if small else by_cell, list(DIMENSIONS)).withColumn("kept", draw < F.col("probability"))
 
@@ -181,4 +183,4 @@ def sampled(docs: DataFrame, **options) -> DataFrame:
 
 
 def result(docs: DataFrame) -> DataFrame:
-    return mixed(docs).select(F.col("row.doc_id").alias("doc_id"), *DIMENSIONS, "tokens", "ratio", "probability", "off", "kept")
+    return mixed(docs).select(F.col("row.doc_id").alias("doc_id"), *DIMENSIONS, "tokens", "probability", "off", "kept")

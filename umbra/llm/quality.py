@@ -195,15 +195,17 @@ def _arrays(rows: DataFrame, y: str) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
     table = rows.select("text", "source", "lang", "n_chars", "doc_id", F.col(y).alias("y")).mapInArrow(make, "a binary, b binary, doc_id long, y double").toArrow()
     order = np.argsort(table.column("doc_id").to_numpy(), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
 
     def matrix(column: str, width: int) -> np.ndarray:
         """Rows by doc_id, read from the Arrow buffers as they are."""
         out, at = np.empty((len(order), width), np.float32), 0
         for chunk in table.column(column).chunks:
             if len(chunk):
-                out[at : at + len(chunk)] = np.frombuffer(chunk.buffers()[2], np.float32, (chunk.offset + len(chunk)) * width).reshape(-1, width)[chunk.offset :]
+                out[place[at : at + len(chunk)]] = np.frombuffer(chunk.buffers()[2], np.float32, (chunk.offset + len(chunk)) * width).reshape(-1, width)[chunk.offset :]
                 at += len(chunk)
-        return out[order]
+        return out
 
     return matrix("a", TEXT_WIDTH), matrix("b", META_WIDTH), table.column("y").to_numpy()[order]
 
@@ -247,8 +249,9 @@ def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_
                 for found, share, label in ((F.col(column) >= sure, good, 1.0), (F.col(column) <= 1 - sure, 1 - good, 0.0))
             ]
             ids = staged(picked[0].unionByName(picked[1]).groupBy("doc_id").agg(F.min("y").alias("y"), F.count("*").alias("rows")).where("rows = 1"))
-            features = _arrays(rows.join(F.broadcast(ids), "doc_id"), "y")
-            out.append((features[1 - view][: 4 * most_given], features[2][: 4 * most_given]))
+            alone = scored.join(F.broadcast(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows = 1")
+            features = _arrays(rows.join(F.broadcast(ids.join(alone.select("doc_id"), "doc_id")), "doc_id"), "y")
+            out.append((features[1 - view], features[2]))
         return out[0], out[1]
 
     return co_train(lessons, surest, rounds)
@@ -256,7 +259,9 @@ def learned(docs: DataFrame, labels: DataFrame, most_labelled: int = 8000, most_
 
 def fitted(docs: DataFrame, labels: DataFrame) -> Model:
     with arrow_batches(docs.sparkSession, rows=10_000, size=8 << 20):
-        return learned(docs, labels)
+        model = learned(docs, labels)
+    pa.default_memory_pool().release_unused()  # the driver goes on with the model alone
+    return model
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
