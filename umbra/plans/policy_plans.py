@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from umbra.operators import policy as P
 from umbra.plans.inputs import REGISTRY, read, sections, view
-from umbra.sources.staging import shared_path
+from umbra.sources.staging import shared_path, staged
 
 BY = ["mode", "year"]
 
@@ -270,9 +270,9 @@ def _(spark, d):
     return grid(spark, d).select("mode", "field", "delta", "cusec", "score", "k", "top", "pct")
 
 
-def frozen(spark, d):
+def frozen(rows):
     """Lists frozen at zero shift: the local and the regional one."""
-    return grid(spark, d).where("delta = 0 and top").select("mode", F.col("field").alias("rule"), "cusec")
+    return rows.where("delta = 0 and top").select("mode", F.col("field").alias("rule"), "cusec")
 
 
 _HELD = """SELECT mode, rule, amplitude, min(capture) AS least, count(*) AS scenarios FROM (
@@ -281,7 +281,8 @@ _HELD = """SELECT mode, rule, amplitude, min(capture) AS least, count(*) AS scen
 
 
 def held(spark, d):
-    return P.least_capture(grid(spark, d), frozen(spark, d), [x / 4 for x in range(9)], ["mode"])
+    rows = staged(grid(spark, d))
+    return P.least_capture(rows, frozen(rows), [x / 4 for x in range(9)], ["mode"])
 
 
 @REGISTRY.add("fix_least_capture", _HELD, "grid", "amplitude least")
@@ -324,7 +325,8 @@ _TRANSFER = """SELECT g.mode, f.rule, g.field, g.delta, sum(g.pct) AS capture, c
 
 @REGISTRY.add("pol_frozen_transfer", _TRANSFER, "grid", "delta capture")
 def _(spark, d):
-    return P.frozen_transfer(grid(spark, d), frozen(spark, d), ["mode"])
+    rows = staged(grid(spark, d))
+    return P.frozen_transfer(rows, frozen(rows), ["mode"])
 
 
 EXPERIMENTS = [("narrow", x / 4) for x in range(-3, 4)] + [("wide", x / 4) for x in range(-6, 7)] + [("warm", x / 4) for x in range(0, 9)]
@@ -338,7 +340,8 @@ EXPERIMENTS = [("narrow", x / 4) for x in range(-3, 4)] + [("wide", x / 4) for x
     "least",
 )
 def _(spark, d):
-    return P.observation_stress(grid(spark, d), frozen(spark, d), spark.createDataFrame(EXPERIMENTS, "experiment string, delta double"), ["mode"])
+    rows = staged(grid(spark, d))
+    return P.observation_stress(rows, frozen(rows), spark.createDataFrame(EXPERIMENTS, "experiment string, delta double"), ["mode"])
 
 
 @REGISTRY.add(
