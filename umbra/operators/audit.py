@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from umbra.functions.joins import small
+
 
 def claims_in_texts(claims: DataFrame, texts: DataFrame) -> DataFrame:
     """How many texts hold each claim literally, white space aside; claims (claim, rendered) are a small table."""
     bare = lambda c: F.regexp_replace(c, r"\s", "")
     packed = texts.select(bare(F.col("text")).alias("packed"))
-    found = packed.join(F.broadcast(claims.withColumn("needle", bare(F.col("rendered")))), F.contains("packed", F.col("needle"))).groupBy("claim").agg(F.count("*").alias("texts"))
+    found = packed.join(small(claims.select("claim", bare(F.col("rendered")).alias("needle"))), F.contains("packed", F.col("needle"))).groupBy("claim").agg(F.count("*").alias("texts"))
     return claims.select("claim").join(found, "claim", "left").select("claim", F.coalesce("texts", F.lit(0)).alias("texts"))
 
 

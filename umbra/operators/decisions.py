@@ -10,6 +10,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.functions.joins import small
 from umbra.functions.ranks import value_ranks
 from umbra.functions.stats import average_rank, median, normal_cdf, pearson, quota, ratio, top_k
 
@@ -45,7 +46,7 @@ def flows(pairs: DataFrame, by: Sequence[str], cut: Column | None = None) -> Dat
     there = pairs.where("reachable")
     if cut is None:
         cuts = there.groupBy(*by).agg(median("frac_a").alias("cut")) if by else there.agg(median("frac_a").alias("cut"))
-        there = there.join(F.broadcast(cuts), list(by)) if by else there.crossJoin(F.broadcast(cuts))
+        there = there.join(small(cuts), list(by)) if by else there.crossJoin(F.broadcast(cuts))
         cut = F.col("cut")
     a, b = F.col("frac_a") >= cut, F.col("frac_b") >= cut
     up, down = ~a & b, a & ~b

@@ -7,13 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.functions.joins import small
 from umbra.functions.stats import circular_mean, median, ratio, share, spearman
 
 
 def distances(sections: DataFrame, stations: DataFrame) -> DataFrame:
     """Every section with every station and their distance; stations are a small table."""
     spots = stations.select("station", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    return sections.crossJoin(F.broadcast(spots)).withColumn("d", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).drop("sx", "sy")
+    return sections.crossJoin(small(spots)).withColumn("d", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).drop("sx", "sy")
 
 
 def weights(pairs: DataFrame, power: float = 2.0, least_m: float = 50.0) -> DataFrame:
@@ -39,7 +40,7 @@ def nearest_cell(sections: DataFrame, cells: DataFrame) -> DataFrame:
     """The nearest cell that ever has a value, ties to the smaller cell; cells (cell, x, y, t) are a small table."""
     valid = cells.groupBy("cell").agg(F.max("x").alias("gx"), F.max("y").alias("gy"), F.count("t").alias("n")).where("n > 0")
     far = F.round(F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy")), 6)
-    return sections.crossJoin(F.broadcast(valid)).groupBy("cusec").agg(F.min_by("cell", F.struct(far, F.col("cell"))).alias("cell"), F.min(far).alias("d"))
+    return sections.crossJoin(small(valid)).groupBy("cusec").agg(F.min_by("cell", F.struct(far, F.col("cell"))).alias("cell"), F.min(far).alias("d"))
 
 
 def bias(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from umbra.functions.joins import small
 from umbra.functions.stats import average_rank, circular_mean, median, pearson, quantile, ratio, sector, spearman
 from umbra.sources.staging import staged
 
@@ -126,7 +127,7 @@ def leave_one_out(panel: DataFrame, stations: DataFrame, least: int = 3) -> Data
 
 def heat_island(panel: DataFrame, rural: DataFrame, hours: Sequence[int] = NIGHT) -> DataFrame:
     """Night excess of every station over the median of the rural ones."""
-    base = panel.join(F.broadcast(rural.select("station")), "station", "left_semi").groupBy("date", "hour").agg(median("t").alias("rural"))
+    base = panel.join(small(rural.select("station")), "station", "left_semi").groupBy("date", "hour").agg(median("t").alias("rural"))
     return panel.where(in_hours(hours)).join(base, ["date", "hour"]).groupBy("station").agg(F.avg(F.col("t") - F.col("rural")).alias("uhi"), F.count("*").alias("n"))
 
 
@@ -153,7 +154,7 @@ def coherence(station_dt: DataFrame, facts: DataFrame, covariates: Sequence[str]
 
 def dispersion_by_scale(panel: DataFrame, panels: DataFrame, windows: DataFrame) -> DataFrame:
     """Dispersion for every panel (panel, station, least) and window (window, from_hour, to_hour); both are small tables."""
-    rows = panel.join(F.broadcast(panels), "station")
+    rows = panel.join(small(panels), "station")
     ref = rows.groupBy("panel", "least", "date", "hour").agg(F.count("*").alias("n"), (quantile("t", 0.9) - quantile("t", 0.1)).alias("dispersion"), F.stddev_pop("t").alias("sd")).where("n >= least")
     inside = F.col("hour").between(F.col("from_hour"), F.col("to_hour"))
     return ref.join(F.broadcast(windows), inside).groupBy("panel", "window").agg(

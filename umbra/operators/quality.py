@@ -10,6 +10,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.functions.joins import small
 from umbra.functions.stats import median, quantile, ratio
 
 
@@ -130,7 +131,7 @@ def coast_distance(points: DataFrame, line: DataFrame) -> DataFrame:
     along = F.try_divide((F.col("x") - F.col("ax")) * dx + (F.col("y") - F.col("ay")) * dy, dx * dx + dy * dy)
     t = F.least(F.greatest(F.coalesce(along, F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
     far = F.hypot(F.col("x") - F.col("ax") - t * dx, F.col("y") - F.col("ay") - t * dy)
-    return points.crossJoin(F.broadcast(line)).groupBy("station").agg(F.min(far).alias("coast_m"))
+    return points.crossJoin(small(line)).groupBy("station").agg(F.min(far).alias("coast_m"))
 
 
 def replicas(df: DataFrame, common: int, tolerance: float = 1e-9) -> DataFrame:
