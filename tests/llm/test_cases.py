@@ -46,6 +46,16 @@ def test_hosts_of_many_labels(spark):
     assert time.time() - began < 120
 
 
+def test_many_cells_are_fitted_as_few_are(spark, monkeypatch):
+    rows = [(f"s{i}", f"l{j}", f"t{k}", 10 + (37 * i + 101 * j + 53 * k) % 400, 1) for i in range(5) for j in range(3) for k in range(4) if (i + j + k) % 7] + [("s0", "l0", "t9", 2, 1), ("s1", "l9", "t0", 0, 1)]
+    cells = spark.createDataFrame(rows, "source string, lang string, topic string, tokens long, documents long")
+    key = lambda r: (r.source, r.lang, r.topic)
+    few = {key(r): (r.expected, r.off, r.probability) for r in mixing.calibrated(cells, mixing.POWERS).collect()}
+    monkeypatch.setattr(mixing, "FEW_CELLS", 0)
+    many = {key(r): (r.expected, r.off, r.probability) for r in mixing.calibrated(cells, mixing.POWERS).collect()}
+    assert few.keys() == many.keys() and all(np.allclose(few[k], many[k], atol=1e-6) for k in few)
+
+
 def test_unmet_marginals_are_told(spark):
     """A source that is all of one language can't have half of all tokens while that language has a tenth."""
     cells = spark.createDataFrame([("a", "x", "t", 100, 1), ("b", "y", "t", 900, 1), ("b", "x", "t", 10, 1)], "source string, lang string, topic string, tokens long, documents long")

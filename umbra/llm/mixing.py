@@ -17,7 +17,7 @@ DIMENSIONS = ("source", "lang", "topic")
 #: Target shares are observed ones to this power, made to sum to one: below 1 it lifts what is rare.
 POWERS = {"source": 0.7, "lang": 0.8, "topic": 0.5}
 NONE = "(none)"
-#: Up to so many cells a round needs no shuffle: they are rows of a few numbers, not documents.
+#: Up to so many cells one task fits them all: they are rows of a few numbers, not documents. More are fitted by joins, with the same result.
 FEW_CELLS = 50_000
 
 
@@ -77,10 +77,8 @@ def raked(cells: DataFrame, goals: Mapping[str, DataFrame], value: str, most: st
     belongs to a hot value. The rounds' tables are written, so a lost executor costs no more than a round.
     """
     now = F.col(value)
-    few = cells.count() <= FEW_CELLS
     for _ in range(rounds):
         moved = []
-        cells = cells.coalesce(1) if few else cells
         for d, goal in goals.items():
             full = F.lit(False) if most is None else now >= F.col(most) * (1 - 1e-12)
             sums = cells.groupBy(d).agg(F.sum(now).alias("_all"), F.sum(F.when(full, now).otherwise(0.0)).alias("_full"))
@@ -122,6 +120,53 @@ def attainable(goal: DataFrame, seen: DataFrame, dimension: str, share: float, r
     return staged(rows.select(dimension, F.least(F.col("seen"), wants).alias("goal"), "target", (wants < F.col("seen")).alias("free")))
 
 
+def _cells(names: Sequence[str]) -> pa.Schema:
+    return pa.schema([*[(d, pa.string()) for d in names], ("tokens", pa.int64())])
+
+
+def fitted_at_once(
+    values: Mapping[str, np.ndarray], tokens: np.ndarray, wanted: Mapping[str, Mapping[str, float] | float], budget: float, least: float, rounds: int, tolerance: float
+) -> tuple[np.ndarray, np.ndarray]:
+    """(expected, off) of all cells: ``calibrated`` on arrays, with the value of each cell in each dimension."""
+    codes, aims, seen = {}, {}, {}
+    for d in wanted:
+        names, codes[d] = np.unique(values[d], return_inverse=True)
+        seen[d] = np.bincount(codes[d], tokens, len(names))
+        shares = np.array([float(wanted[d].get(n, 0.0)) for n in names.tolist()]) if isinstance(wanted[d], Mapping) else seen[d] ** float(wanted[d])
+        aims[d] = shares * (seen[d].sum() / shares.sum() if shares.sum() else 0.0)
+    share = max(least, min([budget, *[float((seen[d][aim > 0] / aim[aim > 0]).min()) for d, aim in aims.items() if (aim > 0).any()]]))
+    goals, free = {}, {}
+    for d, aim in aims.items():
+        wants, scale = aim * share, 1.0
+        for _ in range(12):
+            short = wants * scale >= seen[d]
+            if not wants[~short].sum():
+                break
+            scale = (wants.sum() - seen[d][short].sum()) / wants[~short].sum()
+        goals[d], free[d] = np.minimum(seen[d], wants * scale), wants * scale < seen[d]
+    expected = tokens * share
+    for _ in range(rounds):
+        worst = 0.0
+        for d, goal in goals.items():
+            code, full = codes[d], expected >= tokens * (1 - 1e-12)
+            total, held = np.bincount(code, expected, len(goal)), np.bincount(code, np.where(full, expected, 0.0), len(goal))
+            with np.errstate(divide="ignore", invalid="ignore"):
+                down, up = goal / total, (goal - held) / (total - held)
+            off = np.where(free[d] & np.isfinite(down), np.abs(down - 1), 0.0)
+            worst = max(worst, float(off[np.bincount(code, expected > 0, len(goal)) > 0].max(initial=0.0)))
+            down, up = np.where(np.isfinite(down), np.minimum(down, 1.0), 0.0), np.where(np.isfinite(up), np.maximum(up, 1.0), 1.0)
+            expected = np.minimum(tokens, expected * np.where(down[code] < 1, down[code], np.where(full, 1.0, up[code])))
+        if worst <= tolerance:
+            break
+    missed = np.zeros(len(tokens))
+    for d, aim in aims.items():
+        got = np.bincount(codes[d], expected, len(aim))
+        with np.errstate(divide="ignore", invalid="ignore"):
+            off = np.abs(got / (aim * share) - 1)
+        missed = np.maximum(missed, np.where(np.isfinite(off), off, 0.0)[codes[d]])
+    return expected, missed
+
+
 def calibrated(
     cells: DataFrame, wanted: Mapping[str, Mapping[str, float] | float], budget: float = 0.9, least: float = 0.5, most_rounds: int = 40, tolerance: float = 1e-3
 ) -> DataFrame:
@@ -132,6 +177,20 @@ def calibrated(
     dimension make up for it. ``off`` is the largest share by which a marginal of the cell misses its target in the end. A cell without tokens
     costs nothing and keeps its documents.
     """
+    if cells.count() <= FEW_CELLS:
+        names = [d for d in wanted]
+
+        def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            table = pa.Table.from_batches(list(batches), _cells(names))
+            tokens = table.column("tokens").to_numpy().astype(np.float64)
+            values = {d: np.array(table.column(d).to_pylist(), dtype=object).astype(str) for d in names}
+            expected, off = fitted_at_once(values, tokens, wanted, budget, least, most_rounds, tolerance) if len(tokens) else (tokens, tokens)
+            probability = np.divide(expected, tokens, out=np.ones(len(tokens)), where=tokens > 0)
+            made = table.append_column("expected", pa.array(expected)).append_column("off", pa.array(off)).append_column("probability", pa.array(probability))
+            yield from made.to_batches()
+
+        kinds = ", ".join(f"`{d}` string" for d in names) + ", tokens long, expected double, off double, probability double"
+        return cells.select(*[F.col(d).cast("string").alias(d) for d in names], F.col("tokens").cast("long").alias("tokens")).coalesce(1).mapInArrow(fit, kinds)
     aims = {d: staged(targets(cells, d, wanted[d])) for d in wanted}
     seen = {d: cells.groupBy(d).agg(F.sum("tokens").cast("double").alias("seen")) for d in aims}
     scarcest = [aim.where("target > 0").join(seen[d], d).agg(F.min(F.col("seen") / F.col("target"))).first()[0] for d, aim in aims.items()]
