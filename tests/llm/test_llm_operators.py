@@ -261,7 +261,7 @@ def test_lm_base_score_against_brute_force(docs, nothing):
 
 
 def test_attention_learns_and_is_a_distribution():
-    words = attention.Vocabulary.of(np.array([50.0, 40, 30, 20, 10, 5, 3, 1]), own_groups=3, groups=5, own_buckets=4)
+    words = attention.Vocabulary.of(np.array([50.0, 40, 30, 20, 10, 5, 3, 1]), at_once=3, size=2, own=6, shared=2)
     text = np.array([0, 1, 2, 5] * 60)
     x, goal, _ = attention.windows([text] * 8, words)
     start = attention.initial(words, 8)
@@ -278,7 +278,7 @@ def test_attention_learns_and_is_a_distribution():
 
 def test_attention_gradient():
     random = np.random.default_rng(0)
-    words = attention.Vocabulary.of(random.integers(0, 100, 300).astype(float), own_groups=4, groups=8, own_buckets=20)
+    words = attention.Vocabulary.of(random.integers(0, 100, 300).astype(float), at_once=4, size=7, own=20, shared=10)
     p = attention.unflat(attention.initial(words, 8).astype(np.float64), words, 8)
     x, goal, _ = attention.windows([random.integers(0, 300, n) for n in (50, 1, 17)], words)
     _, slope = attention.gradient(p, words, x, goal)
@@ -293,7 +293,7 @@ def test_attention_gradient():
 
 
 def test_scores_do_not_look_ahead():
-    words = attention.Vocabulary.of(np.arange(50.0, 0, -1), own_groups=4, groups=8, own_buckets=20)
+    words = attention.Vocabulary.of(np.arange(50.0, 0, -1), at_once=4, size=7, own=20, shared=10)
     model = attention.Scorer(attention.initial(words, 8), words, 8)
     a = np.arange(45) % 50
     b = a.copy()
