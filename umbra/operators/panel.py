@@ -87,37 +87,81 @@ def complete_nights(panel: DataFrame, least: int, hours: Sequence[int] = NIGHT)
     return night.join(full, "date", "left_semi")
 
 
-def _at_share(values: Column, n: Column, p: float, without: Column | None = None) -> Column:
-    """Linear quantile of a sorted array of ``n`` values, or of it without the one at a place: behind it places shift by one."""
-    at = (n - 1) * p if without is None else (n - 2) * p
+def _at_share(values: Column, n: Column, p: float) -> Column:
+    """Linear quantile of a sorted array of ``n`` values."""
+    at = (n - 1) * p
     low = F.floor(at).cast("int")
-    pick = (lambda i: F.get(values, i)) if without is None else (lambda i: F.get(values, F.when(i < without, i).otherwise(i + 1)))
-    return pick(low) + (at - low) * (pick(F.ceil(at).cast("int")) - pick(low))
+    return F.get(values, low) + (at - low) * (F.get(values, F.ceil(at).cast("int")) - F.get(values, low))
+
+
+def _around(values: Column, n: Column, p: float) -> Column:
+    """What the linear quantile of a sorted array without one of its ``n`` values depends on: places, share, and the values there and one further on."""
+    at = (n - 2) * p
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    near = {"low_0": F.get(values, low), "low_1": F.get(values, low + 1), "high_0": F.get(values, high), "high_1": F.get(values, high + 1)}
+    return F.struct(low.alias("low"), high.alias("high"), (at - low).alias("share"), *[c.alias(name) for name, c in near.items()])
+
+
+def _without(around: Column, k: Column) -> Column:
+    """The quantile without the value at place ``k``: from there on places shift by one."""
+    low = F.when(around["low"] < k, around["low_0"]).otherwise(around["low_1"])
+    high = F.when(around["high"] < k, around["high_0"]).otherwise(around["high_1"])
+    return low + around["share"] * (high - low)
+
+
+def contenders(totals: DataFrame) -> DataFrame:
+    """The rows of ``totals`` (station, base_n, sure, high, low, top, bottom) that can be the hottest or coldest when any one station is left out.
+
+    A station's mean can't leave the bounds that follow from the most that any other one moves the reference at each of its instants. Two
+    stations stay above the second highest lower bound, so one of them is there whichever is left out, and who can't reach that bound is never the hottest.
+    """
+    sure = F.col("sure") > 0  # others may have no instant left
+    upper = F.when(sure, F.col("high") / F.when(F.col("high") > 0, F.col("sure")).otherwise(F.col("base_n"))).otherwise(F.col("top"))
+    lower = F.when(sure, F.col("low") / F.when(F.col("low") > 0, F.col("base_n")).otherwise(F.col("sure"))).otherwise(F.col("bottom"))
+    rows = totals.withColumn("upper", upper).withColumn("lower", lower)
+    second = lambda order, c: ([r[0] for r in rows.where("sure > 0").orderBy(order).select(c).limit(2).collect()] + [None, None])[1]
+    least_top, most_bottom = second(F.desc("lower"), "lower"), second(F.asc("upper"), "upper")
+    if least_top is None:
+        return totals
+    slack = 1e-6  # far more than means are rounded by
+    return rows.where((F.col("upper") >= least_top - slack) | (F.col("lower") <= most_bottom + slack)).drop("upper", "lower")
 
 
 def leave_one_out(panel: DataFrame, stations: DataFrame, least: int = 3) -> DataFrame:
-    """Mean dispersion and the hottest and coldest station when each station is left out in turn; ``stations`` is a small table.
+    """Mean dispersion and the hottest and coldest station when each station is left out in turn.
 
-    The values of an instant are sorted once, as an array no longer than there are stations: quantiles without one of them are shifts of places. Where a
-    station doesn't report, nothing changes without it, so only instants that two stations share correct what the second one has in all.
+    The values of an instant are sorted once: quantiles without one of them are shifts of places. Where a station doesn't report, nothing changes
+    without it, so only instants that two stations share correct what the second one has in all. Only ``contenders`` meet the others there.
     """
     instants = panel.where("t IS NOT NULL").groupBy("date", "hour").agg(F.array_sort(F.collect_list(F.struct("t", "station"))).alias("v"))
-    instants = instants.withColumn("n", F.size("v")).withColumn("t", F.transform("v", lambda x: x["t"])).withColumn("ref", _at_share(F.col("t"), F.col("n"), 0.5))
-    spread = lambda k=None: _at_share(F.col("t"), F.col("n"), 0.9, k) - _at_share(F.col("t"), F.col("n"), 0.1, k)
-    instants = staged(instants.withColumn("spread", spread()).where(F.col("n") >= least))
-    stays = F.col("n") > least  # enough are left without one
-    whole = instants.agg(F.coalesce(F.sum("spread"), F.lit(0.0)).alias("all_spread"), F.count("*").alias("all_n"))
-    placed = instants.select("*", F.posexplode("v").alias("k", "e"))
-    own = placed.groupBy(F.col("e.station").alias("without")).agg(F.sum(F.when(stays, spread(F.col("k"))).otherwise(0.0) - F.col("spread")).alias("more"), F.sum(stays.cast("int") - 1).alias("more_n"))
+    instants = instants.withColumn("n", F.size("v")).where(F.col("n") >= least).withColumn("t", F.transform("v", lambda x: x["t"]))
+    shares = {"ref": 0.5, "p90": 0.9, "p10": 0.1}
+    instants = instants.select("date", "hour", "v", "n", *[_at_share(F.col("t"), F.col("n"), p).alias(c) for c, p in shares.items()], *[_around(F.col("t"), F.col("n"), p).alias(f"{c}_around") for c, p in shares.items()])
+    stays, around = F.col("n") > least, F.col("ref_around")  # enough are left without one
+    most = F.greatest(F.lit(0.0), F.col("ref") - around["low_0"] - around["share"] * (around["high_0"] - around["low_0"]))
+    fewest = F.least(F.lit(0.0), F.col("ref") - around["low_1"] - around["share"] * (around["high_1"] - around["low_1"]))
+    spread = F.col("p90") - F.col("p10")
+    each = F.inline(F.transform("v", lambda x, k: F.struct(
+        x["station"].alias("station"), (x["t"] - F.col("ref")).alias("d"), F.when(stays, F.col("ref") - _without(F.col("ref_around"), k)).alias("shift"),
+        (F.when(stays, _without(F.col("p90_around"), k) - _without(F.col("p10_around"), k)).otherwise(0.0) - spread).alias("more"), F.when(k == 0, spread).alias("spread"),
+    )))
+    readings = staged(instants.select("date", "hour", stays.alias("stays"), most.alias("most"), fewest.alias("fewest"), each))
+    whole = readings.agg(F.coalesce(F.sum("spread"), F.lit(0.0)).alias("all_spread"), F.count("spread").alias("all_n"))
+    gone = F.sum(F.col("stays").cast("int") - 1)
+    totals = staged(readings.groupBy("station").agg(
+        F.sum("d").alias("base"), F.count("*").alias("base_n"), F.sum(F.col("stays").cast("int")).alias("sure"), F.sum("more").alias("more"), gone.alias("more_n"),
+        F.sum(F.when(F.col("stays"), F.col("d") + F.col("most")).otherwise(F.greatest(F.lit(0.0), F.col("d")))).alias("high"),
+        F.sum(F.when(F.col("stays"), F.col("d") + F.col("fewest")).otherwise(F.least(F.lit(0.0), F.col("d")))).alias("low"), F.max("d").alias("top"), F.min("d").alias("bottom"),
+    ))
     left = stations.select(F.col("station").alias("without")).distinct()
-    kept = left.join(own, "without", "left").crossJoin(F.broadcast(whole))
+    kept = left.join(totals.select(F.col("station").alias("without"), "more", "more_n"), "without", "left").crossJoin(F.broadcast(whole))
     n = F.col("all_n") + F.coalesce("more_n", F.lit(0))
     kept = kept.select("without", ratio(F.col("all_spread") + F.coalesce("more", F.lit(0.0)), n).alias("dispersion"), n.alias("instants")).where("instants > 0")
-    base = instants.select("ref", F.explode("v").alias("x")).groupBy(F.col("x.station").alias("station")).agg(F.sum(F.col("x.t") - F.col("ref")).alias("base"), F.count("*").alias("base_n"))
-    pairs = placed.select("ref", "n", F.col("e.station").alias("without"), _at_share(F.col("t"), F.col("n"), 0.5, F.col("k")).alias("ref_without"), F.explode("v").alias("x")).where("x.station <> without")
-    other = F.when(stays, F.col("x.t") - F.col("ref_without")).otherwise(0.0) - (F.col("x.t") - F.col("ref"))
-    moved = pairs.groupBy("without", F.col("x.station").alias("station")).agg(F.sum(other).alias("move"), F.sum(stays.cast("int") - 1).alias("move_n"))
-    each = left.crossJoin(base).where("station <> without").join(moved, ["without", "station"], "left")  # stations squared, as many as can be compared
+    few = small(contenders(totals).select("station", "base", "base_n"))
+    shared = small(readings.join(few, "station", "left_semi").select("date", "hour", "station", "d"))
+    pairs = readings.select("date", "hour", "stays", "shift", F.col("station").alias("without")).join(shared, ["date", "hour"]).where("station <> without")
+    moved = pairs.groupBy("without", "station").agg(F.sum(F.when(F.col("stays"), F.col("shift")).otherwise(-F.col("d"))).alias("move"), gone.alias("move_n"))
+    each = left.crossJoin(few).where("station <> without").join(moved, ["without", "station"], "left")
     count = F.col("base_n") + F.coalesce("move_n", F.lit(0))
     means = each.where(count > 0).select("without", "station", ((F.col("base") + F.coalesce("move", F.lit(0.0))) / count).alias("dt"))
     order = lambda sign: F.struct(F.round(sign * F.col("dt"), 9), F.col("station"))
