@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.joins import small
 from umbra.functions.stats import circular_mean, median, ratio, share, spearman
+from umbra.sources.staging import staged
 
 
 def distances(sections: DataFrame, stations: DataFrame) -> DataFrame:
@@ -17,6 +18,36 @@ def distances(sections: DataFrame, stations: DataFrame) -> DataFrame:
     return sections.crossJoin(small(spots)).withColumn("d", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).drop("sx", "sy")
 
 
+def nearest(sections: DataFrame, stations: DataFrame, k: int) -> DataFrame:
+    """``distances``, but of every section only the ``k`` nearest stations and those as far as the last one.
+
+    Stations are looked for in cells around; sections with fewer than ``k`` within the size of a cell look in cells of twice the size. Those left when cells
+    are as large as the area of the stations meet all of them.
+    """
+    spots = staged(stations.select("station", F.col("x").alias("sx"), F.col("y").alias("sy")))
+    wide, high = F.max("sx") - F.min("sx"), F.max("sy") - F.min("sy")
+    area = spots.agg(F.count("*").alias("n"), F.greatest(wide, high).alias("span")).first()
+    kept = F.rank().over(Window.partitionBy("cusec").orderBy("d")) <= k
+    left, found, span = sections, [], area["span"] or 0.0
+    size = span * (2 * k / max(area["n"], 1)) ** 0.5
+    cell = lambda c: F.floor(F.col(c) / size)
+    around = F.sequence(F.lit(-1), F.lit(1))
+    while 0 < size < span:
+        looked = left.withColumn("_dx", F.explode(around)).withColumn("_dy", F.explode(around)).withColumn("_cx", cell("x") + F.col("_dx")).withColumn("_cy", cell("y") + F.col("_dy"))
+        placed = spots.withColumn("_cx", cell("sx")).withColumn("_cy", cell("sy"))
+        met = looked.join(placed, ["_cx", "_cy"]).withColumn("d", F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))).where(F.col("d") <= size)
+        full = met.withColumn("_n", F.count("*").over(Window.partitionBy("cusec"))).where(F.col("_n") >= k)
+        found.append(staged(full.withColumn("_kept", kept).where("_kept").select(*sections.columns, "station", "d")))
+        left = staged(left.join(found[-1].select("cusec"), "cusec", "left_anti"))
+        size *= 2
+        if left.limit(1).count() == 0:
+            break
+    rest = distances(left, stations).withColumn("_kept", kept).where("_kept").select(*sections.columns, "station", "d")
+    for more in found:
+        rest = rest.unionByName(more)
+    return rest
+
+
 def weights(pairs: DataFrame, power: float = 2.0, least_m: float = 50.0) -> DataFrame:
     return pairs.withColumn("w", 1 / F.pow(F.greatest("d", F.lit(least_m)), F.lit(power)))
 
@@ -141,9 +172,13 @@ def site_pattern(means: DataFrame, value: str, predictor: str) -> DataFrame:
     return fit.crossJoin(F.broadcast(rho))
 
 
-def gradient(rows: DataFrame, by: Sequence[str] = (), near: tuple[float, float] = (29, 31)) -> DataFrame:
-    """Slope per 10 km of section means on easting, and the share of section-hours in [near[0], near[1])."""
-    means = rows.groupBy(*by, "cusec", "x").agg(F.avg("t").alias("t"), F.avg(((F.col("t") >= near[0]) & (F.col("t") < near[1])).cast("double")).alias("near"))
+def section_means(rows: DataFrame, by: Sequence[str] = (), near: tuple[float, float] = (29, 31)) -> DataFrame:
+    """Of every section the mean, and the share of its hours in [near[0], near[1])."""
+    return rows.groupBy(*by, "cusec").agg(F.avg("t").alias("t"), F.avg(((F.col("t") >= near[0]) & (F.col("t") < near[1])).cast("double")).alias("near"))
+
+
+def gradient(means: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Slope per 10 km of ``section_means`` on easting, and the share of section-hours near the limit."""
     return means.groupBy(*by).agg((F.try_divide(F.covar_pop("t", "x"), F.var_pop("x")) * 10_000).alias("per_10km"), F.avg("near").alias("near"), F.count("*").alias("sections"))
 
 
