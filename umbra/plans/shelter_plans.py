@@ -27,14 +27,14 @@ def sites(spark, d):
     )
 
 
-def reach(spark, d):
-    """All pairs within the widest movement: equal cells of that size and their neighbours meet."""
+def reach(spark, d, homes=None):
+    """All pairs of sections, or of ``homes``, within the widest movement: equal cells of that size and their neighbours meet."""
     size = MOVEMENTS[-1][1]
     cell = lambda c: F.floor(F.col(c) / size)
     near = F.sequence(F.lit(-1), F.lit(1))
     spots = sites(spark, d).select("site", F.col("x").alias("sx"), F.col("y").alias("sy"))
     spots = spots.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("cx", cell("sx") + F.col("dx")).withColumn("cy", cell("sy") + F.col("dy"))
-    homes = sections(spark, d).where("reachable").withColumn("cx", cell("x")).withColumn("cy", cell("y"))
+    homes = (sections(spark, d).where("reachable") if homes is None else homes).withColumn("cx", cell("x")).withColumn("cy", cell("y"))
     far = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
     return homes.join(spots, ["cx", "cy"]).select("cusec", "site", far.alias("dist_m"), "pop", "district").where(F.col("dist_m") <= size)
 
@@ -144,8 +144,10 @@ _PATTERNS = """SELECT movement, pattern, sum(pop) AS weight FROM (
 
 
 def patterns(spark, d, cases=None):
+    """Sections at one place reach the same sites, so their people are taken together."""
     cases = movements(spark) if cases is None else cases
-    return S.demand_patterns(reach(spark, d), sites(spark, d).drop("x", "y"), cases, times(spark, [16, 17, 18, 19, 20]))
+    homes = sections(spark, d).where("reachable").groupBy("x", "y").agg(F.min("cusec").alias("cusec"), F.sum("pop").alias("pop"), F.min("district").alias("district"))
+    return S.demand_patterns(reach(spark, d, homes), sites(spark, d).drop("x", "y"), cases, times(spark, [16, 17, 18, 19, 20]))
 
 
 @REGISTRY.add("she_demand_patterns", f"SELECT movement, array_to_string(pattern, ',') AS pattern, weight FROM ({_PATTERNS})", "reach", "weight")
