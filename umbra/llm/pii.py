@@ -109,9 +109,9 @@ def context_terms(hits: DataFrame, context: int) -> DataFrame:
 
 
 def document_frequency(texts: DataFrame, terms: DataFrame) -> DataFrame:
-    """(term, documents) of the ``terms`` over all whole texts, which are counted before they are joined."""
+    """(term, documents) of the distinct ``terms`` over all whole texts, counted before they are joined: a semi join would be moved below the counting."""
     seen = texts.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term"))
-    return seen.groupBy("term").agg(F.count("*").alias("documents")).join(terms, "term", "left_semi")
+    return seen.groupBy("term").agg(F.count("*").alias("documents")).join(terms, "term")
 
 
 def risky_terms(texts: DataFrame, hits: DataFrame, generalise: float, remove: float, least_contexts: int, context: int) -> DataFrame:
