@@ -269,8 +269,10 @@ def _(spark, d):
 
 
 def nearest_by_layer(spark, d):
-    each = S.catalogue(sites(spark, d)).withColumnRenamed("catalogue", "layer")
-    return reach(spark, d).join(each, "site").groupBy("layer", "cusec", "pop").agg(F.min("dist_m").alias("dist_m"))
+    rows, homes = sites(spark, d), sections(spark, d).where("reachable")
+    spots = S.catalogue(rows).withColumnRenamed("catalogue", "layer").join(rows.select("site", "x", "y"), "site")
+    near = S.nearest_places(homes, spots, "layer", 250.0, MOVEMENTS[-1][1])
+    return homes.join(near, ["x", "y"]).groupBy("layer", "cusec", "pop").agg(F.min("dist_m").alias("dist_m"))
 
 
 _NEAREST = f"SELECT layer, cusec, pop, min(dist_m) AS dist_m FROM reach JOIN (SELECT site, catalogue AS layer FROM {_CATALOGUE}) USING (site) GROUP BY ALL"
