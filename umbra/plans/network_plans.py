@@ -73,6 +73,17 @@ def routes(spark, d, weights, hours=False):
     return N.relax(N.weighted_edges(both, grid, SPEED), sources, ["hour", "weight"] if hours else ["weight"])
 
 
+def grid_paths(spark, d, weights, hours=False):
+    """(hour, node, paths) or (node, paths): the same routes with a row for each node and hour."""
+    minutes = F.col("length") / SPEED / 60
+    shifts = HOURS if hours else [None]
+    frac = lambda h: F.col("frac") if h is None else F.pmod(F.round(F.col("frac") * 100).cast("int") + h * 17, F.lit(100)) / 100
+    lit = N.undirected(edges(spark, d), ["length", "frac"]).withColumn("t", minutes)
+    lit = lit.select("u", "v", "t", F.array(*[F.col("t") * (1 - frac(h)) for h in shifts]).alias("suns"))
+    rows = N.relax_cases(lit, facilities(spark, d), weights)
+    return rows.select(F.get(F.array(*map(F.lit, HOURS)), F.col("part")).alias("hour"), "node", "paths") if hours else rows.select("node", "paths")
+
+
 def nodes(spark, d):
     key = F.col("p_partkey")
     return read(spark, d, "part").select(key.alias("node"), (F.pmod(key, F.lit(40)) * 500).cast("double").alias("x"), F.pmod(F.floor(key / 40) * 400, F.lit(20000)).cast("double").alias("y"))
@@ -118,7 +129,7 @@ def chosen_sql(where: str = "true", by: str = "hour, ") -> str:
 
 @REGISTRY.add("net_constrained_routes", f"WITH {HOURLY} {chosen_sql()}", "hour_minutes facilities", "t sun worst t_fast sun_fast")
 def _(spark, d):
-    return N.constrained(routes(spark, d, FINE, hours=True), BUDGET, ["hour"])
+    return N.constrained_paths(grid_paths(spark, d, FINE, hours=True), BUDGET, ["hour"])
 
 
 @REGISTRY.add(
@@ -129,7 +140,7 @@ def _(spark, d):
     "t_fast t_shaded sun_fast sun_shaded sun_saved_pct time_paid_pct",
 )
 def _(spark, d):
-    return N.frontier_summary(N.constrained(routes(spark, d, FINE, hours=True), BUDGET, ["hour"]), ["hour"])
+    return N.frontier_summary(N.constrained_paths(grid_paths(spark, d, FINE, hours=True), BUDGET, ["hour"]), ["hour"])
 
 
 @REGISTRY.add(
@@ -141,9 +152,8 @@ def _(spark, d):
     "mean_sun max_sun improved_pct max_t",
 )
 def _(spark, d):
-    fine = routes(spark, d, FINE, hours=True)
-    coarse = fine.where(F.col("weight").isin(COARSE))
-    return N.grid_convergence(N.constrained(coarse, BUDGET, ["hour"]), N.constrained(fine, BUDGET, ["hour"]), ["hour"])
+    fine = grid_paths(spark, d, FINE, hours=True)
+    return N.grid_convergence(N.constrained_paths(fine, BUDGET, ["hour"], COARSE), N.constrained_paths(fine, BUDGET, ["hour"]), ["hour"])
 
 
 _SNAP = "SELECT cusec AS point, min(struct_pack(far := sqrt(power(s.x - n.x, 2) + power(s.y - n.y, 2)), node := node)) AS b FROM sections s, nodes n GROUP BY cusec"
@@ -163,7 +173,7 @@ WEIGHTED = relax_sql("minutes m ON m.u = b.node", "weight", _FINE, _COST)
 def _(spark, d):
     cases = [(v, b, SPEED / v) for v in (0.8, 1.0, 1.25) for b in (30.0, 45.0, 60.0)]
     people = sections(spark, d).select(F.col("cusec").alias("point"), "pop").join(snapped(spark, d), "point").groupBy("node").agg(F.sum("pop").alias("pop"))
-    return N.budget_grid(routes(spark, d, FINE), spark.createDataFrame(cases, "speed double, budget double, factor double"), people)
+    return N.budget_grid(grid_paths(spark, d, FINE), spark.createDataFrame(cases, "speed double, budget double, factor double"), people)
 
 
 FORTY = [i / 40 for i in range(41)]
@@ -186,7 +196,9 @@ _FORTY = relax_sql("minutes m ON m.u = b.node", "weight", "(SELECT i / 40 AS wei
 def _(spark, d):
     """Twenty-one weights against forty-one."""
     people = sections(spark, d).select(F.col("cusec").alias("point"), "pop")
-    return N.mode_convergence(routes(spark, d, FORTY), snapped(spark, d), people, FINE, BUDGET, SPEED)
+    at = snapped(spark, d)
+    found = grid_paths(spark, d, FORTY).join(at.select("node").distinct(), "node").select("node", F.inline("paths"))
+    return N.mode_convergence(found, at, people, FINE, BUDGET, SPEED)
 
 
 @REGISTRY.add(

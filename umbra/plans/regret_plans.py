@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from umbra.functions.joins import small
 from umbra.operators import decisions as D
 from umbra.operators import geometry as G
 from umbra.operators import network as N
@@ -12,8 +13,9 @@ from umbra.operators import resample as B
 from umbra.operators import shade as S
 from umbra.plans.decision_plans import _DRAW, FRACTIONS, hours
 from umbra.plans.inputs import REGISTRY, read, sections, view
-from umbra.plans.network_plans import _COST, _SNAP, BUDGET, COARSE, FINE, HOURLY, HOURS, SPEED, chosen_sql, edges, facilities, relax_sql, routes, snapped
+from umbra.plans.network_plans import _COST, _SNAP, BUDGET, COARSE, FINE, HOURLY, HOURS, SPEED, chosen_sql, edges, facilities, grid_paths, relax_sql, snapped
 from umbra.plans.shade_plans import _SUNS, GRID, cells, points, suns
+from umbra.sources.staging import staged
 
 LIMIT, REPLICATES = 0.4, 200
 _GRID = "(VALUES (0.05::DOUBLE), (0.1), (0.15), (0.2), (0.25)) g(fraction)"
@@ -94,8 +96,9 @@ _DOMINANCE_GRID = f"""WITH {HOURLY},
 
 
 def dominance_grid(spark, d):
-    exposure = R.window_exposure(routes(spark, d, FINE, hours=True), spark.createDataFrame(CASES, "speed double, budget double, factor double"), WINDOWS)
-    placed = sections(spark, d).select(F.col("cusec").alias("point"), "pop").join(snapped(spark, d).select("point", "node"), "point")
+    placed = staged(sections(spark, d).select(F.col("cusec").alias("point"), "pop").join(snapped(spark, d).select("point", "node"), "point"))
+    paths = grid_paths(spark, d, FINE, hours=True).join(small(placed.select("node").distinct()), "node").select("hour", "node", F.inline("paths"))
+    exposure = R.window_exposure(paths, spark.createDataFrame(CASES, "speed double, budget double, factor double"), WINDOWS)
     return R.dominance_grid(placed, exposure, FRACTIONS, LIMIT)
 
 
@@ -150,23 +153,22 @@ _FIVE = "(SELECT i / 4 AS weight FROM range(5) r(i)) w"
 _TAU = relax_sql("tau_minutes m ON m.u = b.node AND m.tau = b.tau", "tau weight", f"{_FIVE}, (SELECT i / 10 AS tau FROM range(7) r(i)) ts", _COST)
 
 
-def walked(spark, d, found, by):
-    """(by, cusec, sun) of the nodes that sections snap to."""
-    at = snapped(spark, d).select(F.col("point").alias("cusec"), "node")
-    return found.select(by, "node", "sun").join(at, "node").select(by, "cusec", "sun")
+def walked(spark, d, lit, parts, by, each):
+    """(by, cusec, sun) of the nodes that sections snap to: ``parts`` are the keys (one tuple for each part of the grid) named ``by``, over which the least sun is averaged for ``each``."""
+    at = staged(snapped(spark, d).select(F.col("point").alias("cusec"), "node"))
+    keys = F.get(F.array(*[F.struct(*[F.lit(x).alias(c) for c, x in zip(by, part, strict=True)]) for part in parts]), F.col("part"))
+    rows = N.relax_cases(lit, facilities(spark, d), COARSE).join(small(at.select("node").distinct()), "node").withColumn("key", keys).select("key.*", "node", "paths")
+    found = N.constrained_paths(rows, BUDGET, by)
+    return found.groupBy(each, "node").agg(F.avg("sun").alias("sun")).join(at, "node").select(each, "cusec", "sun")
 
 
 @REGISTRY.add("dec_transmittance_curve", chain_sql("tau", chosen_sql(by="tau, "), _TAU), "tau_minutes facilities nodes sections safe_shares", f"tau {_CHAIN}")
 def _(spark, d):
-    taus = spark.createDataFrame([(x,) for x in TAUS], "tau double")
-    grid = spark.createDataFrame([(w,) for w in COARSE], "weight double")
-    minutes = N.undirected(edges(spark, d), ["length", "frac"]).withColumn("t", F.col("length") / SPEED / 60)
     full = F.least(F.lit(1.0), F.col("frac") + F.pmod(F.col("u") + F.col("v"), F.lit(4)) / 10)
-    lit = minutes.crossJoin(F.broadcast(taus)).withColumn("sun", S.exposure(F.col("t"), F.col("frac"), full, F.col("tau")))
-    costs = lit.crossJoin(F.broadcast(grid)).withColumn("cost", (1 - F.col("weight")) * F.col("t") + F.col("weight") * F.col("sun"))
-    sources = facilities(spark, d).crossJoin(F.broadcast(taus)).crossJoin(F.broadcast(grid))
-    found = N.constrained(N.relax(costs.drop("length", "frac"), sources, ["tau", "weight"]), BUDGET, ["tau"])
-    return R.chain_metrics(sections(spark, d), walked(spark, d, found, "tau"), safe_shares(spark, d), SUN_BUDGETS, ["tau"])
+    minutes = N.undirected(edges(spark, d), ["length", "frac"]).withColumn("t", F.col("length") / SPEED / 60)
+    lit = minutes.select("u", "v", "t", F.array(*[S.exposure(F.col("t"), F.col("frac"), full, F.lit(x)) for x in TAUS]).alias("suns"))
+    found = walked(spark, d, lit, [(x,) for x in TAUS], ["tau"], "tau")
+    return R.chain_metrics(sections(spark, d), found, safe_shares(spark, d), SUN_BUDGETS, ["tau"])
 
 
 _AT = f"""SELECT edge, least(greatest(floor(round(y, 6) / 3), 0), {GRID - 1})::INTEGER AS row, least(greatest(floor(round(x, 6) / 3), 0), {GRID - 1})::INTEGER AS col FROM points"""
@@ -222,11 +224,11 @@ def _(spark, d):
     """Heights times a factor, from the shade of every edge through routes of all hours to lists."""
     count = read(spark, d, "customer").count()
     named = F.lpad(F.pmod(F.least("u", "v"), F.lit(count)).cast("string"), 7, "0")
-    keyed = spark.createDataFrame([(s, h, f) for s, h in zip(("morning", "noon", "evening"), HOURS, strict=True) for f in FACTORS], "sun string, hour int, factor double")
-    grid = spark.createDataFrame([(w,) for w in COARSE], "weight double")
-    minutes = N.undirected(edges(spark, d), ["length", "frac"]).select("u", "v", (F.col("length") / SPEED / 60).alias("t"), named.alias("edge")).crossJoin(F.broadcast(keyed))
-    shaded = minutes.join(factor_shade(spark, d), ["edge", "sun", "factor"], "left").select("u", "v", "hour", "factor", "t", (F.col("t") * (1 - F.coalesce("frac", F.lit(0.0)))).alias("sun"))
-    costs = shaded.crossJoin(F.broadcast(grid)).withColumn("cost", (1 - F.col("weight")) * F.col("t") + F.col("weight") * F.col("sun"))
-    sources = facilities(spark, d).crossJoin(F.broadcast(keyed.select("hour", "factor"))).crossJoin(F.broadcast(grid))
-    found = N.constrained(N.relax(costs, sources, ["factor", "hour", "weight"]), BUDGET, ["factor", "hour"]).groupBy("factor", "node").agg(F.avg("sun").alias("sun"))
-    return R.chain_metrics(sections(spark, d), walked(spark, d, found, "factor"), safe_shares(spark, d), SUN_BUDGETS, ["factor"])
+    keyed = [(s, h, f) for s, h in zip(("morning", "noon", "evening"), HOURS, strict=True) for f in FACTORS]
+    fracs = [F.max(F.when((F.col("sun") == s) & (F.col("factor") == f), F.col("frac"))).alias(f"f{i}") for i, (s, _, f) in enumerate(keyed)]
+    shade = factor_shade(spark, d).groupBy("edge").agg(*fracs)
+    minutes = N.undirected(edges(spark, d), ["length", "frac"]).select("u", "v", (F.col("length") / SPEED / 60).alias("t"), named.alias("edge"))
+    suns_ = F.array(*[F.col("t") * (1 - F.coalesce(f"f{i}", F.lit(0.0))) for i in range(len(keyed))])
+    lit = minutes.join(shade, "edge", "left").select("u", "v", "t", suns_.alias("suns"))
+    found = walked(spark, d, lit, [(f, h) for _, h, f in keyed], ["factor", "hour"], "factor")
+    return R.chain_metrics(sections(spark, d), found, safe_shares(spark, d), SUN_BUDGETS, ["factor"])
