@@ -27,16 +27,40 @@ def sites(spark, d):
     )
 
 
-def reach(spark, d, homes=None):
-    """All pairs of sections, or of ``homes``, within the widest movement: equal cells of that size and their neighbours meet."""
+def places(spark, d):
+    """Reachable sections by place, as those at one place reach the same sites: one of them, how many there are and their people."""
+    homes = sections(spark, d).where("reachable").dropDuplicates(["cusec", "pop"])
+    return homes.groupBy("x", "y").agg(F.min("cusec").alias("cusec"), F.count("*").alias("n"), F.sum("pop").alias("pop"), F.min("district").alias("district"))
+
+
+def spots(spark, d):
+    """(site, spot): the least site at the same place."""
+    rows = sites(spark, d).select("site", "x", "y")
+    return rows.join(rows.groupBy("x", "y").agg(F.min("site").alias("spot")), ["x", "y"]).select("site", "spot")
+
+
+def reach(spark, d, homes=None, rows=None):
+    """All pairs of sections, or of ``homes``, and sites, or ``rows`` of them, within the widest movement: equal cells of a quarter of that size and their neighbours meet.
+
+    Both sides are small beside their pairs, so they are dealt to a number of parts that does not depend on their bytes.
+    """
     size = MOVEMENTS[-1][1]
-    cell = lambda c: F.floor(F.col(c) / size)
-    near = F.sequence(F.lit(-1), F.lit(1))
-    spots = sites(spark, d).select("site", F.col("x").alias("sx"), F.col("y").alias("sy"))
-    spots = spots.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("cx", cell("sx") + F.col("dx")).withColumn("cy", cell("sy") + F.col("dy"))
+    cell = lambda c: F.floor(F.col(c) / (size / 4))
+    near = F.sequence(F.lit(-4), F.lit(4))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = (sites(spark, d) if rows is None else rows).select("site", F.col("x").alias("sx"), F.col("y").alias("sy"))
+    rows = rows.withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near)).withColumn("cx", cell("sx") + F.col("dx")).withColumn("cy", cell("sy") + F.col("dy"))
     homes = (sections(spark, d).where("reachable") if homes is None else homes).withColumn("cx", cell("x")).withColumn("cy", cell("y"))
     far = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
-    return homes.join(spots, ["cx", "cy"]).select("cusec", "site", far.alias("dist_m"), "pop", "district").where(F.col("dist_m") <= size)
+    kept = ["pop", "district", *(c for c in homes.columns if c == "n")]
+    pairs = homes.repartition(parts, "cx", "cy").join(rows.repartition(parts, "cx", "cy"), ["cx", "cy"])
+    return pairs.select("cusec", "site", far.alias("dist_m"), *kept).where(F.col("dist_m") <= size)
+
+
+def place_reach(spark, d, homes=None):
+    """Pairs of places and spots: all that coverage depends on."""
+    firsts = sites(spark, d).groupBy("x", "y").agg(F.min("site").alias("site"))
+    return reach(spark, d, places(spark, d) if homes is None else homes, firsts)
 
 
 def movements(spark):
@@ -99,9 +123,9 @@ def _(spark, d):
     return reach(spark, d).select("cusec", "site", "dist_m")
 
 
-def covered(spark, d, moment, stay=0.0):
+def covered(spark, d, moment, stay=0.0, homes=None):
     rows = sites(spark, d)
-    return S.union_coverage(reach(spark, d), S.opened_at(S.policy_intervals(rows), moment, stay), S.catalogue(rows), movements(spark))
+    return S.union_coverage(place_reach(spark, d, homes), S.opened_at(S.policy_intervals(rows), moment, stay), S.catalogue(rows), movements(spark), spots(spark, d))
 
 
 @REGISTRY.add("she_union_coverage", _COVER.format(times=_TIMES, open=_OPEN.format(stay=0), catalogue=_CATALOGUE), "reach policies", "moment people")
@@ -146,8 +170,7 @@ _PATTERNS = """SELECT movement, pattern, sum(pop) AS weight FROM (
 def patterns(spark, d, cases=None):
     """Sections at one place reach the same sites, so their people are taken together."""
     cases = movements(spark) if cases is None else cases
-    homes = sections(spark, d).where("reachable").groupBy("x", "y").agg(F.min("cusec").alias("cusec"), F.sum("pop").alias("pop"), F.min("district").alias("district"))
-    return S.demand_patterns(reach(spark, d, homes), sites(spark, d).drop("x", "y"), cases, times(spark, [16, 17, 18, 19, 20]))
+    return S.demand_patterns(reach(spark, d, places(spark, d)), sites(spark, d).drop("x", "y"), cases, times(spark, [16, 17, 18, 19, 20]))
 
 
 @REGISTRY.add("she_demand_patterns", f"SELECT movement, array_to_string(pattern, ',') AS pattern, weight FROM ({_PATTERNS})", "reach", "weight")
@@ -240,7 +263,7 @@ _VARIANTS = [
 @REGISTRY.add("she_variants", " UNION ALL ".join(_VARIANTS), "reach policies", "ordinary announced gain")
 def _(spark, d):
     """What other hours, origins, stays and catalogues do to ordinary and announced person-hours."""
-    rows, near, moments = sites(spark, d), reach(spark, d), S.time_grid(sites(spark, d), 16, 21, middle=True)
+    rows, near, moments = sites(spark, d), place_reach(spark, d), S.time_grid(sites(spark, d), 16, 21, middle=True)
     fixed = lambda a, b: F.struct(F.lit(a).alias("start"), F.lit(b).alias("end"))
     later = rows.withColumn("intervals", F.when(F.pmod("site", F.lit(10)) == 3, F.array(fixed(9.5, 14.0), fixed(16.5, 21.0))).otherwise(F.col("intervals")))
     every = S.catalogue(rows)
@@ -248,7 +271,7 @@ def _(spark, d):
         ("primary", near, rows, "all", 0.0), ("alternative hours", near, later, "all", 0.0), ("other origins", near.withColumn("dist_m", F.col("dist_m") + 25.0), rows, "all", 0.0),
         ("stay of half an hour", near, rows, "all", 0.5), ("core", near, rows, "core", 0.0), ("announced only", near, rows, "announced", 0.0),
     ]
-    out = [S.variant_hours(n, r, every.where(F.col("catalogue") == c), movements(spark), moments, stay).select(F.lit(name).alias("variant"), "movement", "ordinary", "announced", "gain") for name, n, r, c, stay in cases]
+    out = [S.variant_hours(n, r, every.where(F.col("catalogue") == c), movements(spark), moments, stay, spots=spots(spark, d)).select(F.lit(name).alias("variant"), "movement", "ordinary", "announced", "gain") for name, n, r, c, stay in cases]
     return reduce(lambda a, b: a.unionByName(b), out)
 
 
@@ -259,10 +282,11 @@ def _(spark, d):
 )
 def _(spark, d):
     keys = ["movement", "catalogue", "policy", "moment"]
-    table = covered(spark, d, times(spark, HOURS)).select(*keys, "people")
+    homes = staged(places(spark, d).withColumn("pop", F.col("pop").cast("decimal(24,6)")))  # sums of decimals do not depend on the order
+    table = covered(spark, d, times(spark, HOURS), homes=homes)
     rows = sites(spark, d)
-    recount = S.explicit_union(reach(spark, d), S.opened_at(S.policy_intervals(rows), times(spark, HOURS)), S.catalogue(rows), movements(spark))
-    return S.archived_audit(recount.select(*keys, "people"), table, keys, "people")
+    recount = S.nearest_coverage(homes, rows, S.opened_at(S.policy_intervals(rows), times(spark, HOURS)), S.catalogue(rows), movements(spark), MOVEMENTS[-1][1])
+    return S.archived_audit(*[x.select(*keys, F.col("people").cast("double").alias("people")) for x in (recount, table)], keys, "people")
 
 
 # walks to the nearest site
