@@ -6,6 +6,8 @@ Frames are keyed by a case (the columns ``by``) and a section (cusec); all cases
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -174,23 +176,66 @@ def rollup_states(stated: DataFrame, by: str) -> DataFrame:
 def shifted_scores(rows: DataFrame, deltas: Sequence[float], by: Sequence[str]) -> DataFrame:
     """Both fields with the limit moved by every delta: score is the part of the population whose margin is not beyond it.
 
-    ``rows`` has a local and a regional margin for each hour of a section.
+    ``rows`` has a local and a regional margin for each hour of a section. The deltas are a parameter grid: their counts are columns of one grouping,
+    written once, so rows are not repeated before it and scores are made again wherever they are read.
     """
-    grid = rows.sparkSession.createDataFrame([(float(x),) for x in deltas], "delta double")
-    fields = F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f"{f}_margin").alias("margin")) for f in ("local", "regional")]))
-    each = rows.select("*", fields.alias("f")).crossJoin(F.broadcast(grid))
-    failing = F.avg((F.col("f.margin") + F.col("delta") >= 0).cast("double")) * F.col("pop")
-    return each.groupBy(*by, "cusec", "pop", F.col("f.field").alias("field"), "delta").agg(F.round(failing, 9).alias("score"))
+    deltas = [float(x) for x in deltas]
+    fields = ("local", "regional")
+    counts = [F.array(F.count(f"{f}_margin"), *[F.count_if(F.col(f"{f}_margin") + x >= 0) for x in deltas]).alias(f) for f in fields]
+    counted = staged(rows.groupBy(*by, "cusec", "pop").agg(*counts))
+    each = counted.select(*by, "cusec", "pop", F.explode(F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("c")) for f in fields])).alias("f"))
+    grid = F.array(*[F.struct(F.lit(x).alias("delta"), F.get("f.c", F.lit(i + 1)).alias("n")) for i, x in enumerate(deltas)])
+    each = each.select(*by, "cusec", "pop", "f.field", F.get("f.c", F.lit(0)).alias("hours"), F.explode(grid).alias("d"))
+    return each.select(*by, "cusec", "pop", "field", "d.delta", F.round(F.try_divide("d.n", "hours") * F.col("pop"), 9).alias("score"))
 
 
-def normalised(scores: DataFrame, by: Sequence[str], fraction: float = 0.15) -> DataFrame:
-    """Scores in percent of the scenario's own top-k total."""
+def beside(rows: DataFrame, few: DataFrame, keys: Sequence[str], how: str = "inner") -> DataFrame:
+    """``rows`` with the columns of the broadcast ``few`` of the same keys; null keys are equal."""
+    there = F.broadcast(few.withColumnsRenamed({c: f"_{c}" for c in keys}))
+    return rows.join(there, reduce(and_, [F.col(c).eqNullSafe(F.col(f"_{c}")) for c in keys]), how).drop(*[f"_{c}" for c in keys])
+
+
+def cuts(scores: DataFrame, keys: Sequence[str], fraction: float, accuracy: int = 1000, ties: bool = True) -> DataFrame:
+    """(keys, k, low, best, last): of each scenario the quota, the score of the last one in it, the sum of scores in it and, with ``ties``, the last cusec with that score.
+
+    No scenario is sorted: sketches bracket the last score, rows inside the bracket are counted by score, and only those with the last score are ranked by cusec.
+    Null scores come last and add nothing.
+    """
+    ends = F.array(F.lit(max(0.0, 1 - fraction - 4 / accuracy)), F.lit(min(1.0, 1 - fraction + 4 / accuracy)))
+    value = F.coalesce("score", F.lit(float("-inf")))
+    rows = scores.select(*keys, "cusec", value.alias("score"))
+    sizes = rows.groupBy(*keys).agg(F.count("*").alias("size"), F.percentile_approx("score", ends, accuracy).alias("ends"), F.min("score").alias("least"), F.max("score").alias("most"))
+    few = F.col("size") < accuracy
+    brackets = staged(
+        sizes.select(*keys, quota(F.col("size"), fraction).alias("k"), F.when(few, F.col("least")).otherwise(F.col("ends")[0]).alias("from"), F.when(few, F.col("most")).otherwise(F.col("ends")[1]).alias("to"))
+    )
+    placed = beside(rows, brackets, keys).where("score >= from")
+    # all above the bracket are one value
+    seen = placed.withColumn("inside", F.when(F.col("score") <= F.col("to"), F.col("score"))).groupBy(*keys, "k", "inside").agg(F.count("*").alias("n"), F.sum("score").alias("sum"))
+    down = Window.partitionBy(*keys).orderBy(F.desc_nulls_first("inside")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    seen = seen.withColumn("upto", F.sum("n").over(down)).withColumn("held", F.sum("sum").over(down))
+    at = seen.where("inside IS NOT NULL AND upto >= k AND upto - n < k")
+    nothing = F.col("inside") == float("-inf")
+    before = F.col("upto") - F.col("n")
+    held = F.when(nothing, F.lit(0.0)).otherwise(F.col("held") - F.col("sum") + (F.col("k") - before) * F.col("inside"))
+    out = staged(at.select(*keys, "k", F.col("inside").alias("low"), held.alias("best"), (F.col("k") - before).alias("left"), "n"))
+    if not ties:
+        return out.select(*keys, "k", "low", "best")
+    # all of a score are in, or the first of them by cusec
+    tied = beside(rows, out.where("left < n"), keys).where("score = low")
+    place = F.row_number().over(Window.partitionBy(*keys).orderBy("cusec"))
+    last = tied.select(*keys, "cusec", "left", place.alias("place")).where("place = left").select(*keys, F.col("cusec").alias("last"))
+    return beside(out, last, keys, "left").select(*keys, "k", "low", "best", "last")
+
+
+def normalised(scores: DataFrame, by: Sequence[str], fraction: float = 0.15, ties: bool = True) -> DataFrame:
+    """Scores in percent of the scenario's own top-k total, and with ``ties`` the flag of its top k."""
     keys = [*by, "field", "delta"]
-    scenario = Window.partitionBy(*keys)
-    rows = scores.withColumn("k", quota(F.count("*").over(scenario), fraction))
-    rows = rows.withColumn("top", top_k(F.col("score"), "cusec", F.col("k"), keys))
-    best = F.sum(F.when(F.col("top"), F.col("score")).otherwise(0.0)).over(scenario)
-    return rows.withColumn("pct", 100 * F.coalesce(F.try_divide("score", best), F.lit(0.0)))
+    rows = beside(scores, staged(cuts(scores, keys, fraction, ties=ties)), keys)
+    value = F.coalesce("score", F.lit(float("-inf")))
+    if ties:
+        rows = rows.withColumn("top", (value > F.col("low")) | ((value == F.col("low")) & (F.col("last").isNull() | (F.col("cusec") <= F.col("last"))))).drop("last")
+    return rows.withColumn("pct", 100 * F.coalesce(F.try_divide("score", "best"), F.lit(0.0))).drop("low", "best")
 
 
 def least_capture(grid: DataFrame, chosen: DataFrame, amplitudes: Sequence[float], by: Sequence[str]) -> DataFrame:
@@ -216,12 +261,12 @@ def common_list(grid: DataFrame, k: int, rounds: int = 12, rate: float = 0.05) -
     above. Each round reweights towards scenarios that the present list serves badly; returns round, primal and bound.
     """
     spark, grid = grid.sparkSession, staged(grid.select("cusec", "field", "delta", "pct"))  # read in every round
-    scenarios = grid.select("field", "delta").distinct()
-    weights = scenarios.withColumn("w", F.lit(1.0) / scenarios.count())
+    scenarios = grid.select("field", "delta").distinct().collect()
+    weights = spark.createDataFrame([(r["field"], r["delta"], 1.0 / len(scenarios)) for r in scenarios], "field string, delta double, w double")
     out = []
     for round_ in range(1, rounds + 1):
         mixed = grid.join(F.broadcast(weights), ["field", "delta"]).groupBy("cusec").agg(F.round(F.sum(F.col("w") * F.col("pct")), 9).alias("mixed"))
-        chosen = mixed.orderBy(F.desc("mixed"), "cusec").limit(k)
+        chosen = staged(mixed.orderBy(F.desc("mixed"), "cusec").limit(k))
         bound = chosen.agg(F.sum("mixed")).first()[0]
         held = grid.join(F.broadcast(chosen.select("cusec")), "cusec", "left_semi").groupBy("field", "delta").agg(F.sum("pct").alias("capture"))
         rows = held.join(weights, ["field", "delta"]).collect()  # one row per scenario

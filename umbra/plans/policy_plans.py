@@ -261,8 +261,12 @@ view(
 )
 
 
+def shifted(spark, d):
+    return P.shifted_scores(hours(spark, d), DELTAS, ["mode"])
+
+
 def grid(spark, d):
-    return P.normalised(P.shifted_scores(hours(spark, d), DELTAS, ["mode"]), ["mode"])
+    return P.normalised(shifted(spark, d), ["mode"])
 
 
 @REGISTRY.add("fix_normalised", "SELECT mode, field, delta, cusec, score, k, top, pct FROM grid", "grid", "delta score pct")
@@ -270,9 +274,11 @@ def _(spark, d):
     return grid(spark, d).select("mode", "field", "delta", "cusec", "score", "k", "top", "pct")
 
 
-def frozen(rows):
-    """Lists frozen at zero shift: the local and the regional one."""
-    return rows.where("delta = 0 and top").select("mode", F.col("field").alias("rule"), "cusec")
+def frozen(spark, d):
+    """All scenarios, and the lists frozen at zero shift: the local and the regional one. Only those lists ask who is in among equals."""
+    scores = shifted(spark, d)
+    lists = P.normalised(scores.where("delta = 0"), ["mode"]).where("top").select("mode", F.col("field").alias("rule"), "cusec")
+    return P.normalised(scores, ["mode"], ties=False), staged(lists)
 
 
 _HELD = """SELECT mode, rule, amplitude, min(capture) AS least, count(*) AS scenarios FROM (
@@ -281,8 +287,7 @@ _HELD = """SELECT mode, rule, amplitude, min(capture) AS least, count(*) AS scen
 
 
 def held(spark, d):
-    rows = staged(grid(spark, d))
-    return P.least_capture(rows, frozen(rows), [x / 4 for x in range(9)], ["mode"])
+    return P.least_capture(*frozen(spark, d), [x / 4 for x in range(9)], ["mode"])
 
 
 @REGISTRY.add("fix_least_capture", _HELD, "grid", "amplitude least")
@@ -303,7 +308,7 @@ def _(spark, d):
 
 @REGISTRY.add("fix_common_list")
 def _(spark, d):
-    rows = grid(spark, d).select("cusec", F.concat_ws("/", "mode", "field").alias("field"), "delta", "pct")
+    rows = P.normalised(shifted(spark, d), ["mode"], ties=False).select("cusec", F.concat_ws("/", "mode", "field").alias("field"), "delta", "pct")
     return P.common_list(rows, 40, 4)
 
 
@@ -325,8 +330,7 @@ _TRANSFER = """SELECT g.mode, f.rule, g.field, g.delta, sum(g.pct) AS capture, c
 
 @REGISTRY.add("pol_frozen_transfer", _TRANSFER, "grid", "delta capture")
 def _(spark, d):
-    rows = staged(grid(spark, d))
-    return P.frozen_transfer(rows, frozen(rows), ["mode"])
+    return P.frozen_transfer(*frozen(spark, d), ["mode"])
 
 
 EXPERIMENTS = [("narrow", x / 4) for x in range(-3, 4)] + [("wide", x / 4) for x in range(-6, 7)] + [("warm", x / 4) for x in range(0, 9)]
@@ -340,8 +344,7 @@ EXPERIMENTS = [("narrow", x / 4) for x in range(-3, 4)] + [("wide", x / 4) for x
     "least",
 )
 def _(spark, d):
-    rows = staged(grid(spark, d))
-    return P.observation_stress(rows, frozen(rows), spark.createDataFrame(EXPERIMENTS, "experiment string, delta double"), ["mode"])
+    return P.observation_stress(*frozen(spark, d), spark.createDataFrame(EXPERIMENTS, "experiment string, delta double"), ["mode"])
 
 
 @REGISTRY.add(
