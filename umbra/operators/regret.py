@@ -83,12 +83,16 @@ def dominance_grid(sections: DataFrame, exposure: DataFrame, fractions: Sequence
 
 
 def replicated_columns(sums: DataFrame, replicates: DataFrame, unit: Sequence[str], values: Sequence[str], width: int = 25) -> DataFrame:
-    """(unit, b, values): means of several values of each unit in each replicate from sums of days (unit, date, values, n); units without a drawn day are missing."""
+    """(unit, b, values): means of several values of each unit in each replicate from sums of days (unit, date, values, n); units without a drawn day are missing.
+
+    Sums are shuffled once, by unit, before they meet the replicates of their days, of which there are few; so no replicate is shuffled.
+    """
     places = range(width)
     times = [F.sum(F.when(F.col("b") % width == i, F.col("times"))).alias(f"t{i}") for i in places]
     packed = replicates.groupBy("date", F.floor(F.col("b") / width).alias("pack")).agg(*times)
     both = [F.sum(F.col(x) * F.col(f"t{i}")).alias(f"{x}{i}") for i in places for x in (*values, "n")]
-    rows = sums.join(packed, "date").groupBy(*unit, "pack").agg(*both)
+    parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not by the bytes of the sums, as their replicates are many times larger
+    rows = sums.repartition(parts, *unit).join(F.broadcast(packed), "date").groupBy(*unit, "pack").agg(*both)
     each = F.array(*[F.struct((F.col("pack") * width + i).alias("b"), *[ratio(F.col(f"{x}{i}"), F.col(f"n{i}")).alias(x) for x in values]) for i in places])
     return rows.select(*unit, F.explode(each).alias("x")).select(*unit, "x.*").where(F.col(values[0]).isNotNull())
 

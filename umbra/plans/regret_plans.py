@@ -79,7 +79,7 @@ def _(spark, d):
     "fraction regret_low regret regret_high efficiency_low efficiency efficiency_high",
 )
 def _(spark, d):
-    sums = day_sums(spark, d)
+    sums = staged(day_sums(spark, d))
     return R.regret_intervals(R.regret_replicates(exposed(spark, d), sums, B.day_replicates(sums, REPLICATES), FRACTIONS, LIMIT))
 
 
