@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import functions as F
 
+from umbra.functions.joins import dealt
 from umbra.operators import decisions as D
 from umbra.operators import shelters as S
 from umbra.plans.inputs import REGISTRY, sections, stations, view
@@ -53,7 +54,7 @@ def reach(spark, d, homes=None, rows=None):
     homes = (sections(spark, d).where("reachable") if homes is None else homes).withColumn("cx", cell("x")).withColumn("cy", cell("y"))
     far = F.hypot(F.col("x") - F.col("sx"), F.col("y") - F.col("sy"))
     kept = ["pop", "district", *(c for c in homes.columns if c == "n")]
-    pairs = homes.repartition(parts, "cx", "cy").join(rows.repartition(parts, "cx", "cy"), ["cx", "cy"])
+    pairs = homes.repartition(parts, "cx", "cy").join(dealt(rows.repartition(parts, "cx", "cy")), ["cx", "cy"])
     return pairs.select("cusec", "site", far.alias("dist_m"), *kept).where(F.col("dist_m") <= size)
 
 
