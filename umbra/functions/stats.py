@@ -18,6 +18,13 @@ def median(x: Column | str) -> Column:
     return F.percentile(x, F.lit(0.5))
 
 
+def sorted_quantile(values: Column, q: float) -> Column:
+    """The same of a sorted array without nulls; null if it is empty."""
+    at = F.lit(float(q)) * (F.size(values) - 1)
+    low, high = F.floor(at).cast("int"), F.ceil(at).cast("int")
+    return F.when(low == high, F.get(values, low)).otherwise((high - at) * F.get(values, low) + (at - low) * F.get(values, high))
+
+
 def ratio(top: Column, bottom: Column) -> Column:
     """Null instead of an error when there is nothing to divide by."""
     return F.try_divide(top.cast("double"), bottom.cast("double"))

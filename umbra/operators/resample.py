@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from umbra.functions.stats import median, ratio
+from umbra.functions.joins import small
+from umbra.functions.stats import median, ratio, sorted_quantile
 
 
 def draw(b: Column, i: Column, n: Column) -> Column:
@@ -63,18 +64,33 @@ def day_sums(rows: DataFrame, unit: Sequence[str], value: str) -> DataFrame:
     return rows.where(F.col(value).isNotNull()).groupBy(*unit, "date").agg(F.sum(value).alias("total"), F.count("*").alias("n"))
 
 
-def replicated_means(sums: DataFrame, replicates: DataFrame, unit: Sequence[str], on: Sequence[str] = ("date",), width: int = 25) -> DataFrame:
-    """(unit, b, value): the mean of each unit in each replicate; replicates without its days are missing.
+def _packed(sums: DataFrame, replicates: DataFrame, unit: Sequence[str], on: Sequence[str], width: int) -> DataFrame:
+    """(unit, pack, values): the means of each unit in ``width`` replicates, null in those without its days.
 
-    A row of a day meets ``width`` replicates at once, as columns, so there are that many fewer rows to group.
+    A row of a day meets ``width`` replicates at once, as columns, so there are that many fewer rows to group. Sums are shuffled once, by unit, before
+    they meet the replicates of their days, of which there are few; so no replicate is shuffled.
     """
     places = range(width)
     times = [F.sum(F.when(F.col("b") % width == i, F.col("times"))).alias(f"t{i}") for i in places]
-    packed = replicates.groupBy(*on, F.floor(F.col("b") / width).alias("pack")).agg(*times)
+    packed = small(replicates.groupBy(*on, F.floor(F.col("b") / width).alias("pack")).agg(*times))
     both = [F.sum(F.col(x) * F.col(f"t{i}")).alias(f"{x}{i}") for i in places for x in ("total", "n")]
-    rows = sums.join(packed, list(on)).groupBy(*unit, "pack").agg(*both)
-    each = F.array(*[F.struct((F.col("pack") * width + i).alias("b"), ratio(F.col(f"total{i}"), F.col(f"n{i}")).alias("value")) for i in places])
-    return rows.select(*unit, F.explode(each).alias("x")).select(*unit, "x.b", "x.value").where("value is not null")
+    parts = int(sums.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # not by the bytes of the sums, as their replicates are many times larger
+    rows = sums.repartition(parts, *unit).join(packed, list(on)).groupBy(*unit, "pack").agg(*both)
+    return rows.select(*unit, "pack", F.array(*[ratio(F.col(f"total{i}"), F.col(f"n{i}")) for i in places]).alias("values"))
+
+
+def replicated_means(sums: DataFrame, replicates: DataFrame, unit: Sequence[str], on: Sequence[str] = ("date",), width: int = 25) -> DataFrame:
+    """(unit, b, value): the mean of each unit in each replicate; replicates without its days are missing."""
+    rows = _packed(sums, replicates, unit, on, width).select(*unit, "pack", F.posexplode("values").alias("i", "value"))
+    return rows.select(*unit, (F.col("pack") * width + F.col("i")).alias("b"), "value").where("value is not null")
+
+
+def replicated_intervals(sums: DataFrame, replicates: DataFrame, unit: Sequence[str], on: Sequence[str] = ("date",), width: int = 25) -> DataFrame:
+    """``intervals`` of the replicated means. A unit's means are sorted in an array of its own, so no rows of replicates are made, sorted or spilled."""
+    rows = _packed(sums, replicates, unit, on, width).groupBy(*unit).agg(F.flatten(F.collect_list("values")).alias("values"))
+    rows = rows.withColumn("values", F.sort_array(F.array_compact("values"))).where(F.size("values") > 0)
+    rows = rows.select(*unit, *[sorted_quantile(F.col("values"), q).alias(n) for n, q in (("low", 0.025), ("middle", 0.5), ("high", 0.975))], F.size("values").cast("long").alias("reps"))
+    return rows.withColumn("significant", (F.col("low") > 0) | (F.col("high") < 0))
 
 
 def intervals(means: DataFrame, unit: Sequence[str]) -> DataFrame:

@@ -9,6 +9,7 @@ from umbra.operators import decisions as D
 from umbra.operators import resample as B
 from umbra.plans.inputs import REGISTRY, read, sections, stations, view
 from umbra.plans.panel_plans import anomaly
+from umbra.sources.staging import staged
 
 REPS = ("local", "regional", "uniform")
 
@@ -336,6 +337,11 @@ def days(spark, d):
     return anomaly(spark, d).withColumn("date", F.trunc("date", "week")).withColumn("summer", F.year("date"))
 
 
+def week_sums(spark, d):
+    """Sums of stations and weeks, written once: the panel below them is many times larger, and days are drawn from these as well, as every anomaly has a value."""
+    return staged(B.day_sums(days(spark, d), ["station"], "dt"))
+
+
 view("boot", "SELECT * REPLACE (date_trunc('week', date)::DATE AS date), year(date_trunc('week', date))::INTEGER AS summer FROM anomaly", ["anomaly"])
 view("boot_days", "SELECT date, row_number() OVER (ORDER BY date) - 1 AS place, count(*) OVER () AS n FROM (SELECT DISTINCT date FROM boot)", ["boot"])
 view(
@@ -351,9 +357,8 @@ _INTERVAL = """SELECT {unit}, quantile_cont(value, 0.025) AS low, quantile_cont(
 
 @REGISTRY.add("boo_station_interval", _INTERVAL.format(unit="station", means="boot_means"), "boot_means", "low middle high")
 def _(spark, d):
-    rows = days(spark, d)
-    means = B.replicated_means(B.day_sums(rows, ["station"], "dt"), B.day_replicates(rows, REPLICATES), ["station"])
-    return B.intervals(means, ["station"])
+    sums = week_sums(spark, d)
+    return B.replicated_intervals(sums, B.day_replicates(sums, REPLICATES), ["station"])
 
 
 @REGISTRY.add(
@@ -363,8 +368,8 @@ def _(spark, d):
     "low middle high",
 )
 def _(spark, d):
-    rows = days(spark, d)
-    means = B.replicated_means(B.day_sums(rows, ["station"], "dt"), B.day_replicates(rows, METRIC_REPLICATES), ["station"])
+    sums = week_sums(spark, d)
+    means = B.replicated_means(sums, B.day_replicates(sums, METRIC_REPLICATES), ["station"])
     return B.intervals(means.groupBy("b").agg(F.stddev_pop("value").alias("value")).withColumn("metric", F.lit("spread")), ["metric"])
 
 
@@ -380,12 +385,11 @@ _PLACES = "places AS (SELECT summer, date, row_number() OVER (PARTITION BY summe
 
 
 def blocks(spark, d, lengths):
-    rows = days(spark, d)
-    sums = B.day_sums(rows, ["station"], "dt")
+    sums = week_sums(spark, d)
     out = []
     for length in lengths:
-        means = B.replicated_means(sums, B.block_replicates(rows, REPLICATES, length, "summer"), ["station"])
-        out.append(B.intervals(means, ["station"]).select(F.lit(length).alias("length"), "station", "low", "middle", "high"))
+        drawn = B.block_replicates(sums.withColumn("summer", F.year("date")), REPLICATES, length, "summer")
+        out.append(B.replicated_intervals(sums, drawn, ["station"]).select(F.lit(length).alias("length"), "station", "low", "middle", "high"))
     return out[0].unionByName(out[1])
 
 
@@ -417,7 +421,7 @@ def _(spark, d):
 def _(spark, d):
     rows = anomaly(spark, d)
     sums = rows.groupBy("station", F.pmod(F.dayofyear("date"), F.lit(92)).alias("place")).agg(F.sum("dt").alias("total"), F.count("*").alias("n"))
-    return B.intervals(B.replicated_means(sums, B.circular_replicates(rows, REPLICATES), ["station"], ["place"]), ["station"])
+    return B.replicated_intervals(sums, B.circular_replicates(rows, REPLICATES), ["station"], ["place"])
 
 
 view("scope_means", "SELECT scope AS rep, b, sum(total * times) / sum(n * times) AS value FROM boot_sums JOIN stations USING (station) JOIN reps USING (date) GROUP BY ALL", ["boot_sums", "stations", "reps"])
