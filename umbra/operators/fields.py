@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from umbra.functions.joins import small
 from umbra.functions.stats import circular_mean, median, ratio, share, spearman
+from umbra.operators import spatial
 from umbra.sources.staging import staged
 
 
@@ -68,10 +69,10 @@ def field(weighted: DataFrame, readings: DataFrame, by: Sequence[str] = (), leas
 
 
 def nearest_cell(sections: DataFrame, cells: DataFrame) -> DataFrame:
-    """The nearest cell that ever has a value, ties to the smaller cell; cells (cell, x, y, t) are a small table."""
-    valid = cells.groupBy("cell").agg(F.max("x").alias("gx"), F.max("y").alias("gy"), F.count("t").alias("n")).where("n > 0")
-    far = F.round(F.hypot(F.col("x") - F.col("gx"), F.col("y") - F.col("gy")), 6)
-    return sections.crossJoin(small(valid)).groupBy("cusec").agg(F.min_by("cell", F.struct(far, F.col("cell"))).alias("cell"), F.min(far).alias("d"))
+    """The nearest cell (cell, x, y, t) that ever has a value, ties to the smaller cell."""
+    valid = cells.groupBy("cell").agg(F.max("x").alias("x"), F.max("y").alias("y"), F.count("t").alias("n")).where("n > 0")
+    found = spatial.nearest(sections.select(F.col("cusec").alias("point"), "x", "y"), valid.select(F.col("cell").alias("target"), "x", "y"))
+    return found.select(F.col("point").alias("cusec"), F.col("target").alias("cell"), "d")
 
 
 def bias(pairs: DataFrame, by: Sequence[str] = ()) -> DataFrame:

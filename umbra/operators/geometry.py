@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.functions.joins import dealt
+
 
 def _next(ring: Column) -> Column:
     """The ring moved on by one vertex."""
@@ -82,7 +84,7 @@ def nearest_within(points: DataFrame, targets: DataFrame, metres: float) -> Data
     at = lambda c: F.floor(F.col(c) / metres)
     spots = targets.select("target", F.col("x").alias("tx"), F.col("y").alias("ty")).withColumn("dx", F.explode(near)).withColumn("dy", F.explode(near))
     spots = spots.withColumn("cx", at("tx") + F.col("dx")).withColumn("cy", at("ty") + F.col("dy")).drop("dx", "dy")
-    rows = points.withColumn("cx", at("x")).withColumn("cy", at("y")).join(spots, ["cx", "cy"])
+    rows = points.withColumn("cx", at("x")).withColumn("cy", at("y")).join(dealt(spots), ["cx", "cy"])
     far = F.round(F.hypot(F.col("x") - F.col("tx"), F.col("y") - F.col("ty")), 6)
     return rows.withColumn("d", far).where(F.col("d") <= metres).groupBy("point").agg(F.min_by("target", F.struct("d", "target")).alias("target"), F.min("d").alias("d"))
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from umbra.functions.stats import cosine_law_km
 from umbra.operators import geometry as G
 from umbra.operators import shade as S
+from umbra.operators import spatial as P
 from umbra.plans.inputs import REGISTRY, observations, read, sections, stations, view
 
 SUNS = [("morning", 20.0, 95.0), ("noon", 70.0, 180.0), ("evening", 12.0, 285.0), ("low", 3.0, 295.0)]
@@ -125,7 +126,8 @@ def _(spark, d):
     "d",
 )
 def _(spark, d):
-    return G.nearest_within(sections(spark, d).select(F.col("cusec").alias("point"), "x", "y"), stations(spark, d).select(F.col("station").alias("target"), "x", "y"), 1500.0)
+    at = sections(spark, d).select(F.col("cusec").alias("point"), "x", "y")
+    return P.nearest_in_turn(at, stations(spark, d).select(F.col("station").alias("target"), "x", "y"), [250.0, 1500.0]).drop("radius")
 
 
 def rings(spark, d):
