@@ -62,10 +62,14 @@ def variants(pairs: DataFrame, grid: DataFrame) -> DataFrame:
 
 
 def field(weighted: DataFrame, readings: DataFrame, by: Sequence[str] = (), least: int = 3) -> DataFrame:
-    """Weighted mean over the stations present at each instant with ``least`` stations; weights renormalise by themselves."""
+    """Weighted mean over the stations present at each instant with ``least`` stations; weights renormalise by themselves.
+
+    Readings are dealt by instants once, to parts that do not depend on their bytes, as each meets all places around; what follows stays in its part, if weights can be broadcast.
+    """
     n = F.count("*").over(Window.partitionBy("date", "hour"))
-    full = readings.withColumn("present", n).where(F.col("present") >= least)
-    return weighted.join(full, "station").groupBy(*by, "cusec", "date", "hour").agg(ratio(F.sum(F.col("w") * F.col("t")), F.sum("w")).alias("t"))
+    parts = 8 * int(readings.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    full = readings.repartition(parts, "date", "hour").withColumn("present", n).where(F.col("present") >= least)
+    return full.join(small(weighted, 1_000_000), "station").groupBy(*by, "cusec", "date", "hour").agg(ratio(F.sum(F.col("w") * F.col("t")), F.sum("w")).alias("t"))
 
 
 def nearest_cell(sections: DataFrame, cells: DataFrame) -> DataFrame:
@@ -86,6 +90,15 @@ def uniform(rows: DataFrame) -> DataFrame:
     return rows.withColumn("t_uniform", F.percentile("t", F.lit(0.5)).over(instant)).withColumn("t_day", F.avg("t").over(day))
 
 
+def uniform_of_places(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """(date, hour, t_uniform, t_day): the same over sections, from the field ``rows`` (cusec, date, hour, t) of their places and the number ``n`` of sections at each of them (cusec, n)."""
+    known = F.when(F.col("t").isNotNull(), F.col("n"))
+    instants = rows.join(small(counts), "cusec").groupBy("date", "hour").agg(F.percentile("t", F.lit(0.5), F.col("n")).alias("t_uniform"), F.sum(F.col("t") * F.col("n")).alias("total"), F.sum(known).alias("n"))
+    instants = staged(instants)
+    days = instants.groupBy("date").agg(ratio(F.sum("total"), F.sum("n")).alias("t_day"))
+    return instants.join(days, "date").select("date", "hour", "t_uniform", "t_day")
+
+
 def safe_fraction(rows: DataFrame, limits: Sequence[float], by: Sequence[str]) -> DataFrame:
     """Share of hours below each limit; a missing hour counts as not below."""
     grid = rows.sparkSession.createDataFrame([(float(u),) for u in limits], "u double")
