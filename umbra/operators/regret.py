@@ -12,6 +12,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from umbra.functions.joins import small
 from umbra.functions.stats import quota, ratio
 from umbra.sources.staging import staged
 
@@ -97,6 +98,28 @@ def replicated_columns(sums: DataFrame, replicates: DataFrame, unit: Sequence[st
     return rows.select(*unit, F.explode(each).alias("x")).select(*unit, "x.*").where(F.col(values[0]).isNotNull())
 
 
+def selected_by_bins(rows: DataFrame, keys: Sequence[str], fractions: Sequence[float], most: float, bins: int = 512, most_ranked: int = 200_000) -> DataFrame | None:
+    """``selected_load`` by counts and sums in equal steps of the load from 0 to ``most``, all beyond in the last one: exact, as only rows of the steps where quotas end are ranked.
+
+    Counts and sums go by a hash of few groups, which needs no sort, unlike sketches of many cases. None if a case has more than ``most_ranked`` rows in such a step.
+    """
+    step = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.coalesce(F.floor(F.col("load") * (bins / most)), F.lit(0)))).cast("int")  # an unknown load comes last
+    rows = rows.withColumn("bin", step)
+    counts = staged(rows.groupBy(*keys, "bin").agg(F.count("*").alias("n"), F.sum("true_load").alias("s")))
+    down = Window.partitionBy(*keys).orderBy(F.desc("bin")).rowsBetween(Window.unboundedPreceding, -1)
+    sized = counts.withColumn("size", F.sum("n").over(Window.partitionBy(*keys)))
+    above = sized.withColumn("above", F.coalesce(F.sum("n").over(down), F.lit(0))).withColumn("captured", F.coalesce(F.sum("s").over(down), F.lit(0.0)))
+    cuts = above.withColumn("fraction", F.explode(F.array(*[F.lit(float(q)) for q in fractions]))).withColumn("quota", quota(F.col("size"), F.col("fraction")))
+    cuts = staged(cuts.where((F.col("above") < F.col("quota")) & (F.col("quota") <= F.col("above") + F.col("n"))))
+    if (cuts.agg(F.max("n")).first()[0] or 0) > most_ranked:
+        return None
+    ends = small(cuts.groupBy(*keys, "bin").agg(F.collect_list(F.struct("fraction", (F.col("quota") - F.col("above")).alias("rest"))).alias("ends")))
+    inside = rows.join(ends, [*keys, "bin"]).select(*keys, "cusec", "load", "true_load", F.explode("ends").alias("e"))
+    order = Window.partitionBy(*keys, "e.fraction").orderBy(F.desc("load"), "cusec")
+    last = inside.withColumn("place", F.row_number().over(order)).where(F.col("place") <= F.col("e.rest")).groupBy(*keys, F.col("e.fraction").alias("fraction")).agg(F.sum("true_load").alias("rest"))
+    return cuts.select(*keys, "fraction", "captured").join(last, [*keys, "fraction"], "left").select(*keys, "fraction", (F.col("captured") + F.coalesce("rest", F.lit(0.0))).alias("captured"))
+
+
 def selected_load(rows: DataFrame, keys: Sequence[str], fractions: Sequence[float], accuracy: int = 1000) -> DataFrame:
     """(keys, fraction, captured): the sum of ``true_load`` over the first quota of each case by ``load``, ties to the smaller cusec. Exact.
 
@@ -141,11 +164,13 @@ def regret_replicates(sections: DataFrame, sums: DataFrame, replicates: DataFram
     means = replicated_columns(sums, replicates, ["cusec"], ["coarse", "local"])
     rows = staged(sections.where("reachable").select("cusec", "pop", "exposed_buildings", "exposed_full").join(means, "cusec"))
     levels = level_fractions(F.col("coarse"), F.col("local"), F.col("exposed_buildings"), F.col("exposed_full"), limit)
-    load = lambda level: F.round(F.col("pop") * (1 - level["frac"]), 9)
+    load = lambda level: F.rint(F.col("pop") * (1 - level["frac"]) * 1e9) / 1e9  # noqa: E731  as many digits as elsewhere, by arithmetic: decimals cost more than all the rest
     true = F.filter("levels", lambda x: x["rep"] == reference)
     each = rows.withColumn("levels", levels).withColumn("true_load", load(F.get(true, F.lit(0)))).withColumn("level", F.explode("levels"))
     each = each.select("b", "cusec", F.col("level.rep").alias("rep"), load(F.col("level")).alias("load"), "true_load")
-    captured = staged(selected_load(each, ["rep", "b"], fractions))
+    most = sections.where("reachable").agg(F.max("pop")).first()[0] or 1.0  # no load is above its people
+    chosen = selected_by_bins(each, ["rep", "b"], fractions, most)
+    captured = staged(selected_load(each, ["rep", "b"], fractions) if chosen is None else chosen)
     best = captured.where(F.col("rep") == reference).select("b", "fraction", F.col("captured").alias("best"))
     both = captured.join(best, ["b", "fraction"])
     return both.select("rep", "fraction", "b", (100 * ratio(F.col("best") - F.col("captured"), F.col("best"))).alias("regret"), (100 * ratio(F.col("captured"), F.col("best"))).alias("efficiency"))
